@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, packing
+from tidemark.llm import bpe, packing, quality, urls
 from tidemark.sources.tables import table
 
 
@@ -19,9 +19,17 @@ def op4_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_rules(table(spark, sf_dir, "documents"))
+
+
+def op8_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_bpe_tree, op4_cost_balanced_packing)}
+    return {f.__name__: f for f in (op2_bpe_tree, op4_cost_balanced_packing, op5_quality_divergence, op8_host_reputation)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_quality_divergence": quality.SQL, "op8_host_reputation": urls.SQL}
