@@ -18,7 +18,7 @@ COMMON_WORDS = {
 BINS = 12
 # Character classes counted by pattern; white space and all other characters are the last two.
 CLASSES = {"upper": "[A-Z]", "digit": "[0-9]", "punct": "[.,;:!?]", "symbol": r"[#*$%&|<>]", "wide": r"[^\x00-\x7F]"}
-MIN_WORDS, MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 50, 0.35, 0.6
+MIN_WORDS, MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 50, 0.3, 0.3
 
 
 def _let(value: Column, body) -> Column:

@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, packing, quality, urls
+from tidemark.llm import bpe, packing, preferences, quality, urls
 from tidemark.sources.tables import table
 
 
+def op1_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preferences.conversation_preferences(table(spark, sf_dir, "conversations"))
+
+
 def op2_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -28,8 +32,8 @@ def op8_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_bpe_tree, op4_cost_balanced_packing, op5_quality_divergence, op8_host_reputation)}
+    return {f.__name__: f for f in (op1_preference_pairs, op2_bpe_tree, op4_cost_balanced_packing, op5_quality_divergence, op8_host_reputation)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_divergence": quality.SQL, "op8_host_reputation": urls.SQL}
+    return {"op1_preference_pairs": preferences.SQL, "op5_quality_divergence": quality.SQL, "op8_host_reputation": urls.SQL}
