@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, packing, preferences, quality, urls
+from tidemark.llm import bpe, html, language, packing, preferences, quality, urls
 from tidemark.sources.tables import table
 
 
@@ -27,12 +27,20 @@ def op5_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op7_block_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_pages(table(spark, sf_dir, "pages"))
+
+
+def op9_string_kernels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify_languages(table(spark, sf_dir, "documents"))
+
+
 def op8_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_preference_pairs, op2_bpe_tree, op4_cost_balanced_packing, op5_quality_divergence, op8_host_reputation)}
+    return {f.__name__: f for f in (op1_preference_pairs, op2_bpe_tree, op4_cost_balanced_packing, op5_quality_divergence, op7_block_rules, op8_host_reputation, op9_string_kernels)}
 
 
 def oracle_sql() -> dict[str, str]:
