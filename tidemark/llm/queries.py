@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, html, language, packing, preferences, quality, urls
+from tidemark.llm import bpe, html, language, media, packing, preferences, quality, urls
 from tidemark.sources.tables import table
 
 
@@ -20,13 +20,17 @@ def op2_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
 def op5_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op6_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.documents_as_media(table(spark, sf_dir, "documents"))
+
+
 def op7_block_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_pages(table(spark, sf_dir, "pages"))
 
@@ -40,7 +44,7 @@ def op8_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_preference_pairs, op2_bpe_tree, op4_cost_balanced_packing, op5_quality_divergence, op7_block_rules, op8_host_reputation, op9_string_kernels)}
+    return {f.__name__: f for f in (op1_preference_pairs, op2_bpe_tree, op4_cost_balanced_packing, op5_quality_divergence, op6_progressive_jpeg, op7_block_rules, op8_host_reputation, op9_string_kernels)}
 
 
 def oracle_sql() -> dict[str, str]:
