@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, html, language, media, packing, preferences, quality, urls
+from tidemark.llm import bpe, html, jaccard, language, media, packing, preferences, quality, urls
 from tidemark.sources.tables import table
 
 
@@ -19,6 +19,10 @@ def op2_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op4_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
@@ -44,7 +48,7 @@ def op8_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_preference_pairs, op2_bpe_tree, op4_cost_balanced_packing, op5_quality_divergence, op6_progressive_jpeg, op7_block_rules, op8_host_reputation, op9_string_kernels)}
+    return {f.__name__: f for f in (op1_preference_pairs, op2_bpe_tree, op3_ngram_jaccard, op4_cost_balanced_packing, op5_quality_divergence, op6_progressive_jpeg, op7_block_rules, op8_host_reputation, op9_string_kernels)}
 
 
 def oracle_sql() -> dict[str, str]:
