@@ -29,20 +29,26 @@ def chunks(text: str) -> list[str] | None:
 
 
 class ChunkMemo:
-    """Remembers what was computed for a chunk, for at most ``limit`` chunks of at most ``longest`` characters."""
+    """Remembers what was computed for chunks of at most ``longest`` characters, in two generations.
 
-    def __init__(self, compute: Callable[[list[str]], Iterable], limit: int = 300_000, longest: int = 64):
-        self.compute, self.limit, self.longest, self.known = compute, limit, longest, {}
+    When the younger generation holds ``limit`` chunks it becomes the older one, and
+    the older one goes; what is used again moves to the younger.
+    """
+
+    def __init__(self, compute: Callable[[list[str]], Iterable], limit: int = 200_000, longest: int = 64):
+        self.compute, self.limit, self.longest = compute, limit, longest
+        self.young: dict = {}
+        self.old: dict = {}
 
     def __call__(self, keys: list[str]) -> list:
-        known = self.known
-        found = list(map(known.get, keys))
+        found = list(map(self.young.get, keys))
         if None in found:
-            if len(known) > self.limit:
-                known.clear()
-                found = [None] * len(keys)
-            new = list(dict.fromkeys(k for k, v in zip(keys, found) if v is None))
-            fresh = dict(zip(new, self.compute(new)))
+            if len(self.young) > self.limit:
+                self.young, self.old = {}, self.young
+            missing = dict.fromkeys(k for k, v in zip(keys, found) if v is None)
+            fresh = {k: v for k in missing if (v := self.old.get(k)) is not None}
+            new = [k for k in missing if k not in fresh]
+            fresh.update(zip(new, self.compute(new)))
             found = [fresh[k] if v is None else v for k, v in zip(keys, found)]
-            known.update((k, v) for k, v in fresh.items() if len(k) <= self.longest)
+            self.young.update((k, v) for k, v in fresh.items() if len(k) <= self.longest)
         return found
