@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, html, jaccard, language, media, packing, preferences, quality, urls
+from tidemark.llm import bpe, html, jaccard, language, media, packing, preferences, quality, suffixes, urls
 from tidemark.sources.tables import table
 
 
@@ -47,8 +47,12 @@ def op8_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
+def op10_bwt_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_preference_pairs, op2_bpe_tree, op3_ngram_jaccard, op4_cost_balanced_packing, op5_quality_divergence, op6_progressive_jpeg, op7_block_rules, op8_host_reputation, op9_string_kernels)}
+    return {f.__name__: f for f in (op1_preference_pairs, op2_bpe_tree, op3_ngram_jaccard, op4_cost_balanced_packing, op5_quality_divergence, op6_progressive_jpeg, op7_block_rules, op8_host_reputation, op9_string_kernels, op10_bwt_merge)}
 
 
 def oracle_sql() -> dict[str, str]:
