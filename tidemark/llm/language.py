@@ -1,13 +1,12 @@
 """Language identification with string kernels, Nyström landmarks and kernel ridge regression."""
 
-from __future__ import annotations
-
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -142,3 +141,18 @@ def predict(docs: DataFrame, model: KernelModel, doc_id: str = "doc_id", text: s
 def identify_languages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """Learn from the rows that are not held out, and predict all rows."""
     return predict(docs, train(docs, doc_id=doc_id, text=text, lang=lang), doc_id, text)
+
+
+def keep_identified(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """The documents whose language can be told, all columns as they were; ``und`` ones go."""
+    model = train(docs, doc_id=doc_id, text=text, lang=lang)
+    shared = docs.sparkSession.sparkContext.broadcast((model.languages, np.packbits(model.landmarks, axis=1), model.coefficients))
+
+    @F.pandas_udf("string")
+    def language(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        languages, packed, coefficients = shared.value
+        loaded = KernelModel(languages, np.unpackbits(packed, axis=1).astype(bool), coefficients)
+        for part in parts:
+            yield pd.Series(loaded.predict(part.tolist())[0])
+
+    return docs.where(language(docs[text]) != UNKNOWN)

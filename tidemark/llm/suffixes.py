@@ -6,12 +6,11 @@ dealt by minimizer, and in each share the runs' suffixes are compared through me
 Burrows-Wheeler transforms of its shards.
 """
 
-from __future__ import annotations
-
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -207,3 +206,36 @@ def remove_repeats(docs: DataFrame, length: int = 100, doc_id: str = "doc_id", t
         F.when(F.col("copy"), _EMPTY).otherwise(F.coalesce("kept", "sha")).alias("kept_sha256"),
         F.when(~F.col("copy"), F.coalesce("spans", F.array().cast("array<struct<start: bigint, end: bigint>>"))).alias("spans"),
     )
+
+
+def cut_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
+    """The documents without their repeated passages; n_chars follows the text.
+
+    A character goes when all its bytes do. Documents of which nothing is left, as
+    whole copies, go; texts that were empty or null before stay. All columns are kept;
+    rows with a null doc_id are left out.
+    """
+
+    @F.pandas_udf("string")
+    def cut_text(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        out = []
+        for text, gone in zip(texts, spans):
+            raw, kept, at = text.encode(), [], 0
+            for s in gone:
+                a, b = s["start"], s["end"]
+                while a < len(raw) and raw[a] & 0xC0 == 0x80:
+                    a += 1
+                while b < len(raw) and raw[b] & 0xC0 == 0x80:
+                    b -= 1
+                if b > a:
+                    kept.append(raw[at:a])
+                    at = b
+            out.append(b"".join([*kept, raw[at:]]).decode())
+        return pd.Series(out)
+
+    found = remove_repeats(docs, length).where("n_removed > 0 and n_removed < n_bytes or n_removed = 0").select(F.col("doc_id").alias("_id"), F.col("n_removed").alias("_removed"), F.col("spans").alias("_spans"))
+    joined = docs.join(found, F.col("doc_id") == F.col("_id"))
+    changed = F.col("_removed") > 0
+    text = F.when(changed, cut_text(F.coalesce("text", F.lit("")), F.col("_spans"))).otherwise(F.col("text"))
+    out = joined.withColumn("text", text).where(~changed | (F.length("text") > 0))
+    return out.withColumn("n_chars", F.when(F.col("_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
