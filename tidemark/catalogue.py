@@ -1,4 +1,4 @@
-"""The registered queries and their SQL."""
+"""The registered queries and their SQL, from all parts of the library but the optional one."""
 
 from __future__ import annotations
 
@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.operators import relational
+
+_PARTS = (relational,)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: run for part in _PARTS for name, run in part.queries().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: text for part in _PARTS for name, text in part.oracle_sql().items()}
