@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.operators import relational
+from tidemark.operators import graph, relational
 
-_PARTS = (relational,)
+_PARTS = (relational, graph)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -18,3 +19,11 @@ def local_session(cpus: int | str = "*", **conf: str) -> SparkSession:
         "spark.driver.memory": os.environ.get("TIDEMARK_DRIVER_MEMORY", "6g"),
     } | {k.replace("__", "."): v for k, v in conf.items()}
     return SparkSession.builder.master(f"local[{cpus}]").config(map=settings).getOrCreate()
+
+
+def checkpointed(df):
+    """The same rows from a reliable checkpoint in the folder that the session names, or a temporary one in tests."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-"))
+    return df.checkpoint()
