@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.operators import graph, relational
+from tidemark.plans import composite
 
-_PARTS = (relational, graph)
+_PARTS = (relational, graph, composite)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
