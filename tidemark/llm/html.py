@@ -131,8 +131,9 @@ def classify(found: list[Block], short: int = 70, long: int = 200, max_links: fl
     characters is good with many stop words, near-good with some, else bad; inside an
     article or main element a block without many links is good as it is. Shorter
     blocks, and long ones between the limits, stay open. Second pass: an open block
-    takes the label of its nearest decided neighbours, good if both are, or if the
-    nearer one is; without any, it is good inside an article or main element only.
+    takes the label of its nearest decided neighbours, or of the nearer one if they
+    differ (a heading: of the one below); the page's edges count as bad. Inside an
+    article or main element it is good unless all its decided neighbours there are bad.
     """
     marks: list[bool | None] = []
     for b in found:
@@ -167,12 +168,9 @@ def classify(found: list[Block], short: int = 70, long: int = 200, max_links: fl
             near = [x for x in (last[i], seen) if x and found[x[0]].content]
             out.append(min(near, key=lambda x: abs(x[0] - i))[1] if near and not any(x[1] for x in near) else True)
         else:
-            before, after = last[i], seen
-            if before and after and before[1] != after[1]:
-                near = before if i - before[0] <= after[0] - i else after
-                out.append(near[1])
-            else:
-                out.append(bool(before and before[1] or after and after[1]))
+            before, after = last[i] or (-1, False), seen or (len(marks), False)
+            nearer = before if i - before[0] <= after[0] - i and not found[i].heading else after
+            out.append(before[1] if before[1] == after[1] else nearer[1])
     return out[::-1]
 
 
