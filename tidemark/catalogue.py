@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.operators import catalog, graph, relational
+from tidemark.operators import catalog, graph, relational, retrieval
 from tidemark.plans import composite
 
-_PARTS = (relational, graph, composite, catalog)
+_PARTS = (relational, graph, composite, catalog, retrieval)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
