@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.operators import catalog, graph, relational, retrieval
+from tidemark.operators import catalog, graph, relational, retrieval, shaping
 from tidemark.plans import composite
+from tidemark.streaming import events
 
-_PARTS = (relational, graph, composite, catalog, retrieval)
+_PARTS = (relational, graph, composite, catalog, retrieval, shaping, events)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
