@@ -65,7 +65,7 @@ PORTABLE: dict[str, str] = {
     "set_except_all": "SELECT l_suppkey AS supplier FROM lineitem EXCEPT ALL SELECT s_suppkey FROM supplier",
     # scalars
     "scalar_string": "SELECT c_custkey, upper(c_mktsegment) AS up, substring(c_name, 1, 8) AS head, length(c_name) AS n, replace(c_name, '#', '-') AS swapped, trim(concat(' ', c_mktsegment, ' ')) AS trimmed, left(c_name, 3) AS l3, right(c_name, 4) AS r4, lpad(CAST(c_nationkey AS VARCHAR(4)), 4, '0') AS padded, reverse(c_mktsegment) AS rev FROM customer",
-    "scalar_math": "SELECT p_partkey, round(p_retailprice, 1) AS r, floor(p_retailprice / 7) AS f, abs(p_size - 25) AS a, p_size % 7 AS m, round(sqrt(p_retailprice), 6) AS s, round(ln(p_retailprice), 6) AS l, sign(p_size - 25) AS g, greatest(p_size, 10) AS hi, least(p_size, 10) AS lo FROM part",
+    "scalar_math": "SELECT p_partkey, round(p_retailprice, 1) AS r, CAST(floor(p_retailprice / 7) AS BIGINT) AS f, abs(p_size - 25) AS a, p_size % 7 AS m, round(sqrt(p_retailprice), 6) AS s, round(ln(p_retailprice), 6) AS l, CAST(sign(p_size - 25) AS INT) AS g, greatest(p_size, 10) AS hi, least(p_size, 10) AS lo FROM part",
     "scalar_conditional": "SELECT event_id, coalesce(event_type, 'none') AS kind, nullif(event_type, 'view') AS other, CASE WHEN value > 50 THEN 'high' WHEN value > 10 THEN 'mid' ELSE 'low' END AS band FROM events",
     "label_measure_names": "SELECT DISTINCT p_type, lower(replace(p_type, ' ', '_')) AS clean, length(p_type) AS n FROM part",
     # result shaping
