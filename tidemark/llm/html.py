@@ -16,6 +16,7 @@ BLOCKS = frozenset(
 )
 FURNITURE = frozenset("nav header footer aside form menu dialog head select button textarea".split())
 CONTENT = frozenset("article main".split())
+CONTENT_NAMES = frozenset("article articlebody content entry main post story".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 NAMES = frozenset(
     "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus disclaimer footer gdpr header masthead menu modal nav navbar navigation newsletter notice pagination popup promo promoted related replies respond share sharing sidebar social sponsor sponsored subscribe toolbar widget".split()
@@ -64,6 +65,13 @@ def _is_furniture(tag: str, attrs: str) -> bool:
     return False
 
 
+def _is_content(tag: str, attrs: str) -> bool:
+    if tag in CONTENT:
+        return True
+    found = ATTRIBUTE.findall(attrs) if attrs and tag in ("div", "section", "td") else []
+    return any(n.lower() in ("class", "id") and not CONTENT_NAMES.isdisjoint(re.split(r"[\s_-]+", (a or b or c).lower())) or n.lower() == "role" and (a or b or c).lower() == "main" for n, a, b, c in found)
+
+
 def blocks(page: str) -> list[Block]:
     """The page's text blocks in order. A tag that is never closed ends with its parent."""
     out: list[Block] = []
@@ -117,7 +125,7 @@ def blocks(page: str) -> list[Block]:
                 furniture = _is_furniture(tag, m["attrs"])
                 if furniture and tag == "header" and good and not bad:
                     furniture = False  # an article's own heading
-                stack.append((tag, bad or furniture, good or tag in CONTENT))
+                stack.append((tag, bad or furniture, good or _is_content(tag, m["attrs"])))
     if at < len(page):
         add(page[at:])
     flush()
