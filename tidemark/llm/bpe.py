@@ -38,14 +38,20 @@ class TreeCodec:
 
     def merge(self, piece: bytes) -> list[bytes]:
         """The merges themselves, lowest rank and leftmost first; for short strings."""
+        rank, none = self.ranks.get, 1 << 60
         parts = [piece[i : i + 1] for i in range(len(piece))]
-        rank = self.ranks.get
-        while len(parts) > 1:
-            best = min(range(len(parts) - 1), key=lambda i: rank(parts[i] + parts[i + 1], 1 << 60))
-            joined = parts[best] + parts[best + 1]
-            if joined not in self.ranks:
+        pairs = [rank(piece[i : i + 2], none) for i in range(len(piece) - 1)]
+        while pairs:
+            best = min(pairs)
+            if best == none:
                 break
-            parts[best : best + 2] = [joined]
+            i = pairs.index(best)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del pairs[i]
+            if i:
+                pairs[i - 1] = rank(parts[i - 1] + parts[i], none)
+            if i < len(pairs):
+                pairs[i] = rank(parts[i] + parts[i + 1], none)
         return parts
 
     def join(self, left: list[bytes], right: list[bytes]) -> list[bytes]:
@@ -81,6 +87,7 @@ class TreeCodec:
         return self.decode(ids[:middle]) + self.decode(ids[middle:])
 
 
+@lru_cache(4)  # a worker keeps what it remembers from task to task
 def text_encoder(ranks_path: str, pattern: str, compute: Callable[[list[int], TreeCodec], object]) -> Callable[[str], list]:
     """A function that gives ``compute(ids, codec)`` for each independent chunk of a text, in order."""
     codec, find = TreeCodec(load_ranks(ranks_path)), pieces_pattern(pattern).findall
@@ -94,6 +101,14 @@ def text_encoder(ranks_path: str, pattern: str, compute: Callable[[list[int], Tr
     return encode
 
 
+def _both_ways(ids: list[int], codec: TreeCodec) -> tuple[int, str, bytes]:
+    return len(ids), ",".join(map(str, ids)), codec.decode(ids)
+
+
+def _ids(ids: list[int], codec: TreeCodec) -> list[int]:
+    return ids
+
+
 def bpe_digest(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Encode and decode every text; doc_id, n_tokens, ids_sha256 and decoded_sha256 per row.
 
@@ -102,7 +117,7 @@ def bpe_digest(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "do
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = text_encoder(ranks_path, pattern, lambda ids, codec: (len(ids), ",".join(map(str, ids)), codec.decode(ids)))
+        encode = text_encoder(ranks_path, pattern, _both_ways)
         for batch in batches:
             counts, ids, decoded = [], [], []
             for value in batch.column(1):
@@ -120,7 +135,7 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text
 
     @F.pandas_udf("array<int>")
     def encode(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        run = text_encoder(ranks_path, pattern, lambda found, _: found)
+        run = text_encoder(ranks_path, pattern, _ids)
         for s in values:
             yield s.map(lambda x: [i for part in run(x or "") for i in part])
 
