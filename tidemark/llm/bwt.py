@@ -76,12 +76,11 @@ def shard_transform(strings: list[bytes], step: int) -> ShardTransform:
 
 
 def _sorted_by(symbols: np.ndarray) -> np.ndarray:
-    """Stable order of dense symbols, 16 bits at a time."""
-    order = np.argsort((symbols & 0xFFFF).astype(np.uint16), kind="stable")
-    shift = 16
-    while int(symbols.max(initial=0)) >> shift:
-        order = order[np.argsort((symbols[order] >> shift & 0xFFFF).astype(np.uint16), kind="stable")]
-        shift += 16
+    """Stable order of dense symbols, by their low half, then by their high half."""
+    order = np.argsort(symbols.astype(np.uint16), kind="stable")
+    high = (symbols >> np.uint32(16)).astype(np.uint16)
+    if high.any():
+        order = order[np.argsort((high.astype(np.uint8) if high.max() < 256 else high)[order], kind="stable")]
     return order
 
 
@@ -95,16 +94,18 @@ def merge(shards: list[ShardTransform], rounds: int) -> tuple[np.ndarray, np.nda
     Within a shard the order is never computed anew.
     """
     sizes = [len(s.order) for s in shards]
-    source = np.repeat(np.arange(len(shards), dtype=np.uint16), sizes)
+    source = np.repeat(np.arange(len(shards), dtype=np.uint8), sizes)
     alphabet, symbols = np.unique(np.concatenate([s.before for s in shards]), return_inverse=True)
-    if alphabet[0]:
-        symbols += 1
-    ends = np.repeat(np.arange(len(shards), dtype=np.uint16), [s.ends for s in shards])
+    symbols = symbols.astype(np.uint32) + np.uint32(bool(alphabet[0]))
+    ends = np.repeat(np.arange(len(shards), dtype=np.uint8), [s.ends for s in shards])
     interleave, block = source, np.zeros(len(source), np.int64)
     opens = np.zeros(len(source), bool)
-    read = np.empty(len(source), np.int64)
+    read = np.empty(len(source), np.uint32)
     for _ in range(rounds):
-        read[np.argsort(interleave, kind="stable")] = symbols
+        if interleave is source:
+            read[:] = symbols
+        else:
+            read[np.argsort(interleave, kind="stable")] = symbols
         order = _sorted_by(read)
         interleave = interleave[order]
         interleave[: len(ends)] = ends
