@@ -8,7 +8,7 @@ every space, and each chunk tokenized alone and remembered.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import regex
 
@@ -35,7 +35,7 @@ class ChunkMemo:
     the older one goes; what is used again moves to the younger.
     """
 
-    def __init__(self, compute: Callable[[list[str]], Iterable], limit: int = 200_000, longest: int = 64):
+    def __init__(self, compute: Callable[[list[str]], Iterable], limit: int = 150_000, longest: int = 64):
         self.compute, self.limit, self.longest = compute, limit, longest
         self.young: dict = {}
         self.old: dict = {}
@@ -52,3 +52,10 @@ class ChunkMemo:
             found = [fresh[k] if v is None else v for k, v in zip(keys, found)]
             self.young.update((k, v) for k, v in fresh.items() if len(k) <= self.longest)
         return found
+
+
+def slices(batches: Iterable, rows: int = 2500) -> Iterator:
+    """Record batches cut to a number of rows, so that a task's arrays stay small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

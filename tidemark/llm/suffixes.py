@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.bwt import repeats
-from tidemark.llm.shared import cut, written
+from tidemark.llm.chunks import slices
+from tidemark.llm.shared import cut, discard, written
 from tidemark.llm.windows import runs
 
 GRAM = 32  # bytes a minimizer hashes
@@ -34,7 +35,7 @@ def _repeated_minimizers(docs: DataFrame, length: int, shares: int) -> DataFrame
     """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, batch in enumerate(batches):
+        for number, batch in enumerate(slices(batches)):
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             names, owners, multis = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
             for key, text in zip(ids, batch.column(1)):
@@ -102,7 +103,7 @@ def _removed_runs(held: DataFrame, length: int, shares: int) -> DataFrame:
     """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             first: dict[tuple[int, bytes], tuple[int, int]] = {}
             again: list[tuple[int, int, int, int]] = []
             several: set[int] = set()
@@ -198,6 +199,8 @@ def remove_repeats(docs: DataFrame, length: int = 100, doc_id: str = "doc_id", t
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.string()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], ["doc_id", "kept", "spans"])
 
     cuts = held.select("doc_id", "text").join(starts.hint("shuffle_hash"), "doc_id").mapInArrow(apply, "doc_id long, kept string, spans array<struct<start: bigint, end: bigint>>")
+    cuts = cut(cuts)
+    discard(held)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return base.join(cuts, "doc_id", "left").select(
         "doc_id", "n_bytes",
