@@ -91,8 +91,8 @@ class TreeCodec:
 def text_encoder(ranks_path: str, pattern: str, compute: Callable[[list[int], TreeCodec], object]) -> Callable[[str], list]:
     """A function that gives ``compute(ids, codec)`` for each independent chunk of a text, in order."""
     codec, find = TreeCodec(load_ranks(ranks_path)), pieces_pattern(pattern).findall
-    pieces = ChunkMemo(lambda keys: [codec.encode(k.encode()) for k in keys])
-    memo = ChunkMemo(lambda keys: [compute([i for ids in pieces(find(k)) for i in ids], codec) for k in keys])
+    pieces = ChunkMemo(lambda keys: [codec.encode(k.encode()) for k in keys], limit=300_000)
+    memo = ChunkMemo(lambda keys: [compute([i for ids in pieces(find(k)) for i in ids], codec) for k in keys], limit=300_000)
 
     def encode(text: str) -> list:
         cut = chunks(text)
