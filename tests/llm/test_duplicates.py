@@ -68,6 +68,23 @@ def test_near_copies_around_the_threshold(spark):
     assert found == brute_components(rows)
 
 
+def test_links_of_short_documents(spark):
+    """Groups of 9 to 50 variants of texts of 8 to 20 words: all shared tokens are frequent, and few."""
+    rows, want = [], {}
+    for seed in range(60):
+        rnd = random.Random(seed)
+        base = [f"g{seed}w{k}" for k in range(13 + seed % 3 if seed % 2 else rnd.randrange(8, 21))]
+        group = []
+        for _ in range(rnd.randrange(9, 51)):
+            words = list(base)
+            words[-1 if seed % 2 else rnd.randrange(len(words))] = f"z{rnd.randrange(10**6)}"
+            group.append((len(rows) + len(group), " ".join(words)))
+        rows += group
+        want |= brute_components(group)
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert found == want
+
+
 def test_null_ids_and_repeated_rows(spark):
     text = " ".join(f"w{k}" for k in range(30))
     df = spark.createDataFrame([(None, text), (4, text), (4, text), (2, text)], "doc_id long, text string")

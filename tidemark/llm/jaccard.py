@@ -121,6 +121,9 @@ def _prefix_signatures(ordered: DataFrame, percent: int) -> DataFrame:
     Rare tokens are signatures by themselves. Frequent ones fall into classes by hash;
     each class adds a token to the prefix and gives its pairs as signatures: two sets
     that share no signature share at most one token of each class, and so too few.
+    A set can run out of tokens before its prefix is whole only if the least overlap is
+    no more than the classes; such a set, and any that is similar to it by so few tokens,
+    also gives its plain prefix, token by token.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,6 +135,7 @@ def _prefix_signatures(ordered: DataFrame, percent: int) -> DataFrame:
                 t, c = t[order], c[order]
                 budget = n - _needed(n, percent) + 1
                 budget -= n - len(t)  # tokens that no other set has come first and have no signature
+                plain = t[c > RARE][: max(0, budget - int((c <= RARE).sum()))].tolist() if _needed(n, percent) <= GROUPS else []
                 classes: list[list[int]] = [[] for _ in range(GROUPS)]
                 own: list[int] = []
                 for token, count in zip(t.tolist(), c.tolist()):
@@ -144,6 +148,7 @@ def _prefix_signatures(ordered: DataFrame, percent: int) -> DataFrame:
                         group = classes[token % GROUPS]
                         budget -= bool(group)
                         group.append(token)
+                own += plain
                 own += [hash(pair) for g in classes for pair in combinations(sorted(g), 2)]
                 sigs += own
                 ids += [doc] * len(own)
