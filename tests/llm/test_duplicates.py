@@ -102,6 +102,19 @@ def test_components_of_chains(spark):
     assert all(found[k] == 0 for k in range(41)) and found[100] == found[95] == found[90] == 90
 
 
+def test_components_of_shuffled_chains(spark):
+    """Ids in no order: a label that moves a link a round needs hundreds of rounds."""
+    rnd = random.Random(4)
+    links, want = [], {}
+    for k, length in enumerate((1000, 1000, 300, 2)):
+        ids = [1000 * k + i for i in range(length)]
+        rnd.shuffle(ids)
+        links += zip(ids, ids[1:])
+        want |= dict.fromkeys(ids, 1000 * k)
+    found = {r.id: r.component for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert found == want
+
+
 def test_removal_equals_brute_force(docs, rows):
     found = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.remove_repeats(docs).collect()}
     assert found == brute_removal(rows)

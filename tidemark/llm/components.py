@@ -8,22 +8,25 @@ from pyspark.sql import functions as F
 from tidemark.llm.shared import cut
 
 
-def connected_components(links: DataFrame, limit: int = 60) -> DataFrame:
+def connected_components(links: DataFrame) -> DataFrame:
     """(id, component) of every node of the links (a, b): the smallest id it is linked with.
 
-    Each round gives a node the smallest label among its own and its neighbours', then
-    the label of its label. Both steps reduce before they shuffle; labels are cut to
-    the shared folder, so a lost executor costs one round.
+    Each round gives a node the smallest label of a label among its own and its
+    neighbours', and gives the same to the node that its label names, so that whole
+    groups move at once: the rounds grow with the logarithm of a chain's length. They
+    end when nothing moves; labels only fall, so they do end. All steps reduce before they
+    shuffle; labels are cut to the shared folder, so a lost executor costs one round.
     """
     edges = cut(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct())
     labels = cut(edges.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
-    for _ in range(limit):
-        near = edges.join(labels, F.col("b") == F.col("id")).groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
-        lower = labels.join(near, "id").select("id", F.least("component", "near").alias("component"), F.col("component").alias("old"))
+    while True:
         root = labels.select(F.col("id").alias("root"), F.col("component").alias("top"))
-        fresh = cut(lower.join(root, lower["component"] == root["root"], "left").select("id", F.least("component", "top").alias("component"), "old"))
+        tops = labels.join(root, labels["component"] == root["root"]).select("id", "component", "top")
+        near = edges.join(tops, F.col("b") == F.col("id")).groupBy(F.col("a").alias("id")).agg(F.min("top").alias("near"))
+        seen = cut(tops.join(near, "id").select("id", "component", F.least("top", "near").alias("low")))
+        hooks = seen.groupBy(F.col("component").alias("root")).agg(F.min("low").alias("hook"))
+        fresh = cut(seen.join(hooks, seen["id"] == hooks["root"], "left").select("id", F.least("low", "hook").alias("component"), F.col("component").alias("old")))
         moved = fresh.where("component <> old").limit(1).count()
         labels = fresh.select("id", "component")
         if not moved:
             return labels
-    raise RuntimeError("components did not settle")
