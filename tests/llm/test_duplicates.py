@@ -133,6 +133,20 @@ def test_cut_text_is_what_remains(docs, rows):
             assert hashlib.sha256(found[i].text.encode()).hexdigest() == digest and found[i].n_chars == len(found[i].text)
 
 
+def test_repeated_rows_in_far_slices(spark):
+    """Rows of one id and text more than 2500 rows apart in one partition, one id of two texts, and a passage to cut."""
+    rnd = random.Random(6)
+    passage = "".join(rnd.choices("abcdefgh ", k=150))
+    first = [(i, "".join(rnd.choices("abcdefgh ", k=220)) + passage * (i > 1)) for i in range(4)]
+    rows = first + [(i, f"short {i}") for i in range(10, 3010)] + first + [(3, "".join(rnd.choices("abcdefgh ", k=300)))]
+    want = [(i, *brute_removal(first)[i]) for i, _ in first] + [(3, 300, 0, 0, hashlib.sha256(rows[-1][1].encode()).hexdigest())]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "length(text) AS n_chars").coalesce(1).cache()
+    found = suffixes.remove_repeats(df).where("doc_id < 10").drop("spans").collect()
+    assert sorted(map(tuple, found)) == sorted(want)
+    left = suffixes.cut_repeats(df).collect()
+    assert len(left) == 3005 and sorted(hashlib.sha256(r.text.encode()).hexdigest() for r in left if r.doc_id < 10) == sorted(w[-1] for w in want)
+
+
 @pytest.mark.parametrize("shards", [1, 3, 8])
 def test_merged_transforms_find_repeats(shards):
     rnd = random.Random(shards)

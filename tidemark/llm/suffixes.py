@@ -141,7 +141,7 @@ def _removed_runs(held: DataFrame, length: int, shares: int) -> DataFrame:
             if seen is None:
                 first[name, body] = (key, start)
                 names[name] = names.get(name, 0) + 1
-            else:
+            elif seen != (key, start):
                 low, high = sorted([seen, (key, start)])
                 first[name, body] = low
                 out.append((*high, len(body) - length + 1))
@@ -157,6 +157,21 @@ def _removed_runs(held: DataFrame, length: int, shares: int) -> DataFrame:
     return sent.groupBy("part").applyInArrow(compare, "doc_id long, start long, count long")
 
 
+def _judged(docs: DataFrame, length: int) -> DataFrame:
+    """The columns of ``remove_repeats`` and sha, the digest of the text, of every pair of doc_id and text."""
+    base = docs.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("sha"))
+    base = cut(base)
+    if not base.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        return _judged_by_key(docs, base, length)
+    # Each pair gets a key of its own, in the order of doc_id, so that rows of one doc_id do not mix.
+    keys = cut(base.distinct().orderBy("doc_id", "sha")).withColumn("key", F.monotonically_increasing_id())
+    keys = cut(keys)
+    texts = docs.withColumn("sha", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)).dropDuplicates(["doc_id", "sha"])
+    texts = written(texts.join(keys, ["doc_id", "sha"]).select(F.col("key").alias("doc_id"), "text"))
+    found = _judged_by_key(texts, keys.select(F.col("key").alias("doc_id"), "n_bytes", "sha"), length)
+    return found.withColumnRenamed("doc_id", "key").join(keys.select("key", "doc_id"), "key").select("doc_id", *[c for c in found.columns if c != "doc_id"])
+
+
 def remove_repeats(docs: DataFrame, length: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans of every document.
 
@@ -164,13 +179,17 @@ def remove_repeats(docs: DataFrame, length: int = 100, doc_id: str = "doc_id", t
     starts earlier: in a document of smaller doc_id, or before in the same one. All
     strings are judged on the input. spans lists the removed ranges (start, end in
     bytes), null for a whole copy of an earlier text. A null text is empty; shorter
-    texts than ``length`` lose nothing. doc_id is taken as a key: rows with a null one
-    are left out. Other columns are ignored.
+    texts than ``length`` lose nothing. Rows with a null doc_id
+    are left out. Repeated rows of a doc_id and a text give one row; several texts of
+    one doc_id are taken in the order of their digests. Other columns are ignored.
     """
     docs = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text")).where(F.col("doc_id").isNotNull())
+    return _judged(docs, length).drop("sha")
+
+
+def _judged_by_key(docs: DataFrame, base: DataFrame, length: int) -> DataFrame:
+    """As ``_judged``, for a doc_id that no two rows share and a base of its sizes and digests."""
     shares = max(256, docs.count() // ROWS_A_SHARE)
-    base = docs.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("sha"))
-    base = cut(base)
     earliest = base.groupBy("sha").agg(F.min("doc_id").alias("first"))
     base = cut(base.join(earliest, "sha").withColumn("copy", (F.col("doc_id") != F.col("first")) & (F.col("n_bytes") >= length)).drop("first"))
 
@@ -207,7 +226,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, doc_id: str = "doc_id", t
         F.when(F.col("copy"), F.col("n_bytes")).otherwise(F.coalesce(removed, F.lit(0))).cast("long").alias("n_removed"),
         F.when(F.col("copy"), 1).otherwise(F.coalesce(F.size("spans"), F.lit(0))).cast("long").alias("n_spans"),
         F.when(F.col("copy"), _EMPTY).otherwise(F.coalesce("kept", "sha")).alias("kept_sha256"),
-        F.when(~F.col("copy"), F.coalesce("spans", F.array().cast("array<struct<start: bigint, end: bigint>>"))).alias("spans"),
+        F.when(~F.col("copy"), F.coalesce("spans", F.array().cast("array<struct<start: bigint, end: bigint>>"))).alias("spans"), "sha",
     )
 
 
@@ -216,7 +235,7 @@ def cut_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
 
     A character goes when all its bytes do. Documents of which nothing is left, as
     whole copies, go; texts that were empty or null before stay. All columns are kept;
-    rows with a null doc_id are left out.
+    of repeated rows of a doc_id and a text one stays; rows with a null doc_id are left out.
     """
 
     @F.pandas_udf("string")
@@ -236,8 +255,10 @@ def cut_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
             out.append(b"".join([*kept, raw[at:]]).decode())
         return pd.Series(out)
 
-    found = remove_repeats(docs, length).where("n_removed > 0 and n_removed < n_bytes or n_removed = 0").select(F.col("doc_id").alias("_id"), F.col("n_removed").alias("_removed"), F.col("spans").alias("_spans"))
-    joined = docs.join(found, F.col("doc_id") == F.col("_id"))
+    keyed = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).where(F.col("doc_id").isNotNull())
+    found = _judged(keyed, length).where("n_removed > 0 and n_removed < n_bytes or n_removed = 0").select(F.col("doc_id").alias("_id"), F.col("sha").alias("_sha"), F.col("n_removed").alias("_removed"), F.col("spans").alias("_spans"))
+    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    joined = docs.join(found, (F.col("doc_id") == F.col("_id")) & (digest == F.col("_sha"))).dropDuplicates(["_id", "_sha"])
     changed = F.col("_removed") > 0
     text = F.when(changed, cut_text(F.coalesce("text", F.lit("")), F.col("_spans"))).otherwise(F.col("text"))
     out = joined.withColumn("text", text).where(~changed | (F.length("text") > 0))
