@@ -19,10 +19,12 @@ from pyspark.sql import functions as F
 from tidemark.llm.bwt import repeats
 from tidemark.llm.chunks import slices
 from tidemark.llm.shared import cut, discard, written
-from tidemark.llm.windows import runs
+from tidemark.llm.windows import gram_hashes, runs
 
 GRAM = 32  # bytes a minimizer hashes
 ROWS_A_SHARE = 1000
+HOT = 1000  # a minimizer with more runs than these is compared window by window
+_PENDING = 1 << 19  # windows of such minimizers that a task holds at once
 _EMPTY = hashlib.sha256(b"").hexdigest()
 
 
@@ -95,22 +97,86 @@ def _repeated_minimizers(docs: DataFrame, length: int, shares: int) -> DataFrame
     return credited.groupBy("doc_id").agg(F.flatten(F.collect_list("found")).alias("found"))
 
 
+def _hot_minimizers(held: DataFrame, length: int) -> np.ndarray:
+    """The minimizers with more than ``HOT`` runs, of which a task counts equal ones once: at most a ``HOT``-th of all runs."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            seen: set[tuple[int, int]] = set()
+            for text, found in zip(batch.column(1), batch.column(2)):
+                raw = text.as_py().encode()
+                name, start, number, _ = runs(np.frombuffer(raw, np.uint8), length, GRAM)
+                wanted = np.isin(name, found.values.to_numpy().view(np.uint64))
+                seen.update((m, hash(raw[s : s + c + length - 1])) for m, s, c in zip(name[wanted].view(np.int64).tolist(), start[wanted].tolist(), number[wanted].tolist()))
+            names, counts = np.unique(np.array([m for m, _ in seen], np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(counts.astype(np.int64))], ["name", "n"])
+
+    counted = held.select("doc_id", "text", "found").mapInArrow(count, "name long, n long").groupBy("name").agg(F.sum("n").alias("n"))
+    return np.array(sorted(r["name"] for r in counted.where(F.col("n") > HOT).select("name").collect()), np.int64)
+
+
+def _windows(raw: bytes, starts: np.ndarray, counts: np.ndarray, key: int, length: int) -> np.ndarray:
+    """Columns of the windows of some runs: two hashes of their bytes, doc_id and start."""
+    half, data = length // 2, np.frombuffer(raw, np.uint8)
+    at = np.concatenate([np.arange(s, s + c) for s, c in zip(starts.tolist(), counts.tolist())])
+    return np.stack([gram_hashes(data, half)[at].view(np.int64), gram_hashes(data, length - half)[at + half].view(np.int64), np.full(len(at), key, np.int64), at.astype(np.int64)])
+
+
+def _later(windows: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """The earliest of each group of equal windows, and runs (doc_id, start, count) of the other ones."""
+    windows = windows[:, np.lexsort(windows[::-1])]
+    opens = np.ones(windows.shape[1], bool)
+    opens[1:] = (windows[:2, 1:] != windows[:2, :-1]).any(0)
+    first = windows[:, opens]
+    again = windows[2:, (windows[2:] != first[2:, np.cumsum(opens) - 1]).any(0)]
+    again = again[:, np.lexsort(again[::-1])]
+    starts = np.ones(again.shape[1], bool)
+    starts[1:] = (again[0, 1:] != again[0, :-1]) | (again[1, 1:] > again[1, :-1] + 1)
+    at = np.flatnonzero(starts)
+    ends = np.append(at[1:], again.shape[1]) - 1
+    return first, list(zip(again[0, at].tolist(), again[1, at].tolist(), (again[1, ends] - again[1, at] + 1).tolist())) if len(at) else []
+
+
 def _removed_runs(held: DataFrame, length: int, shares: int) -> DataFrame:
     """(doc_id, start, count): runs of window starts whose window also starts earlier.
 
     A task sends each distinct run of windows once, with its bytes, and reports later
-    occurrences of the same run right away.
+    occurrences of the same run right away. Runs of hot minimizers are not compared with
+    each other: their windows are dealt by two hashes of their own bytes, as arrays, each
+    distinct one once a task, so that no share holds all runs around a common passage.
     """
+    hot = _hot_minimizers(held, length)
+    shared = held.sparkSession.sparkContext.broadcast(hot)
+
+    def deal(windows: list[np.ndarray], rows: list[tuple]) -> None:
+        first, again = _later(np.concatenate(windows, 1))
+        part = ((first[0].view(np.uint64) >> np.uint64(32)) * np.uint64(shares) >> np.uint64(32)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        first, part = first[:, order], part[order]
+        at = np.flatnonzero(np.diff(part, prepend=-1))
+        rows += [(int(part[a]), None, 0, 0, 0, first[:, a:b].tobytes(), False) for a, b in zip(at.tolist(), [*at[1:].tolist(), len(part)])]
+        rows += [(hash((k, s)) % shares, 0, k, s, c, None, False) for k, s, c in again]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = shared.value
         for batch in slices(batches):
             first: dict[tuple[int, bytes], tuple[int, int]] = {}
             again: list[tuple[int, int, int, int]] = []
             several: set[int] = set()
+            rows: list[tuple] = []
+            windows: list[np.ndarray] = []
             for key, text, found in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
                 raw = text.as_py().encode()
                 name, start, count, multi = runs(np.frombuffer(raw, np.uint8), length, GRAM)
                 wanted = np.isin(name, found.values.to_numpy().view(np.uint64))
+                if len(often):
+                    common = wanted & np.isin(name.view(np.int64), often)
+                    if common.any():
+                        windows.append(_windows(raw, start[common], count[common], key, length))
+                        if sum(w.shape[1] for w in windows) > _PENDING:
+                            deal(windows, rows)
+                            windows.clear()
+                        wanted &= ~common
                 several.update(name[wanted & multi].view(np.int64).tolist())
                 for m, s, c in zip(name[wanted].view(np.int64).tolist(), start[wanted].tolist(), count[wanted].tolist()):
                     body = raw[s : s + c + length - 1]
@@ -121,7 +187,9 @@ def _removed_runs(held: DataFrame, length: int, shares: int) -> DataFrame:
                             again.append((m, *seen, c))
                         else:
                             again.append((m, key, s, c))
-            rows = [(m % shares, m, k, s, None, body, m in several) for (m, body), (k, s) in first.items()]
+            if windows:
+                deal(windows, rows)
+            rows += [(m % shares, m, k, s, None, body, m in several) for (m, body), (k, s) in first.items()]
             rows += [(hash((k, s)) % shares, m, k, s, c, None, False) for m, k, s, c in again]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_()))], ["part", "name", "doc_id", "start", "count", "body", "multi"])
@@ -131,7 +199,11 @@ def _removed_runs(held: DataFrame, length: int, shares: int) -> DataFrame:
         first: dict[tuple[int, bytes], tuple[int, int]] = {}
         names: dict[int, int] = {}
         several: set[int] = set()
+        windows: list[np.ndarray] = []
         for name, key, start, count, body, multi in zip(*(table.column(k).to_pylist() for k in ("name", "doc_id", "start", "count", "body", "multi"))):
+            if name is None:
+                windows.append(np.frombuffer(body, np.int64).reshape(4, -1))
+                continue
             if multi:
                 several.add(name)
             if body is None:
@@ -145,6 +217,8 @@ def _removed_runs(held: DataFrame, length: int, shares: int) -> DataFrame:
                 low, high = sorted([seen, (key, start)])
                 first[name, body] = low
                 out.append((*high, len(body) - length + 1))
+        if windows:
+            out += _later(np.concatenate(windows, 1))[1]
         # A run alone under its minimizer can only repeat within itself, and only if that lies in it twice.
         rows = sorted((k, s, body) for (name, body), (k, s) in first.items() if names[name] > 1 or name in several)
         if rows:
