@@ -1,6 +1,6 @@
 """A corpus from raw documents to packed sequences, as stages that are written and read again.
 
-Documents are named by doc_id; the near-duplicate stages leave out rows without one. All
+Documents are named by doc_id; the near-duplicate stages keep rows without one as they are. All
 stages but the last return the columns of ``documents``.
 """
 
@@ -9,6 +9,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.llm import jaccard, language, packing, quality, suffixes
 from tidemark.llm.shared import shared_folder
@@ -23,14 +24,17 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the repetition rules and lie near their language's reference."""
-    kept = quality.quality_rules(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    # Rows that agree in doc_id, language and text have one verdict; parts of a struct match where both are null.
+    keyed = docs.withColumn("_key", F.struct("doc_id", "lang", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("sha")))
+    kept = quality.quality_rules(keyed, doc_id="_key").where("kept").select(F.col("doc_id").alias("_key"))
+    return keyed.join(kept, "_key", "left_semi").select(*docs.columns)
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one of the smallest doc_id, repeated rows once."""
     kept = jaccard.jaccard_components(docs).where("doc_id = component_id").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    named = docs.join(kept, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    return named.union(docs.where(docs["doc_id"].isNull()))
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tests.llm.test_duplicates import brute_components, brute_removal
-from tidemark.llm import quality
+from tidemark.llm import jaccard, quality, suffixes
 
 
 @pytest.fixture(scope="module")
@@ -85,3 +85,22 @@ def test_empty_documents(spark, nothing):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, "")
     assert docs.count() == 0
+
+
+def test_rows_are_not_dropped_by_their_id(spark, rows):
+    """Null ids stay to the end, the verdict is the row's own, repeated rows stay once, and -1 is an id like others."""
+    good, near = rows[20][1], [r for r in rows if r[1] and len(r[1].split()) > 60][:2]
+    bad = "again and again and " * 30
+    table = [(None, good, "en", "s", len(good)), (7, near[0][1], "en", "s", 1), (7, bad, "en", "s", 1), (9, near[1][1], "en", "s", 1), (9, near[1][1], "en", "s", 1)]
+    docs = spark.createDataFrame(table, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = sorted((r.doc_id or 0, r.text) for r in corpus_pipeline.quality_rules(spark, docs, "").collect())
+    judged = quality.quality_rules(docs.where(f"text <> '{bad}'")).where("kept").count()
+    assert (7, bad) not in kept and (0, good) in kept and len(kept) >= judged - 1 and len({k for k, _ in kept}) == 3
+    lone = corpus_pipeline.ngram_jaccard(spark, docs, "")
+    assert lone.count() == 4 and lone.where("doc_id is null").first().text == good
+    assert corpus_pipeline.suffix_dedup(spark, lone, "").where("doc_id is null").first().text == good
+    found = {(r.doc_id, r.n_removed) for r in suffixes.remove_repeats(docs).collect() if r.doc_id != 7}
+    assert found == {(None, 0), (9, 0)}
+    text = " ".join(f"w{k}" for k in range(40))
+    df = spark.createDataFrame([(-1, text), (None, text), (5, text + " more")], "doc_id long, text string").repartition(2)
+    assert {tuple(r) for r in jaccard.every_document(df).collect()} == {(-1, 36, -1), (5, 37, -1), (None, 36, None)}

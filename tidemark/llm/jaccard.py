@@ -59,31 +59,37 @@ def _suspects(docs: DataFrame, width: int, percent: int, ranges: int) -> DataFra
             repeated = same[1:] | same[:-1]
             credit = np.bincount(owner[repeated], minlength=len(ids))
             first = ~same[:-1]
-            tokens, sender = tokens[first], np.where(repeated, -1, ids[owner])[first]
+            tokens, sender, known = tokens[first], ids[owner][first].astype(np.int64), repeated[first]
             part = (tokens >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
             cuts = np.searchsorted(part, np.arange(ranges + 1, dtype=np.uint64))
             short = (tokens * np.uint64(ranges) >> np.uint64(32)).astype(np.uint32)  # the bits below the range
-            rows = [(r, short[a:b].tobytes(), sender[a:b].astype(np.int64).tobytes(), None) for r, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if b > a]
+            rows = []
+            for r, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
+                if b > a:  # tokens with an owner come first
+                    lone = ~known[a:b]
+                    rows.append((r, np.concatenate([short[a:b][lone], short[a:b][~lone]]).tobytes(), sender[a:b][lone].tobytes(), None))
             rows.append(((TaskContext.get().partitionId() * 31 + number) % ranges, ids.astype(np.int64).tobytes(), n.tobytes(), credit.astype(np.int64).tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["part", "tokens", "owners", "credit"])
 
     def credit(table: pa.Table) -> pa.Table:
         ids, sizes, credits = [], [], []
-        tokens, owners = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        tokens, owners, owned = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
         for t, o, c in zip(*(table.column(k).to_pylist() for k in ("tokens", "owners", "credit"))):
             if c is None:
                 tokens.append(np.frombuffer(t, np.uint32))
-                owners.append(np.frombuffer(o, np.int64))
+                of = np.frombuffer(o, np.int64)
+                owners.append(np.append(of, np.zeros(len(tokens[-1]) - len(of), np.int64)))
+                owned.append(np.arange(len(tokens[-1])) < len(of))
             else:
                 ids.append(np.frombuffer(t, np.int64))
                 sizes.append(np.frombuffer(o, np.int64))
                 credits.append(np.frombuffer(c, np.int64))
-        t, o = np.concatenate(tokens), np.concatenate(owners)
+        t, o, lone = np.concatenate(tokens), np.concatenate(owners), np.concatenate(owned)
         order = np.argsort(t, kind="stable")
-        t, o = t[order], o[order]
+        t, o, lone = t[order], o[order], lone[order]
         same = np.zeros(len(t) + 1, bool)
         same[1:-1] = t[1:] == t[:-1]
-        found, counts = np.unique(o[(same[1:] | same[:-1]) & (o != -1)], return_counts=True)
+        found, counts = np.unique(o[(same[1:] | same[:-1]) & lone], return_counts=True)
         return pa.table({"doc_id": np.concatenate([*ids, found]).astype(np.int64), "n": np.concatenate([*sizes, np.zeros(len(found), np.int64)]).astype(np.int64), "credit": np.concatenate([*credits, counts]).astype(np.int64)})
 
     sent = docs.mapInArrow(send, "part int, tokens binary, owners binary, credit binary")
@@ -218,3 +224,15 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, doc_i
     members = cut(members.join(labels, F.col("rep") == F.col("id"), "left").select("doc_id", F.coalesce("component", "rep").alias("component")))
     discard(every, sets, signatures)
     return sizes.join(members, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def every_document(docs: DataFrame, width: int = 5) -> DataFrame:
+    """As ``jaccard_components``, and a row for each row with a null doc_id: its n_shingles and no component."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = [len(s) for s in shingles(batch.column(0), width)]
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(n), pa.int64()), pa.array(n, pa.int64()), pa.nulls(len(n), pa.int64())], ["doc_id", "n_shingles", "component_id"])
+
+    nameless = docs.where(docs["doc_id"].isNull()).select(docs["text"]).mapInArrow(run, "doc_id long, n_shingles long, component_id long")
+    return jaccard_components(docs, width).unionByName(nameless)

@@ -20,7 +20,7 @@ def op2_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+    return jaccard.every_document(table(spark, sf_dir, "documents"))
 
 
 def op4_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

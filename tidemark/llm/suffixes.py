@@ -253,12 +253,18 @@ def remove_repeats(docs: DataFrame, length: int = 100, doc_id: str = "doc_id", t
     starts earlier: in a document of smaller doc_id, or before in the same one. All
     strings are judged on the input. spans lists the removed ranges (start, end in
     bytes), null for a whole copy of an earlier text. A null text is empty; shorter
-    texts than ``length`` lose nothing. Rows with a null doc_id
-    are left out. Repeated rows of a doc_id and a text give one row; several texts of
+    texts than ``length`` lose nothing. A row with a null doc_id
+    is not compared and loses nothing. Repeated rows of a doc_id and a text give one row; several texts of
     one doc_id are taken in the order of their digests. Other columns are ignored.
     """
-    docs = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text")).where(F.col("doc_id").isNotNull())
-    return _judged(docs, length).drop("sha")
+    docs = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
+    own, none = F.coalesce("text", F.lit("")), F.lit(0).cast("long")
+    nameless = docs.where(F.col("doc_id").isNull()).select(
+        "doc_id", F.octet_length(own).cast("long").alias("n_bytes"), none.alias("n_removed"), F.lit(0).alias("n_spans"),
+        F.sha2(own.cast("binary"), 256).alias("kept_sha256"), F.array().cast("array<struct<start: bigint, end: bigint>>").alias("spans"),
+    )
+    judged = _judged(docs.where(F.col("doc_id").isNotNull()), length).drop("sha")
+    return judged.unionByName(nameless.withColumn("n_spans", F.col("n_spans").cast(judged.schema["n_spans"].dataType)))
 
 
 def _judged_by_key(docs: DataFrame, base: DataFrame, length: int) -> DataFrame:
@@ -309,7 +315,7 @@ def cut_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
 
     A character goes when all its bytes do. Documents of which nothing is left, as
     whole copies, go; texts that were empty or null before stay. All columns are kept;
-    of repeated rows of a doc_id and a text one stays; rows with a null doc_id are left out.
+    of repeated rows of a doc_id and a text one stays; rows with a null doc_id stay as they are.
     """
 
     @F.pandas_udf("string")
@@ -336,4 +342,4 @@ def cut_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     changed = F.col("_removed") > 0
     text = F.when(changed, cut_text(F.coalesce("text", F.lit("")), F.col("_spans"))).otherwise(F.col("text"))
     out = joined.withColumn("text", text).where(~changed | (F.length("text") > 0))
-    return out.withColumn("n_chars", F.when(F.col("_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    return out.withColumn("n_chars", F.when(F.col("_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns).union(docs.where(docs["doc_id"].isNull()))
