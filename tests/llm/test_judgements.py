@@ -77,6 +77,27 @@ def test_pages_without_article_go_by_density():
     assert html.main_text(None) == html.main_text("") == html.main_text("<p") == ""
 
 
+@pytest.mark.parametrize("before, after", [('<body class="has-header-image has-sidebar">', ""), ('<body class="right-sidebar">', ""), ('<html class="no-cookie"><body>', ""), ('<div id="content" class="with-sidebar">', "</div>"), ('<div class="layout sidebar-right">', "</div>")])
+def test_layout_names_drop_no_article(before, after):
+    text = "The house of the river and the garden is in the light of the morning and of the day."
+    page = f'{before}<div class="sidebar">{text}</div><article class="post no-comments"><p>{text}</p><div class="comments"><article class="comment"><p>{text} No.</p></article></div></article>{after}'
+    assert html.main_text(page) == text
+
+
+def test_article_text_with_links_and_fallbacks():
+    text = "The house of the river and the garden is in the light of the morning and of the day."
+    linked = f"<a href=x>{text}</a>"
+    page = f"<article><h2><a href=x>{text}</a></h2><p>{text}</p><p>{linked}</p><p>{text} {linked[:60]}</a></p><p>{text} <math><mi>x</mi></math> <object data=y>fallback</object></p><ul><li>{linked}</li><li>{linked}</li></ul></article>"
+    got = html.main_text(page).split("\n")
+    assert got[:3] == [text] * 3 and got[4] == f"{text} x fallback" and len(got) == 5
+
+
+def test_languages_without_a_list_go_by_length_and_links():
+    text = "Дом у реки стоит в саду, и утром свет падает на старые камни возле воды. " * 4
+    page = f"<body><div>Меню</div><p>{text}</p><p><a href=x>{text}</a></p><p>{text}</p></body>"
+    assert html.main_text(page).split("\n") == [text.strip()] * 2
+
+
 def test_pages_keep_every_row(spark):
     df = spark.createDataFrame([(1, "u", PAGE, 5), (1, "u", PAGE, 5), (2, None, None, 6), (None, "v", "", 7)], "page_id long, url string, html string, n_chars int")
     assert sorted((r.page_id or 0, r.n_chars == len(r.text)) for r in html.extract_pages(df).collect()) == [(0, True), (1, True), (1, True), (2, True)]

@@ -17,6 +17,8 @@ BLOCKS = frozenset(
 FURNITURE = frozenset("nav header footer aside form menu dialog head select button textarea".split())
 CONTENT = frozenset("article main".split())
 CONTENT_NAMES = frozenset("article articlebody content entry main post story".split())
+FRAMES = frozenset("html body main article".split())  # never judged by names
+WITH = frozenset("has have no not with without".split())  # a name after these is about something else
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 NAMES = frozenset(
     "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus disclaimer footer gdpr header masthead menu modal nav navbar navigation newsletter notice pagination popup promo promoted related replies respond share sharing sidebar social sponsor sponsored subscribe toolbar widget".split()
@@ -33,7 +35,7 @@ STOP_WORDS = frozenset(
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|svg|iframe|object|canvas|math)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style|noscript|template|svg|iframe|canvas|annotation-xml|annotation)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>"
     r"|<[!?][^>]*>",
     re.S | re.I,
@@ -52,6 +54,7 @@ class Block:
 
 
 def _is_furniture(tag: str, attrs: str) -> bool:
+    """By element, role, or because it is hidden."""
     if tag in FURNITURE:
         return True
     if not attrs:
@@ -60,11 +63,24 @@ def _is_furniture(tag: str, attrs: str) -> bool:
         name, value = name.lower(), (a or b or c).lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
             return True
-        if name == "role" and value in ROLES or name in ("class", "id") and not NAMES.isdisjoint(re.split(r"[\s_-]+", value)):
+        if name == "role" and value in ROLES:
             return True
     return False
 
 
+def _named_furniture(tag: str, attrs: str) -> bool:
+    """By a part of a class or id."""
+    if not attrs or tag in FRAMES:
+        return False
+    for name, a, b, c in ATTRIBUTE.findall(attrs):
+        if name.lower() in ("class", "id"):
+            for value in (a or b or c).lower().split():
+                parts = re.split(r"[_-]+", value)
+                if any(x in NAMES and not (k and parts[k - 1] in WITH) for k, x in enumerate(parts)):
+                    return True
+    return False
+
+
 def _is_content(tag: str, attrs: str) -> bool:
     if tag in CONTENT:
         return True
@@ -73,17 +89,24 @@ def _is_content(tag: str, attrs: str) -> bool:
 
 
 def blocks(page: str) -> list[Block]:
-    """The page's text blocks in order. A tag that is never closed ends with its parent."""
+    """The page's text blocks in order. A tag that is never closed ends with its parent.
+
+    An element that only its class or id names as furniture is none if it holds the
+    page's article: its first main element or, without one, its first article.
+    """
     out: list[Block] = []
+    inside: list[tuple[list[bool], ...]] = []  # of each block, the named elements around it
+    wanted = next((x for x in ("main", "article") if any((m["tag"] or "").lower() == x for m in TOKEN.finditer(page))), None)
     parts: list[str] = []
     links = link = 0
-    stack: list[tuple[str, bool, bool]] = []  # open block elements: tag, inside furniture, inside content
+    stack: list[tuple[str, bool, bool, tuple[list[bool], ...]]] = []  # open block elements: tag, inside furniture, inside content, named elements around
 
     def flush() -> None:
         nonlocal links
         text = " ".join("".join(parts).split())
         if text:
-            tag, bad, good = stack[-1] if stack else ("", False, False)
+            tag, bad, good, named = stack[-1] if stack else ("", False, False, ())
+            inside.append(named)
             out.append(Block(text, links, bad, good, tag in ("h1", "h2", "h3", "h4", "h5", "h6")))
         parts.clear()
         links = 0
@@ -108,7 +131,7 @@ def blocks(page: str) -> list[Block]:
             link = 0 if closing else 1
         elif tag == "br":
             parts.append("\n")
-        elif tag in BLOCKS or not closing and _is_furniture(tag, m["attrs"]) and tag not in VOID or closing and any(s[0] == tag for s in stack):
+        elif tag in BLOCKS or not closing and (_is_furniture(tag, m["attrs"]) or _named_furniture(tag, m["attrs"])) and tag not in VOID or closing and any(s[0] == tag for s in stack):
             flush()
             link = 0
             if tag in VOID:
@@ -121,14 +144,20 @@ def blocks(page: str) -> list[Block]:
             else:
                 if tag in ("p", "li", "td", "th", "tr", "dt", "dd", "option") and stack and stack[-1][0] == tag:
                     stack.pop()
-                bad, good = stack[-1][1:] if stack else (False, False)
-                furniture = _is_furniture(tag, m["attrs"])
-                if furniture and tag == "header" and good and not bad:
-                    furniture = False  # an article's own heading
-                stack.append((tag, bad or furniture, good or _is_content(tag, m["attrs"])))
+                bad, good, named = stack[-1][1:] if stack else (False, False, ())
+                if tag == wanted:
+                    wanted = None
+                    for element in named:
+                        element[0] = False
+                own = tag == "header" and good and not bad and not any(x[0] for x in named)  # an article's own heading
+                if not own and _named_furniture(tag, m["attrs"]):
+                    named = (*named, [True])
+                stack.append((tag, bad or not own and _is_furniture(tag, m["attrs"]), good or _is_content(tag, m["attrs"]), named))
     if at < len(page):
         add(page[at:])
     flush()
+    for block, named in zip(out, inside):
+        block.furniture = block.furniture or any(x[0] for x in named)
     return out
 
 
@@ -137,25 +166,38 @@ def classify(found: list[Block], short: int = 70, long: int = 200, max_links: fl
 
     First pass: furniture and blocks of links are bad; a block of ``short``
     characters is good with many stop words, near-good with some, else bad; inside an
-    article or main element a block without many links is good as it is. Shorter
+    article or main element a block is good as it is, unless it and its neighbour there
+    are mostly links; headings are never judged by links. On a page of which
+    few words are known stop words, length alone tells good from near-good. Shorter
     blocks, and long ones between the limits, stay open. Second pass: an open block
     takes the label of its nearest decided neighbours, or of the nearer one if they
     differ (a heading: of the one below); the page's edges count as bad. Inside an
     article or main element it is good unless all its decided neighbours there are bad.
     """
+    def stop_share(texts: list[str]) -> float:
+        words = [w.lower() for t in texts for w in WORD.findall(t)]
+        return sum(w in STOP_WORDS for w in words) / max(1, len(words))
+
+    def linked(i: int) -> bool:
+        b = found[i]
+        if not b.content:
+            return b.links > max_links * len(b.text)
+        near = [x for x in found[max(0, i - 1) : i + 2] if x.content and not x.furniture and not x.heading and 2 * x.links > len(x.text)]
+        return not b.heading and b in near and len(near) > 1
+
+    body = [b.text for b in found if not b.furniture and len(b.text) >= short and b.links <= max_links * len(b.text)]
+    foreign = stop_share(body) < low
     marks: list[bool | None] = []
-    for b in found:
+    for i, b in enumerate(found):
         n = len(b.text)
-        density = b.links / n
-        if b.furniture or density > max_links and n > 0:
+        if b.furniture or linked(i):
             marks.append(False)
         elif n < short:
             marks.append(None)
         elif b.content:
             marks.append(True)
         else:
-            words = [w.lower() for w in WORD.findall(b.text)]
-            stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
+            stops = high if foreign else stop_share([b.text])
             marks.append(True if stops >= high and n >= long else (None if stops >= low else False))
     last: list[tuple[int, bool] | None] = []
     seen = None
