@@ -119,6 +119,19 @@ def test_language_on_held_out_rows(spark):
     assert kept.columns == df.columns and kept.count() == len(rows) - 3
 
 
+def test_rare_languages_are_learned(spark):
+    """Eighty languages, of which the last sixteen are rarer than the others."""
+    import random
+
+    rnd = random.Random(11)
+    parts = [["".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=3)) for _ in range(8)] for _ in range(80)]
+    rows = [(0, " ".join("".join(rnd.choices(parts[k], k=2)) for _ in range(30)), f"l{k:02}") for k in range(80) for _ in range(14 if k < 64 else 8)]
+    df = spark.createDataFrame([(i, *r[1:]) for i, r in enumerate(rows)], "doc_id long, text string, lang string").repartition(3)
+    got = language.identify_languages(df).join(df, "doc_id").collect()
+    assert {r.lang_pred for r in got} == {f"l{k:02}" for k in range(80)}
+    assert sum(r.lang_pred == r.lang for r in got) / len(got) > 0.97
+
+
 def test_language_without_labels(nothing, docs):
     assert language.identify_languages(nothing).count() == 0
     assert {r.lang_pred for r in language.identify_languages(docs.selectExpr("doc_id", "text", "CAST(NULL AS STRING) AS lang")).collect()} == {"und"}

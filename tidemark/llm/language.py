@@ -3,12 +3,11 @@
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BITS = 15  # n-grams are hashed into 2**BITS presence features
@@ -16,6 +15,8 @@ SPECTRUM = (1, 2, 3)
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 _LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
+MANY = 64  # languages up to which each has its full sample and landmarks; more share as many, but have ``LEAST`` rows and one landmark
+LEAST = 20
 
 
 def ngrams(text: str) -> np.ndarray:
@@ -66,27 +67,38 @@ class KernelModel:
 
 
 def fit(rows: list[tuple[str, np.ndarray]], per_language: int = 40, ridge: float = 1e-2) -> KernelModel:
-    """One-versus-rest kernel ridge regression in the Nyström feature space of the first rows of each language."""
+    """One-versus-rest kernel ridge regression in the Nyström feature space of the first rows of each language.
+
+    Rows are presences or, packed, their bits; they are unpacked a batch at a time.
+    """
     languages = sorted({r[0] for r in rows})
     if not languages:
         return KernelModel([], np.zeros((0, 1 << BITS), bool), np.zeros((0, 0), np.float32))
+    column = {name: k for k, name in enumerate(languages)}
+    per_language = max(1, min(per_language, MANY * per_language // len(languages)))
+    loose = lambda r: r if r.dtype == bool else np.unpackbits(r).astype(bool)
     seen = dict.fromkeys(languages, 0)
     chosen = []
     for name, present in rows:
         seen[name] += 1
         if seen[name] <= per_language:
-            chosen.append(present)
+            chosen.append(loose(present))
     model = KernelModel(languages, np.stack(chosen), np.zeros((len(chosen), len(languages)), np.float32))
     values, vectors = np.linalg.eigh(model.kernel(chosen).astype(np.float64))
     keep = values > 1e-6 * values.max()
     whiten = vectors[:, keep] / np.sqrt(values[keep])
-    features = model.kernel([r[1] for r in rows]).astype(np.float64) @ whiten
-    target = np.where(np.array([r[0] for r in rows])[:, None] == np.array(languages), 1.0, -1.0)
-    # Each language weighs the same, however many rows it has.
-    count = np.array([seen[r[0]] for r in rows], float)
-    weight = (len(rows) / len(languages) / count)[:, None]
-    gram = features.T @ (weight * features) + ridge * len(rows) / 100 * np.eye(features.shape[1])
-    model.coefficients = (whiten @ np.linalg.solve(gram, features.T @ (weight * target))).astype(np.float32)
+    gram = ridge * len(rows) / 100 * np.eye(whiten.shape[1])
+    moment = np.zeros((whiten.shape[1], len(languages)))
+    for at in range(0, len(rows), 1024):
+        part = rows[at : at + 1024]
+        features = model.kernel([loose(r[1]) for r in part]).astype(np.float64) @ whiten
+        target = np.full((len(part), len(languages)), -1.0)
+        target[np.arange(len(part)), [column[r[0]] for r in part]] = 1.0
+        # Each language weighs the same, however many rows it has.
+        weight = (len(rows) / len(languages) / np.array([seen[r[0]] for r in part], float))[:, None]
+        gram += features.T @ (weight * features)
+        moment += features.T @ (weight * target)
+    model.coefficients = (whiten @ np.linalg.solve(gram, moment)).astype(np.float32)
     return model
 
 
@@ -94,29 +106,30 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, sample: int = 300, max_languages: int = 64, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> KernelModel:
-    """Fit on at most ``sample`` labelled rows of each of the ``max_languages`` commonest languages.
+def train(docs: DataFrame, sample: int = 300, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> KernelModel:
+    """Fit on at most ``sample`` labelled rows of every language; of more than ``MANY`` each has fewer rows.
 
     The rows are those of the lowest hashes of doc_id, among rows that are not held
     out. Their n-grams, not their texts, come to the driver: 4 KB a row.
     """
     ids = docs.select(docs[doc_id].alias("doc_id"), docs[lang].alias("lang")).where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull())
-    names = [r["lang"] for r in ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()]
-    if not names:
-        return fit([])
+    many = ids.select("lang").distinct().count()
+    sample = min(sample, max(LEAST, MANY * sample // max(1, many)))
     order = F.xxhash64("doc_id").alias("order")
-    picked = reduce(DataFrame.union, [ids.where(F.col("lang") == n).select("doc_id", "lang", order).orderBy("order", "doc_id").limit(sample) for n in names])
+    # Each task keeps the first rows of its languages before they meet, and one window ranks the rest.
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("order", "doc_id"))
+    picked = ids.select("doc_id", "lang", order).withColumn("rank", rank).where(F.col("rank") <= sample).drop("rank")
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             packed = [np.packbits(ngrams(x.as_py() or "")).tobytes() for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], ["order", "label", "bits"])
 
-    picked = F.broadcast(picked.distinct().withColumnRenamed("doc_id", "id"))  # at most sample * max_languages rows
+    picked = F.broadcast(picked.distinct().withColumnRenamed("doc_id", "id"))  # at most sample rows a language
     texts = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("t")).join(picked, F.col("doc_id") == F.col("id")).select("order", F.col("lang").alias("label"), "t")
     rows = texts.mapInArrow(bits, "order long, label string, bits binary").collect()
     rows.sort(key=lambda r: (r["order"], r["label"], bytes(r["bits"])))
-    return fit([(r["label"], np.unpackbits(np.frombuffer(bytes(r["bits"]), np.uint8)).astype(bool)) for r in rows])
+    return fit([(r["label"], np.frombuffer(bytes(r["bits"]), np.uint8)) for r in rows])
 
 
 def predict(docs: DataFrame, model: KernelModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
