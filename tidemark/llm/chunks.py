@@ -28,6 +28,19 @@ def chunks(text: str) -> list[str] | None:
     return [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
 
 
+def segments(text: str, size: int) -> Iterator[str]:
+    """Parts of a text, cut before a space once ``size`` characters are there; one part if runs of white space forbid the cut."""
+    if len(text) <= size or _RUN.search(text):
+        yield text
+        return
+    at = 0
+    while at < len(text):
+        stop = text.find(" ", at + size)
+        stop = len(text) if stop < 0 else stop
+        yield text[at:stop]
+        at = stop
+
+
 class ChunkMemo:
     """Remembers what was computed for chunks of at most ``longest`` characters, in two generations.
 
