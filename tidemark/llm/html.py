@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,10 +35,11 @@ STOP_WORDS = frozenset(
 )
 
 TOKEN = re.compile(
+    # A tag that another "<" interrupts outside quotes is none, and what was read is not tried again: a page is read in one pass.
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|svg|iframe|canvas|annotation-xml|annotation)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>"
-    r"|<[!?][^>]*>",
+    r"|<(?P<raw>script|style|noscript|template|svg|iframe|canvas|annotation-xml|annotation)\b(?:\"[^\"]*\"|'[^']*'|[^'\"<>])*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\"<>])*+)>"
+    r"|<[!?][^<>]*+>",
     re.S | re.I,
 )
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
@@ -88,6 +90,18 @@ def _is_content(tag: str, attrs: str) -> bool:
     return any(n.lower() in ("class", "id") and not CONTENT_NAMES.isdisjoint(re.split(r"[\s_-]+", (a or b or c).lower())) or n.lower() == "role" and (a or b or c).lower() == "main" for n, a, b, c in found)
 
 
+@dataclass
+class Named:
+    """An open element that its class or id names as furniture, inside others."""
+
+    outer: "Named | None"
+    bad: bool = True
+    within: bool = False  # itself or one around it is bad
+
+    def __post_init__(self):
+        self.within = self.bad or self.outer is not None and self.outer.within
+
+
 def blocks(page: str) -> list[Block]:
     """The page's text blocks in order. A tag that is never closed ends with its parent.
 
@@ -95,17 +109,20 @@ def blocks(page: str) -> list[Block]:
     page's article: its first main element or, without one, its first article.
     """
     out: list[Block] = []
-    inside: list[tuple[list[bool], ...]] = []  # of each block, the named elements around it
-    wanted = next((x for x in ("main", "article") if any((m["tag"] or "").lower() == x for m in TOKEN.finditer(page))), None)
+    inside: list[Named | None] = []  # of each block, the innermost named element around it
+    named_elements: list[Named] = []
+    found = {m["tag"].lower() for m in TOKEN.finditer(page) if m["tag"] and m["tag"].lower() in CONTENT}
+    wanted = next((x for x in ("main", "article") if x in found), None)
     parts: list[str] = []
     links = link = 0
-    stack: list[tuple[str, bool, bool, tuple[list[bool], ...]]] = []  # open block elements: tag, inside furniture, inside content, named elements around
+    stack: list[tuple[str, bool, bool, Named | None]] = []  # open block elements: tag, inside furniture, inside content, named element around
+    open_: Counter[str] = Counter()
 
     def flush() -> None:
         nonlocal links
         text = " ".join("".join(parts).split())
         if text:
-            tag, bad, good, named = stack[-1] if stack else ("", False, False, ())
+            tag, bad, good, named = stack[-1] if stack else ("", False, False, None)
             inside.append(named)
             out.append(Block(text, links, bad, good, tag in ("h1", "h2", "h3", "h4", "h5", "h6")))
         parts.clear()
@@ -131,33 +148,39 @@ def blocks(page: str) -> list[Block]:
             link = 0 if closing else 1
         elif tag == "br":
             parts.append("\n")
-        elif tag in BLOCKS or not closing and (_is_furniture(tag, m["attrs"]) or _named_furniture(tag, m["attrs"])) and tag not in VOID or closing and any(s[0] == tag for s in stack):
+        elif tag in BLOCKS or not closing and (_is_furniture(tag, m["attrs"]) or _named_furniture(tag, m["attrs"])) and tag not in VOID or closing and open_[tag]:
             flush()
             link = 0
             if tag in VOID:
                 continue
             if closing:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == tag:
-                        del stack[k:]
+                while open_[tag]:
+                    last = stack.pop()[0]
+                    open_[last] -= 1
+                    if last == tag:
                         break
             else:
                 if tag in ("p", "li", "td", "th", "tr", "dt", "dd", "option") and stack and stack[-1][0] == tag:
-                    stack.pop()
-                bad, good, named = stack[-1][1:] if stack else (False, False, ())
+                    open_[stack.pop()[0]] -= 1
+                bad, good, named = stack[-1][1:] if stack else (False, False, None)
                 if tag == wanted:
-                    wanted = None
-                    for element in named:
-                        element[0] = False
-                own = tag == "header" and good and not bad and not any(x[0] for x in named)  # an article's own heading
+                    wanted, element = None, named
+                    while element is not None:
+                        element.bad = element.within = False
+                        element = element.outer
+                own = tag == "header" and good and not bad and not (named and named.within)  # an article's own heading
                 if not own and _named_furniture(tag, m["attrs"]):
-                    named = (*named, [True])
+                    named = Named(named)
+                    named_elements.append(named)
                 stack.append((tag, bad or not own and _is_furniture(tag, m["attrs"]), good or _is_content(tag, m["attrs"]), named))
+                open_[tag] += 1
     if at < len(page):
         add(page[at:])
     flush()
+    for element in named_elements:  # outer elements come first
+        element.within = element.bad or element.outer is not None and element.outer.within
     for block, named in zip(out, inside):
-        block.furniture = block.furniture or any(x[0] for x in named)
+        block.furniture = block.furniture or named is not None and named.within
     return out
 
 
@@ -165,18 +188,20 @@ def classify(found: list[Block], short: int = 70, long: int = 200, max_links: fl
     """Whether each block is main text.
 
     First pass: furniture and blocks of links are bad; a block of ``short``
-    characters is good with many stop words, near-good with some, else bad; inside an
-    article or main element a block is good as it is, unless it and its neighbour there
-    are mostly links; headings are never judged by links. On a page of which
+    characters is good with many stop words, near-good with some, else bad. Inside an
+    article or main element some stop words make it good, and few leave it open, as code or
+    a table may be; there a block is one of links only if it and its neighbour mostly
+    are, and headings are never judged by links. On a page of which
     few words are known stop words, length alone tells good from near-good. Shorter
     blocks, and long ones between the limits, stay open. Second pass: an open block
     takes the label of its nearest decided neighbours, or of the nearer one if they
     differ (a heading: of the one below); the page's edges count as bad. Inside an
     article or main element it is good unless all its decided neighbours there are bad.
     """
-    def stop_share(texts: list[str]) -> float:
-        words = [w.lower() for t in texts for w in WORD.findall(t)]
-        return sum(w in STOP_WORDS for w in words) / max(1, len(words))
+
+    def stop_words(text: str) -> tuple[int, int]:
+        words = WORD.findall(text.lower())
+        return sum(w in STOP_WORDS for w in words), len(words)
 
     def linked(i: int) -> bool:
         b = found[i]
@@ -185,20 +210,20 @@ def classify(found: list[Block], short: int = 70, long: int = 200, max_links: fl
         near = [x for x in found[max(0, i - 1) : i + 2] if x.content and not x.furniture and not x.heading and 2 * x.links > len(x.text)]
         return not b.heading and b in near and len(near) > 1
 
-    body = [b.text for b in found if not b.furniture and len(b.text) >= short and b.links <= max_links * len(b.text)]
-    foreign = stop_share(body) < low
+    density = [stop_words(b.text) for b in found]
+    body = [d for b, d in zip(found, density) if not b.furniture and len(b.text) >= short and b.links <= max_links * len(b.text)]
+    foreign = sum(d[0] for d in body) < low * max(1, sum(d[1] for d in body))
     marks: list[bool | None] = []
-    for i, b in enumerate(found):
-        n = len(b.text)
+    for i, (b, (stops, words)) in enumerate(zip(found, density)):
+        n, share = len(b.text), high if foreign else stops / max(1, words)
         if b.furniture or linked(i):
             marks.append(False)
         elif n < short:
             marks.append(None)
         elif b.content:
-            marks.append(True)
+            marks.append(True if share >= low else None)
         else:
-            stops = high if foreign else stop_share([b.text])
-            marks.append(True if stops >= high and n >= long else (None if stops >= low else False))
+            marks.append(True if share >= high and n >= long else (None if share >= low else False))
     last: list[tuple[int, bool] | None] = []
     seen = None
     for i, m in enumerate(marks):
@@ -216,7 +241,7 @@ def classify(found: list[Block], short: int = 70, long: int = 200, max_links: fl
             out.append(m)
         elif found[i].content:
             near = [x for x in (last[i], seen) if x and found[x[0]].content]
-            out.append(min(near, key=lambda x: abs(x[0] - i))[1] if near and not any(x[1] for x in near) else True)
+            out.append(not near or any(x[1] for x in near))
         else:
             before, after = last[i] or (-1, False), seen or (len(marks), False)
             nearer = before if i - before[0] <= after[0] - i and not found[i].heading else after
