@@ -61,8 +61,8 @@ def preference_pairs(chosen: DataFrame, rejected: DataFrame, target: str = "assi
 
 
 def neighbours(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs without labels: conversation 2k as chosen and 2k + 1 as rejected, pair_id ``n<k>``."""
-    k = F.concat(F.lit("n"), F.floor(F.col("conv_id") / 2).cast("string"))
+    """Pairs without labels: conversation 2k as chosen and 2k + 1 as rejected, pair_id ``n<k>``; turns without a conv_id are in none."""
+    k = F.concat(F.lit("n"), F.expr("(conv_id - pmod(conv_id, 2)) div 2").cast("string"))
     of = lambda rest: turns.where(F.pmod("conv_id", F.lit(2)) == rest).select(k.alias("pair_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     return of(0), of(1)
 
@@ -71,12 +71,13 @@ def stale_answers(turns: DataFrame, target: str = "assistant") -> tuple[DataFram
     """Pairs from single conversations: the last answer as given is chosen, the answer before it, repeated, rejected.
 
     Every conversation with two turns of the target role or more gives the pair
-    ``s<conv_id>``; turns after its last answer are left out.
+    ``s<conv_id>``; turns after its last answer are left out, and so are those without a
+    conv_id or a turn number. Of several answers of one number the greatest text counts, a null one as empty.
     """
     answer = F.col("role") == target
     last = turns.where(answer).groupBy("conv_id").agg(F.max("turn").alias("last"))
     upto = turns.join(last, "conv_id").where(F.col("turn") <= F.col("last"))
-    before = upto.where(answer & (F.col("turn") < F.col("last"))).groupBy("conv_id").agg(F.max(F.struct("turn", "text"))["text"].alias("stale"), F.lit(True).alias("has"))
+    before = upto.where(answer & (F.col("turn") < F.col("last"))).groupBy("conv_id").agg(F.max(F.struct("turn", F.coalesce("text", F.lit("")).alias("text")))["text"].alias("stale"), F.lit(True).alias("has"))
     both = upto.join(before, "conv_id").select(F.concat(F.lit("s"), F.col("conv_id").cast("string")).alias("pair_id"), F.col("turn").cast("long").alias("turn"), "role", "text", "stale", (answer & (F.col("turn") == F.col("last"))).alias("final"))
     return both.select("pair_id", "turn", "role", "text"), both.select("pair_id", "turn", "role", F.when(F.col("final"), F.col("stale")).otherwise(F.col("text")).alias("text"))
 
@@ -88,7 +89,7 @@ def conversation_preferences(turns: DataFrame) -> DataFrame:
 
 
 _SIDE = """
-SELECT pair_id, turn, coalesce(role, '') AS role, coalesce({text}, '') AS text, row_number() OVER (PARTITION BY pair_id ORDER BY turn, coalesce(role, ''), coalesce({text}, '')) AS i FROM {source}"""
+SELECT pair_id, turn, coalesce(role, '') AS role, coalesce({text}, '') AS text, row_number() OVER (PARTITION BY pair_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce({text}, '')) AS i FROM {source}"""
 _REST = """
 SELECT pair_id, string_agg('<|' || role || '|>' || chr(10) || text || chr(10), '' ORDER BY i) AS body,
   string_agg(CASE WHEN role = 'assistant' THEN (stop - length(text) - 1) || '-' || stop END, ',' ORDER BY i) AS mask
@@ -96,10 +97,10 @@ FROM (SELECT *, CAST(sum(length(role) + length(text) + 6) OVER (PARTITION BY pai
 SQL = f"""
 WITH t AS (SELECT conv_id, CAST(turn AS BIGINT) AS turn, role, text FROM conversations),
 l AS (SELECT conv_id, max(turn) AS last FROM t WHERE role = 'assistant' GROUP BY conv_id),
-b AS (SELECT conv_id, arg_max(text, turn) AS stale FROM t JOIN l USING (conv_id) WHERE role = 'assistant' AND turn < last GROUP BY conv_id),
+b AS (SELECT conv_id, stale FROM (SELECT conv_id, coalesce(text, '') AS stale, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, coalesce(text, '') DESC) AS i FROM t JOIN l USING (conv_id) WHERE role = 'assistant' AND turn < last) WHERE i = 1),
 s AS (SELECT 's' || conv_id AS pair_id, turn, role, text, CASE WHEN role = 'assistant' AND turn = last THEN stale ELSE text END AS other FROM t JOIN l USING (conv_id) JOIN b USING (conv_id) WHERE turn <= last),
 c0 AS (SELECT 'n' || conv_id // 2 AS pair_id, turn, role, text FROM t WHERE conv_id % 2 = 0 UNION ALL SELECT pair_id, turn, role, text FROM s),
-r0 AS (SELECT 'n' || conv_id // 2 AS pair_id, turn, role, text FROM t WHERE conv_id % 2 = 1 UNION ALL SELECT pair_id, turn, role, other FROM s),
+r0 AS (SELECT 'n' || (conv_id - (conv_id % 2 + 2) % 2) // 2 AS pair_id, turn, role, text FROM t WHERE conv_id % 2 <> 0 UNION ALL SELECT pair_id, turn, role, other FROM s),
 c AS ({_SIDE.format(text="text", source="c0")}),
 r AS ({_SIDE.format(text="text", source="r0")}),
 p AS (SELECT pair_id FROM c UNION SELECT pair_id FROM r),
