@@ -9,25 +9,21 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidemark.llm import jaccard, language, packing, quality, suffixes
-from tidemark.llm.shared import shared_folder
+from tidemark.llm.shared import discard, mark, shared_folder, sweep
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the string kernels can tell; those without a letter go."""
+    """Documents whose language the string kernels can tell, with that language; those without a letter, or that no classifier claims, go."""
     return language.keep_identified(docs)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the repetition rules and lie near their language's reference."""
-    # Rows that agree in doc_id, language and text have one verdict; parts of a struct match where both are null.
-    keyed = docs.withColumn("_key", F.struct("doc_id", "lang", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("sha")))
-    kept = quality.quality_rules(keyed, doc_id="_key").where("kept").select(F.col("doc_id").alias("_key"))
-    return keyed.join(kept, "_key", "left_semi").select(*docs.columns)
+    """Documents that pass the repetition rules and lie near the reference of their predicted language."""
+    return quality.keep_good(docs)
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,10 +56,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``; each result goes through Parquet in the shared folder."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        path = f"{shared_folder(spark).rstrip('/')}/pipeline-{name}-{uuid.uuid4().hex}"
+    """Apply the stages to ``documents``; each result goes through Parquet in the shared folder.
+
+    What a stage wrote on its way goes with its result written; so does its predecessor's result.
+    """
+    docs = first = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES:
+        before = mark()
+        path = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
         stage(spark, docs, sf_dir).write.parquet(path)
+        sweep(spark, before)
+        if docs is not first:
+            discard(docs)
         docs = spark.read.parquet(path)
     return docs

@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.chunks import slices
 from tidemark.llm.components import connected_components
-from tidemark.llm.shared import cut, discard, written
+from tidemark.llm.shared import discard, join_by_class, written
 from tidemark.llm.shingles import shingles
 
 RARE = 8  # a token in more sets than these is frequent
-GROUPS = 16  # classes of frequent tokens, of which pairs are indexed
+GROUPS = 16  # classes of frequent tokens, of which pairs are indexed; long sets have more
+BLOCK = 2000  # sets of a bucket that one task compares with the bucket
 ROWS_A_RANGE = 1500
 WORDS = 16  # 64-bit words of a set's parity map
 
@@ -33,6 +34,11 @@ def _extra(n):
     return n * 3 // 10
 
 
+def _classes(n: int) -> int:
+    """The classes of a set of n tokens: a power of two, about n / 30, so that a class holds a bounded part of the prefix."""
+    return max(GROUPS, 1 << (n // 40).bit_length())
+
+
 def _suspects(docs: DataFrame, width: int, percent: int, ranges: int) -> DataFrame:
     """(doc_id, n, near): size of each document's set and whether it can have a link at all.
 
@@ -129,9 +135,29 @@ def _prefix_signatures(ordered: DataFrame, percent: int) -> DataFrame:
     that share no signature share at most one token of each class, and so too few.
     A set can run out of tokens before its prefix is whole only if the least overlap is
     no more than the classes; such a set, and any that is similar to it by so few tokens,
-    also gives its plain prefix, token by token.
+    also gives its plain prefix, token by token. The classes grow with the set, so that
+    the pairs of a class do not: signatures are about as many as tokens. A set also
+    gives those of the largest set that can be similar to it, so two similar sets share a number of classes.
     """
 
+    def signatures(n: int, left: int, tokens: list[int], counts: list[int], groups: int) -> set[int]:
+        budget = left
+        rare = sum(c <= RARE for c in counts)
+        own = set([t for t, c in zip(tokens, counts) if c > RARE][: max(0, budget - rare)]) if _needed(n, percent) <= groups else set()
+        classes: dict[int, list[int]] = {}
+        for token, count in zip(tokens, counts):
+            if budget <= 0:
+                break
+            if count <= RARE:
+                own.add(token)
+                budget -= 1
+            else:
+                group = classes.setdefault(token % groups, [])
+                budget -= bool(group)
+                group.append(token)
+        own.update(hash(pair) for g in classes.values() for pair in combinations(sorted(g), 2))
+        return own
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sigs, ids, sizes = [], [], []
@@ -139,23 +165,10 @@ def _prefix_signatures(ordered: DataFrame, percent: int) -> DataFrame:
                 t, c = tokens.values.to_numpy(), counts.values.to_numpy()
                 order = np.lexsort((t, c))
                 t, c = t[order], c[order]
-                budget = n - _needed(n, percent) + 1
-                budget -= n - len(t)  # tokens that no other set has come first and have no signature
-                plain = t[c > RARE][: max(0, budget - int((c <= RARE).sum()))].tolist() if _needed(n, percent) <= GROUPS else []
-                classes: list[list[int]] = [[] for _ in range(GROUPS)]
-                own: list[int] = []
-                for token, count in zip(t.tolist(), c.tolist()):
-                    if budget <= 0:
-                        break
-                    if count <= RARE:
-                        own.append(token)
-                        budget -= 1
-                    else:
-                        group = classes[token % GROUPS]
-                        budget -= bool(group)
-                        group.append(token)
-                own += plain
-                own += [hash(pair) for g in classes for pair in combinations(sorted(g), 2)]
+                left = n - _needed(n, percent) + 1 - (n - len(t))  # tokens that no other set has come first and have no signature
+                reach = max(0, left) + 2 * _classes(n)  # no prefix goes further
+                t, c = t[:reach].tolist(), c[:reach].tolist()
+                own = set().union(*(signatures(n, left, t, c, g) for g in {_classes(n), _classes(n * 100 // percent)}))
                 sigs += own
                 ids += [doc] * len(own)
                 sizes += [n] * len(own)
@@ -179,7 +192,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, doc_i
     more; a component is named after its smallest doc_id. Every link between different
     sets is found. Equal sets are one class from the start; copies are never paired
     with each other. A null or wordless text has no shingles and no link. doc_id is
-    taken as a key: rows with a null one are left out, repeated ones give one row.
+    taken as a key: rows with a null one are left out, repeated ones give one row, with
+    the largest set and the smallest component of its texts if they differ.
     Other columns are ignored.
 
     Candidates come from prefix signatures. Each bucket first compares its sets with
@@ -187,11 +201,12 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, doc_i
     and whose parity maps allow a link are paired, so that a large group of near copies costs about one comparison a set.
     """
     docs = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text")).where(F.col("doc_id").isNotNull())
-    ranges = max(256, docs.count() // ROWS_A_RANGE)
-    sizes = cut(_suspects(docs, width, percent, ranges))
+    total = docs.count()
+    ranges = max(256, total // ROWS_A_RANGE)
+    sizes = written(_suspects(docs, width, percent, ranges))
     near = sizes.where("near").select("doc_id")
     every = written(_sets(docs.join(near.hint("shuffle_hash"), "doc_id", "left_semi"), width))
-    classes = cut(every.groupBy("digest").agg(F.min("doc_id").alias("rep")))
+    classes = written(every.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("count")))
     sets = written(every.join(classes.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi").select("doc_id", "n", "tokens", "bits"))
 
     tokens = sets.select("doc_id", "n", F.explode("tokens").alias("token"))
@@ -201,28 +216,31 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, doc_i
 
     fits = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
     pivots = signatures.groupBy("sig").agg(F.min(F.struct("doc_id", "n")).alias("p"), F.count("*").alias("c")).where("c > 1").select("sig", F.col("p.doc_id").alias("a"), F.col("p.n").alias("m"))
-    tried = cut(signatures.join(pivots, "sig").where((F.col("doc_id") != F.col("a")) & fits).select("a", F.col("doc_id").alias("b")).distinct())
-    links = cut(_links(tried, sets, percent))
+    tried = written(signatures.join(pivots, "sig").where((F.col("doc_id") != F.col("a")) & fits).select("a", F.col("doc_id").alias("b")).distinct())
+    links = written(_links(tried, sets, percent))
     labels = connected_components(links)
 
     # Buckets with several components: their sets are compared across components. Sets of n and
     # m tokens are similar only if they differ in (n + m)(100 - percent) / (100 + percent) or
     # fewer, which the parity maps rule out for nearly all others inside the join.
     placed = signatures.join(labels, F.col("doc_id") == F.col("id"), "left").select("sig", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
-    open_ = placed.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("sig")
+    open_ = placed.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("low < high").select("sig", "blocks")
     maps = sets.select("doc_id", *[F.col("bits")[i].alias(f"x{i}") for i in range(WORDS)])
-    left = cut(placed.join(open_, "sig", "left_semi").join(maps, "doc_id"))
-    other = left.select("sig", F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"), *[F.col(f"x{i}").alias(f"y{i}") for i in range(WORDS)])
+    left = written(placed.join(open_, "sig").join(maps, "doc_id").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")))
+    # A large bucket is dealt by blocks of its sets: each block meets the whole bucket in a task of its own.
+    other = left.select("sig", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"), *[F.col(f"x{i}").alias(f"y{i}") for i in range(WORDS)])
     differ = sum((F.bit_count(F.col(f"x{i}").bitwiseXOR(F.col(f"y{i}"))) for i in range(1, WORDS)), F.bit_count(F.col("x0").bitwiseXOR(F.col("y0"))))
     close = (100 + percent) * differ <= (100 - percent) * (F.col("n") + F.col("m"))
     across = (F.col("a") < F.col("b")) & (F.col("component") != F.col("other"))
-    more = left.withColumnRenamed("doc_id", "a").join(other, (left["sig"] == other["sig"]) & across & fits & close).select("a", "b").distinct()
+    more = left.withColumnRenamed("doc_id", "a").join(other, (left["sig"] == other["sig"]) & (left["block"] == other["block"]) & across & fits & close).select("a", "b").distinct()
     found = links.union(_links(more.join(tried, ["a", "b"], "left_anti"), sets, percent))
-    labels = connected_components(cut(found))
+    discard(labels)
+    found = written(found)
+    labels = connected_components(found)
 
-    members = every.select("doc_id", "digest").join(classes, "digest").select("doc_id", "rep").distinct()
-    members = cut(members.join(labels, F.col("rep") == F.col("id"), "left").select("doc_id", F.coalesce("component", "rep").alias("component")))
-    discard(every, sets, signatures)
+    members = join_by_class(every.select("doc_id", "digest"), classes, "digest", total).select("doc_id", "rep")
+    members = written(members.join(labels, F.col("rep") == F.col("id"), "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component")))
+    discard(every, sets, signatures, classes, tried, links, left, found, labels)
     return sizes.join(members, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 

@@ -5,7 +5,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +14,7 @@ SPECTRUM = (1, 2, 3)
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 _LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
+MIN_SCORE = 0.5  # a score above it means that a classifier claims the text
 MANY = 64  # languages up to which each has its full sample and landmarks; more share as many, but have ``LEAST`` rows and one landmark
 LEAST = 20
 
@@ -156,16 +156,24 @@ def identify_languages(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     return predict(docs, train(docs, doc_id=doc_id, text=text, lang=lang), doc_id, text)
 
 
-def keep_identified(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """The documents whose language can be told, all columns as they were; ``und`` ones go."""
+def keep_identified(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", min_score: float = MIN_SCORE) -> DataFrame:
+    """The documents whose language can be told, with the prediction as their language; other columns as they were.
+
+    A document goes if its text is null or has no letter, or if no language's
+    classifier scores it above ``min_score``: at 0.5 all of them vote against it. Repeated
+    rows and null ids stay.
+    """
     model = train(docs, doc_id=doc_id, text=text, lang=lang)
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, np.packbits(model.landmarks, axis=1), model.coefficients))
+    at, to = docs.columns.index(text), docs.columns.index(lang)
 
-    @F.pandas_udf("string")
-    def language(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages, packed, coefficients = shared.value
         loaded = KernelModel(languages, np.unpackbits(packed, axis=1).astype(bool), coefficients)
-        for part in parts:
-            yield pd.Series(loaded.predict(part.tolist())[0])
+        for batch in batches:
+            names, scores = loaded.predict(batch.column(at).to_pylist())
+            columns = [pa.array(names, pa.string()) if i == to else batch.column(i) for i in range(batch.num_columns)]
+            told = pa.array([n != UNKNOWN and s > min_score for n, s in zip(names, scores)], pa.bool_())
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names).filter(told)
 
-    return docs.where(language(docs[text]) != UNKNOWN)
+    return docs.mapInArrow(run, docs.schema)

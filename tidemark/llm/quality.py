@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import cut
+from tidemark.llm.shared import written
 
 SPACE = r"[\x20\x09-\x0D]+"
 # Frequent function words of each language.
@@ -47,9 +47,10 @@ def repeated_words(words: Column, width: int = 5) -> Column:
     return _let(grams, covered).cast("long")
 
 
-def features(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """Counts of one document: the rules' inputs and the histograms of character classes and common words."""
-    base = docs.select(docs[doc_id].alias("doc_id"), docs[lang].alias("lang"), F.coalesce(docs[text], F.lit("")).alias("t"))
+def features(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", carry: bool = False) -> DataFrame:
+    """Counts of one document: the rules' inputs and the histograms of character classes and common words; with ``carry`` also its row."""
+    own = ["row"] if carry else []
+    base = docs.select(*[F.struct(*docs.columns).alias(x) for x in own], docs[doc_id].alias("doc_id"), docs[lang].alias("lang"), F.coalesce(docs[text], F.lit("")).alias("t"))
     base = base.withColumn("words", F.array_remove(F.split("t", SPACE), ""))
     words, t = F.col("words"), F.col("t")
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
@@ -59,7 +60,7 @@ def features(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     common = F.coalesce(common, F.array().cast("array<string>"))
     hits = _let(common, lambda known: F.filter(F.transform(words, lambda w: F.array_position(known, F.lower(w))), lambda k: k > 0))
     counted = base.select(
-        "doc_id", "lang", F.size(words).cast("long").alias("n_words"), F.length(t).cast("long").alias("n_all"),
+        *own, "doc_id", "lang", F.size(words).cast("long").alias("n_words"), F.length(t).cast("long").alias("n_all"),
         F.length(F.regexp_replace(t, SPACE, "")).cast("long").alias("word_chars"),
         *[F.regexp_count(t, F.lit(p)).cast("long").alias(f"n_{k}") for k, p in CLASSES.items()],
         _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
@@ -69,7 +70,7 @@ def features(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     named = [F.col(f"n_{k}") for k in CLASSES]
     spaces = F.col("n_all") - F.col("word_chars")
     return counted.select(
-        "doc_id", "lang", "n_words", "word_chars", F.col("n_symbol").alias("n_symbols"), "n_dup_lines", "n_repeat_words",
+        *own, "doc_id", "lang", "n_words", "word_chars", F.col("n_symbol").alias("n_symbols"), "n_dup_lines", "n_repeat_words",
         F.array(*named, spaces, F.col("n_all") - spaces - sum(named[1:], named[0])).alias("chars"),
         F.concat("hits", F.array(F.col("n_words") - F.aggregate("hits", F.lit(0).cast("long"), lambda a, x: a + x))).alias("common"),
     )
@@ -88,30 +89,49 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.when(ready, F.sqrt(F.greatest(_let(F.struct(share(p).alias("p"), share(q).alias("q")), divergence), F.lit(0.0)))).otherwise(0.0)
 
 
-def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", min_words: int = MIN_WORDS, max_char: float = MAX_CHAR_DISTANCE, max_word: float = MAX_WORD_DISTANCE) -> DataFrame:
-    """Judge every document; one row each, repeated rows included.
+def _judged(rows: DataFrame, min_words: int, max_char: float, max_word: float) -> DataFrame:
+    """The features with base_failed, kept and both distances.
 
-    base_failed: fewer than 10 words, or over a fifth of the words in windows of
-    five that repeat. Otherwise a document of at least ``min_words`` words is
-    dropped when its histogram of character classes, or of its language's common
-    words, is further from the language's reference (the sum over all documents
-    of that language) than the limits allow. Shorter documents are kept: their
-    histograms say little. A null text has no words; a null or unknown language has
-    a reference of its own and no common words.
+    References are sums of fixed-length arrays, bin by bin, so partial sums leave each
+    task. They are written, so that Spark knows their size and broadcasts them only
+    if that is small.
     """
-    rows = cut(features(docs, doc_id, text, lang)).withColumn("key", F.coalesce("lang", F.lit("")))
-    # Sums of fixed-length arrays, bin by bin: partial sums leave each task.
+    rows = rows.withColumn("key", F.coalesce("lang", F.lit("")))
     width = len(CLASSES) + 2
     sums = rows.groupBy("key").agg(*[F.sum(F.col("chars")[i]).alias(f"c{i}") for i in range(width)], *[F.sum(F.col("common")[i]).alias(f"w{i}") for i in range(BINS + 1)])
-    reference = sums.select("key", F.array(*[f"c{i}" for i in range(width)]).alias("ref_chars"), F.array(*[f"w{i}" for i in range(BINS + 1)]).alias("ref_common"))
+    reference = written(sums.select("key", F.array(*[f"c{i}" for i in range(width)]).alias("ref_chars"), F.array(*[f"w{i}" for i in range(BINS + 1)]).alias("ref_common")))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     far = (F.col("char_distance") > max_char) | (F.col("word_distance") > max_word)
     return (
         rows.join(reference, "key", "left")
         .withColumn("char_distance", F.round(js_distance(F.col("chars"), F.col("ref_chars")), 6))
         .withColumn("word_distance", F.round(js_distance(F.col("common"), F.col("ref_common")), 6))
-        .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ((F.col("n_words") < min_words) | ~far)).alias("kept"), "char_distance", "word_distance")
-    )
+        .withColumns({"base_failed": failed, "kept": ~failed & ((F.col("n_words") < min_words) | ~far)})
+    )
+
+
+def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", min_words: int = MIN_WORDS, max_char: float = MAX_CHAR_DISTANCE, max_word: float = MAX_WORD_DISTANCE) -> DataFrame:
+    """Judge every document; one row each, repeated rows included.
+
+    base_failed: fewer than 10 words, or over a fifth of the words in windows of
+    five that repeat. Otherwise a document of at least ``min_words`` words is
+    dropped when its histogram of character classes, or of its language's common
+    words, is further from the language's reference (the sum over all documents
+    of that language) than the limits allow. Shorter documents are kept: their
+    histograms say little. A null text has no words; a null or unknown language has
+    a reference of its own and no common words. A null doc_id is kept as it is; other columns are ignored.
+    """
+    judged = _judged(written(features(docs, doc_id, text, lang)), min_words, max_char, max_word)
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance")
+
+
+def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """The rows that ``quality_rules`` keeps, with all their columns; each by its own verdict, repeated rows and null ids included.
+
+    A row is written once beside its counts and never shuffled.
+    """
+    rows = written(features(docs.withColumn("_none", F.lit(None).cast("long")), "_none", text, lang, carry=True))
+    return _judged(rows, MIN_WORDS, MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE).where("kept").select("row.*").select(*docs.columns)
 
 
 def _sql() -> str:

@@ -1,4 +1,4 @@
-"""Where shared intermediate results go."""
+"""Where shared intermediate results go, and how they leave."""
 
 from __future__ import annotations
 
@@ -6,35 +6,64 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+_written: list[str] = []  # folders of tables that nothing has deleted yet
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share, named by ``spark.checkpoint.dir``.
+
+    Only a local session, where driver and executors are one machine, may leave it
+    unset and gets a temporary one.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        folder = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="tidemark-")
-    if not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="tidemark-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, read from a reliable checkpoint: lineage and repeated work end here."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def written(df: DataFrame) -> DataFrame:
-    """The same rows, written as Parquet to the shared folder and read again: for texts, which compress well."""
+    """The same rows, written as Parquet to the shared folder and read again: lineage and repeated work end here."""
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def discard(*tables: DataFrame) -> None:
-    """Delete the files of written tables, once all that reads them is itself cut or written."""
+    """Delete the files of written tables, once all that reads them is itself written."""
     for table in tables:
-        spark = table.sparkSession
         for folder in {name.rsplit("/", 1)[0] for name in table.inputFiles()}:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(table.sparkSession, folder)
+            _written[:] = [p for p in _written if p.rsplit("/", 1)[-1] != folder.rsplit("/", 1)[-1]]
+
+
+def mark() -> int:
+    return len(_written)
+
+
+def sweep(spark: SparkSession, since: int) -> None:
+    """Delete the tables written after a mark, once the result that reads them is itself written."""
+    for path in _written[since:]:
+        _delete(spark, path)
+    del _written[since:]
+
+
+def join_by_class(rows: DataFrame, classes: DataFrame, key: str, total: int, parts: int = 1000) -> DataFrame:
+    """``rows`` joined with ``classes`` (a row a key, with its number of rows as ``count``), of which a few may hold most rows.
+
+    Keys of more than a ``parts``-th of ``total`` rows are fewer than ``parts``: they are
+    broadcast, so that their rows stay where they are. The other keys are shuffled.
+    """
+    often = F.col("count") * parts > total
+    hot = F.broadcast(classes.where(often))
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(classes.where(~often), key))

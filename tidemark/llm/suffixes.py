@@ -1,9 +1,11 @@
 """Removal of repeated passages: byte strings that also start earlier in the corpus.
 
 Equal windows of ``length`` bytes have equal minimizers, so every repeat lies between two
-runs of the same minimizer. Runs whose minimizer occurs once are left out; the others are
-dealt by minimizer, and in each share the runs' suffixes are compared through merged
-Burrows-Wheeler transforms of its shards.
+runs of the same minimizer. Whole copies of a text are known by their digest, runs whose
+minimizer occurs once are left out, and equal runs of one minimizer meet as one. The
+different runs of a minimizer are dealt by it, and in each share their suffixes are
+compared through merged Burrows-Wheeler transforms of its shards. Minimizers of more than
+``HOT`` different runs are dealt further, by the content of their windows.
 """
 
 import hashlib
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.bwt import repeats
 from tidemark.llm.chunks import slices
-from tidemark.llm.shared import cut, discard, written
+from tidemark.llm.shared import discard, written
 from tidemark.llm.windows import gram_hashes, runs
 
 GRAM = 32  # bytes a minimizer hashes
@@ -234,15 +236,18 @@ def _removed_runs(held: DataFrame, length: int, shares: int) -> DataFrame:
 def _judged(docs: DataFrame, length: int) -> DataFrame:
     """The columns of ``remove_repeats`` and sha, the digest of the text, of every pair of doc_id and text."""
     base = docs.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("sha"))
-    base = cut(base)
+    base = written(base)
     if not base.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        return _judged_by_key(docs, base, length)
+        found = _judged_by_key(docs, base, length)
+        discard(base)
+        return found
     # Each pair gets a key of its own, in the order of doc_id, so that rows of one doc_id do not mix.
-    keys = cut(base.distinct().orderBy("doc_id", "sha")).withColumn("key", F.monotonically_increasing_id())
-    keys = cut(keys)
+    keys = written(base.distinct().orderBy("doc_id", "sha").withColumn("key", F.monotonically_increasing_id()))
+    discard(base)
     texts = docs.withColumn("sha", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)).dropDuplicates(["doc_id", "sha"])
     texts = written(texts.join(keys, ["doc_id", "sha"]).select(F.col("key").alias("doc_id"), "text"))
     found = _judged_by_key(texts, keys.select(F.col("key").alias("doc_id"), "n_bytes", "sha"), length)
+    discard(texts)
     return found.withColumnRenamed("doc_id", "key").join(keys.select("key", "doc_id"), "key").select("doc_id", *[c for c in found.columns if c != "doc_id"])
 
 
@@ -270,8 +275,9 @@ def remove_repeats(docs: DataFrame, length: int = 100, doc_id: str = "doc_id", t
 def _judged_by_key(docs: DataFrame, base: DataFrame, length: int) -> DataFrame:
     """As ``_judged``, for a doc_id that no two rows share and a base of its sizes and digests."""
     shares = max(256, docs.count() // ROWS_A_SHARE)
-    earliest = base.groupBy("sha").agg(F.min("doc_id").alias("first"))
-    base = cut(base.join(earliest, "sha").withColumn("copy", (F.col("doc_id") != F.col("first")) & (F.col("n_bytes") >= length)).drop("first"))
+    # The earliest row of each text is found by its doc_id, not its digest, which a third of the rows may share.
+    earliest = base.groupBy("sha").agg(F.min("doc_id").alias("doc_id")).select("doc_id", F.lit(True).alias("first"))
+    base = written(base.join(earliest, "doc_id", "left").withColumn("copy", F.col("first").isNull() & (F.col("n_bytes") >= length)).drop("first"))
 
     found = _repeated_minimizers(docs, length, shares).join(base.where("copy").select("doc_id"), "doc_id", "left_anti")
     held = written(docs.join(found.hint("shuffle_hash"), "doc_id"))
@@ -298,7 +304,7 @@ def _judged_by_key(docs: DataFrame, base: DataFrame, length: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.string()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], ["doc_id", "kept", "spans"])
 
     cuts = held.select("doc_id", "text").join(starts.hint("shuffle_hash"), "doc_id").mapInArrow(apply, "doc_id long, kept string, spans array<struct<start: bigint, end: bigint>>")
-    cuts = cut(cuts)
+    cuts = written(cuts)
     discard(held)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return base.join(cuts, "doc_id", "left").select(
