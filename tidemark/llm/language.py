@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.chunks import slices
+
 BITS = 15  # n-grams are hashed into 2**BITS presence features
 SPECTRUM = (1, 2, 3)
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
@@ -170,7 +172,7 @@ def keep_identified(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages, packed, coefficients = shared.value
         loaded = KernelModel(languages, np.unpackbits(packed, axis=1).astype(bool), coefficients)
-        for batch in batches:
+        for batch in slices(batches, 1000):
             names, scores = loaded.predict(batch.column(at).to_pylist())
             columns = [pa.array(names, pa.string()) if i == to else batch.column(i) for i in range(batch.num_columns)]
             told = pa.array([n != UNKNOWN and s > min_score for n, s in zip(names, scores)], pa.bool_())

@@ -12,7 +12,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -324,28 +323,36 @@ def cut_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     of repeated rows of a doc_id and a text one stays; rows with a null doc_id stay as they are.
     """
 
-    @F.pandas_udf("string")
-    def cut_text(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        out = []
-        for text, gone in zip(texts, spans):
-            raw, kept, at = text.encode(), [], 0
-            for s in gone:
-                a, b = s["start"], s["end"]
-                while a < len(raw) and raw[a] & 0xC0 == 0x80:
-                    a += 1
-                while b < len(raw) and raw[b] & 0xC0 == 0x80:
-                    b -= 1
-                if b > a:
-                    kept.append(raw[at:a])
-                    at = b
-            out.append(b"".join([*kept, raw[at:]]).decode())
-        return pd.Series(out)
+    def without(text: str, gone: list[dict]) -> str:
+        raw, kept, at = text.encode(), [], 0
+        for s in gone:
+            a, b = s["start"], s["end"]
+            while a < len(raw) and raw[a] & 0xC0 == 0x80:
+                a += 1
+            while b < len(raw) and raw[b] & 0xC0 == 0x80:
+                b -= 1
+            if b > a:
+                kept.append(raw[at:a])
+                at = b
+        return b"".join([*kept, raw[at:]]).decode()
+
+    names = docs.columns
+    place = {name: i for i, name in enumerate(names)}
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # One operator cuts, counts and filters, so that a task needs one worker.
+        for batch in slices(batches, 1000):
+            columns = [batch.column(i) for i in range(len(names))]
+            spans = batch.column(len(names)).to_pylist()
+            texts = [without(t.as_py(), gone) if gone else t.as_py() for t, gone in zip(columns[place["text"]], spans)]
+            sizes = [len(t) if gone else n.as_py() for t, gone, n in zip(texts, spans, columns[place["n_chars"]])]
+            for name, values in (("text", texts), ("n_chars", sizes)):
+                columns[place[name]] = pa.array(values, columns[place[name]].type)
+            rest = pa.array([not gone or t != "" for t, gone in zip(texts, spans)], pa.bool_())
+            yield pa.RecordBatch.from_arrays(columns, names).filter(rest)
 
     keyed = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).where(F.col("doc_id").isNotNull())
-    found = _judged(keyed, length).where("n_removed > 0 and n_removed < n_bytes or n_removed = 0").select(F.col("doc_id").alias("_id"), F.col("sha").alias("_sha"), F.col("n_removed").alias("_removed"), F.col("spans").alias("_spans"))
+    found = _judged(keyed, length).where("n_removed > 0 and n_removed < n_bytes or n_removed = 0").select(F.col("doc_id").alias("_id"), F.col("sha").alias("_sha"), F.col("spans").alias("_spans"))
     digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
     joined = docs.join(found, (F.col("doc_id") == F.col("_id")) & (digest == F.col("_sha"))).dropDuplicates(["_id", "_sha"])
-    changed = F.col("_removed") > 0
-    text = F.when(changed, cut_text(F.coalesce("text", F.lit("")), F.col("_spans"))).otherwise(F.col("text"))
-    out = joined.withColumn("text", text).where(~changed | (F.length("text") > 0))
-    return out.withColumn("n_chars", F.when(F.col("_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns).union(docs.where(docs["doc_id"].isNull()))
+    return joined.select(*names, "_spans").mapInArrow(cut, docs.schema).union(docs.where(docs["doc_id"].isNull()))
