@@ -22,11 +22,11 @@ def engine(spark):
 
 def test_composite_plans():
     plan = composite.plan_composite(["orders", "returns"], registry=SALES)
-    assert plan.required and plan.roots == ("orders", "returns") and plan.conformed == ("customers",)
+    assert plan.required and [leg.fact for leg in plan.legs] == ["orders", "returns"] and plan.conformed == {"customers"}
     plan = composite.plan_composite(["order_items", "returns"], registry=SALES)
-    assert {leg.root: leg.null_pad for leg in plan.legs}["returns"] == ("orders", "products")
+    assert {leg.fact: leg.null_pad for leg in plan.legs}["returns"] == {"orders", "products"}
     plan = composite.plan_composite(["orders", "order_items"], registry=SALES)
-    assert not plan.required and plan.roots == ("order_items",)
+    assert not plan.required and [leg.fact for leg in plan.legs] == ["order_items"]
     with pytest.raises(ValueError):
         composite.plan_composite([])
     with pytest.raises(LookupError):

@@ -8,6 +8,7 @@ import hashlib
 import time
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.operators import catalog, graph, retrieval
@@ -74,7 +75,10 @@ class Engine:
         trap = {"evaluated": verdict.fan_trap_evaluated, "blocking": verdict.fan_trap_blocking, "overridden": verdict.fan_trap_overridden}
         if not verdict.is_valid:
             return {"success": False, "error": "the query is not valid", "error_type": "validation", "findings": said, "fan_trap": trap, "data": []}
-        df = safety.limited(self.spark.sql(sql), limit)
+        try:
+            df = safety.limited(self.spark.sql(sql), limit)
+        except AnalysisException as e:
+            return {"success": False, "error": str(e).split("\n")[0], "error_type": "analysis", "findings": said, "fan_trap": trap, "data": []}
         found = df.collect()
         rows = [{k: plain(v) for k, v in r.asDict(True).items()} for r in found[:limit]]
         return {"success": True, "data": rows, "columns": df.columns, "row_count": len(rows), "truncated": len(found) > limit, "execution_time_ms": (time.time() - began) * 1000, "findings": said, "fan_trap": trap}
@@ -91,20 +95,20 @@ class Engine:
         """Tables whose rows lead to this one, and their distance."""
         return {t: len(p[name]) for t in {f.child for f in self.registry.foreign} if name in (p := composite.reachable(self.registry, t))}
 
-    def plan_composite(self, facts: list[str], dimensions: list[str] | None = None) -> composite.CompositePlan:
-        return composite.plan_composite(facts, dimensions, self.registry)
+    def plan_composite(self, facts: list[str], dimensions: list[str] | None = None, via: dict[tuple[str, str], str] | None = None) -> composite.Composite:
+        return composite.plan_composite(facts, dimensions, self.registry, via)
 
     def triples(self) -> DataFrame:
         return catalog.triples(self.spark, self.folder, self.registry)
 
     def ask_graph(self, question: str) -> DataFrame:
-        return graph.ask(self.edges(), graph.QUESTIONS[question])
+        return graph.components(self.edges()) if question == "components" else graph.ask(self.edges(), graph.QUESTIONS[question])
 
     def search(self, text: str, top: int = 5) -> list[dict]:
         """Tables and columns whose names and roles are nearest to a text."""
         return [r.asDict() for r in retrieval.search_elements(catalog.columns_of(self.spark, self.folder, self.registry), text, self.spark, top).collect()]
 
     def fingerprint(self) -> str:
-        """16 hex digits over the tables' names and columns."""
-        parts = sorted(f"{t}({','.join(sorted(f.name for f in table(self.spark, self.folder, t).schema.fields))})" for t in self.names)
+        """16 hex digits over the tables' names, columns and types."""
+        parts = sorted(f"{t}({','.join(sorted(f'{f.name} {f.dataType.simpleString()}' for f in table(self.spark, self.folder, t).schema.fields))})" for t in self.names)
         return hashlib.sha256("\n".join(parts).encode()).hexdigest()[:16]

@@ -106,11 +106,20 @@ def implied_key(table: str, column: str, tables: Mapping[str, tuple[str, ...]])
     return None
 
 
+def _key_kind(sql_type: str) -> str:
+    """Integers of any size are one kind, and so are texts; other types are only like themselves."""
+    low = sql_type.lower()
+    if "interval" not in low and re.search(r"int|serial", low):
+        return "integer"
+    return "text" if re.search(r"char|text|string", low) else ""
+
+
 def key_confidence(column: str, column_type: str, target_table: str, target_type: str) -> str:
-    """high, medium or low: two points for equal types, two for an exact name or one for its plural, one for ``id``."""
-    low = column.lower()
-    stem = re.sub(r"_?(?:id|sk|fk)$", "", low)
-    points = 2 * (column_type.lower() == target_type.lower()) + (2 if stem == target_table.lower() else stem + "s" == target_table.lower()) + low.endswith("id")
+    """high, medium or low: two points for types of one kind (any integers, any texts), two for the table's name, as it is or in another number, or one for a part of it, one for ``id``."""
+    low, table = column.lower(), target_table.lower()
+    stem = next((m[1] for shape, _ in SHAPES if (m := re.match(shape, low))), low)
+    alike = column_type.lower() == target_type.lower() or _key_kind(column_type) == _key_kind(target_type) != ""
+    points = 2 * alike + (2 if names_table(stem, [table]) else int(stem in table)) + low.endswith("id")
     return "high" if points >= 4 else "medium" if points >= 2 else "low"
 
 

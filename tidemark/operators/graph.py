@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.session import checkpointed
 from tidemark.sources.keys import integrity_sql, uniqueness_sql, verified_edges
@@ -24,9 +25,8 @@ QUESTIONS: dict[str, str] = {
     "measure_reach_region": f"WITH RECURSIVE r(node, hop) AS (SELECT src, 1 FROM fk WHERE dst = 'region' UNION ALL SELECT src, hop + 1 FROM r JOIN fk ON node = dst WHERE hop < {MAX_HOPS}) SELECT node, min(hop) AS hop FROM r GROUP BY node",
     "related_tables_2hop": f"WITH u AS ({_LOOSE}) SELECT origin, node, min(hop) AS hop FROM (SELECT src AS origin, dst AS node, 1 AS hop FROM u UNION ALL SELECT a.src, b.dst, 2 FROM u a JOIN u b ON a.dst = b.src WHERE a.src <> b.dst) t GROUP BY origin, node",
     # of equally short paths, the first in order of names
-    "join_paths": f"WITH RECURSIVE u AS ({_LOOSE}), p(origin, node, hop, path) AS (SELECT src, dst, 1, concat(src, '>', dst) FROM u UNION ALL SELECT origin, dst, hop + 1, concat(path, '>', dst) FROM p JOIN u ON node = src WHERE hop < 6 AND concat('>', path, '>') NOT LIKE concat('%>', dst, '>%')) SELECT origin, node, hop, path FROM (SELECT origin, node, hop, path, row_number() OVER (PARTITION BY origin, node ORDER BY hop, path) AS i FROM p) t WHERE i = 1",
+    "join_paths": f"WITH RECURSIVE u AS ({_LOOSE}), p(origin, node, hop, path) AS (SELECT src, dst, 1, concat(src, '>', dst) FROM u UNION ALL SELECT origin, dst, hop + 1, concat(path, '>', dst) FROM p JOIN u ON node = src WHERE hop < {MAX_HOPS} AND concat('>', path, '>') NOT LIKE concat('%>', dst, '>%')) SELECT origin, node, hop, path FROM (SELECT origin, node, hop, path, row_number() OVER (PARTITION BY origin, node ORDER BY hop, path) AS i FROM p) t WHERE i = 1",
     "degree_summary": f"WITH u AS ({_LOOSE}), o AS (SELECT src AS node, count(DISTINCT dst) AS k FROM fk GROUP BY src), i AS (SELECT dst AS node, count(DISTINCT src) AS k FROM fk GROUP BY dst), d AS (SELECT src AS node, count(*) AS k FROM u GROUP BY src) SELECT d.node AS node, coalesce(o.k, 0) AS out_degree, coalesce(i.k, 0) AS in_degree, round(d.k / CAST(count(*) OVER () - 1 AS DOUBLE), 6) AS centrality FROM d LEFT JOIN o ON d.node = o.node LEFT JOIN i ON d.node = i.node",
-    "components": f"WITH RECURSIVE u AS ({_LOOSE}), r(node, root, hop) AS (SELECT src, src, 0 FROM u UNION ALL SELECT dst, root, hop + 1 FROM r JOIN u ON node = src WHERE hop < 5) SELECT node, min(root) AS component FROM r GROUP BY node",
     "disjoint_siblings": "SELECT DISTINCT a.src AS first_table, b.src AS second_table, a.dst AS target FROM fk a JOIN fk b ON a.dst = b.dst AND a.src < b.src WHERE NOT EXISTS (SELECT 1 FROM fk d WHERE (d.src = a.src AND d.dst = b.src) OR (d.src = b.src AND d.dst = a.src))",
     "two_hop_chains": "SELECT a.src AS start_table, min(a.dst) AS via, b.dst AS end_table FROM fk a JOIN fk b ON a.dst = b.src WHERE a.src <> b.dst AND NOT EXISTS (SELECT 1 FROM fk d WHERE d.src = a.src AND d.dst = b.dst) GROUP BY a.src, b.dst",
     "hub_hints": "SELECT src AS hub, count(*) AS n_keys FROM fk GROUP BY src HAVING count(*) > 1",
@@ -34,6 +34,18 @@ QUESTIONS: dict[str, str] = {
 }
 
 
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component): the least name that a node is linked with, found by passing names on until none changes."""
+    links = checkpointed(edges.select("src", "dst").union(edges.select("dst", "src")).distinct())
+    labels = links.select(F.col("src").alias("node"), F.col("src").alias("component")).distinct()
+    while True:
+        near = links.join(labels, F.col("dst") == F.col("node")).groupBy("src").agg(F.min("component").alias("near"))
+        fresh = checkpointed(labels.join(near, F.col("node") == F.col("src")).select("node", F.least("component", "near").alias("component"), (F.col("near") < F.col("component")).alias("moved")))
+        labels = fresh.select("node", "component")
+        if not fresh.where("moved").limit(1).count():
+            return labels
+
+
 def ask(edges: DataFrame, text: str) -> DataFrame:
     """Ask the graph a question in SQL, as the view ``fk``."""
     spark = edges.sparkSession
@@ -55,12 +67,13 @@ def _check(text: str) -> Callable[[SparkSession, str], DataFrame]:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     checks = {"referential_integrity": _check(integrity_sql()), "key_uniqueness": _check(uniqueness_sql())}
-    return checks | {k: _runner(v) for k, v in QUESTIONS.items()}
+    return checks | {"components": lambda spark, sf_dir: components(verified_edges(spark, sf_dir))} | {k: _runner(v) for k, v in QUESTIONS.items()}
 
 
 def oracle_sql() -> dict[str, str]:
     fk = f"fk AS (SELECT * FROM ({integrity_sql()}) q WHERE orphans = 0)"
     found = {"referential_integrity": integrity_sql(), "key_uniqueness": uniqueness_sql().replace("struct(", "row(")}
+    found["components"] = f"WITH RECURSIVE {fk}, u AS ({_LOOSE}), r(node, root) AS (SELECT src, src FROM u UNION SELECT dst, root FROM r JOIN u ON node = src) SELECT node, min(root) AS component FROM r GROUP BY node"
     for name, text in QUESTIONS.items():
         if text.startswith("WITH RECURSIVE "):
             found[name] = f"WITH RECURSIVE {fk}, {text.removeprefix('WITH RECURSIVE ')}"

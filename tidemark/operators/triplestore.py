@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable, Iterable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.names import clean_name
@@ -98,25 +98,41 @@ def shape_violations(store: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionAll, parts)
 
 
+# Characters of a literal and how they are written; the backslash comes first.
+_ESCAPES = [("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")]
+
+
 def escape(text: str) -> str:
     """A literal's text inside quotes."""
-    return text.replace("\\", "\\\\").replace('"', '\\"').replace("\n", "\\n").replace("\r", "\\r").replace("\t", "\\t")
+    for plain, written in _ESCAPES:
+        text = text.replace(plain, written)
+    return text
 
 
 def turtle_lines(store: DataFrame, base: str = "http://example.com/schema/") -> DataFrame:
     """One line of Turtle a triple; names of the catalogue become IRIs, numbers and other texts literals."""
     iri = lambda c: F.when(F.col(c).rlike("^[a-z]+:[A-Za-z]+$"), F.col(c)).otherwise(F.concat(F.lit(f"<{base}"), F.col(c), F.lit(">")))
     known = F.col("p").isin("rdf:type", "rdfs:domain", "referencedTable", "joinsTo")
-    literal = F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace("o", r"\\", r"\\\\"), '"', r'\\"'), F.lit('"'))
+    text = F.col("o")
+    for plain, written in _ESCAPES:
+        text = F.replace(text, F.lit(plain), F.lit(written))
+    literal = F.concat(F.lit('"'), text, F.lit('"'))
     return store.select(F.concat_ws(" ", iri("s"), iri("p"), F.when(known, iri("o")).otherwise(literal), F.lit(".")).alias("value"))
 
 
 def read_turtle_lines(lines: DataFrame, base: str = "http://example.com/schema/") -> DataFrame:
-    """The triples (s, p, o) of lines that turtle_lines wrote."""
+    """The triples (s, p, o) of lines that turtle_lines wrote; a line of another form raises an error when it is read."""
     term = rf'(?:<{re.escape(base)}([^>]*)>|([a-z]+:[A-Za-z]+)|"((?:[^"\\]|\\.)*)")'
     whole = rf"^{term} {term} {term} \.$"
-    part = lambda i: F.concat(*[F.regexp_extract("value", whole, 3 * i + k) for k in (1, 2)], F.regexp_replace(F.regexp_extract("value", whole, 3 * i + 3), r"\\(.)", "$1"))
-    return lines.where(F.col("value").rlike(whole)).select(part(0).alias("s"), part(1).alias("p"), part(2).alias("o"))
+
+    def part(i: int) -> Column:
+        text = F.replace(F.regexp_extract("value", whole, 3 * i + 3), F.lit("\\\\"), F.lit("\0"))
+        for plain, written in _ESCAPES[1:]:
+            text = F.replace(text, F.lit(written), F.lit(plain))
+        return F.concat(*[F.regexp_extract("value", whole, 3 * i + k) for k in (1, 2)], F.replace(text, F.lit("\0"), F.lit("\\")))
+
+    known = F.when(F.col("value").rlike(whole), True).otherwise(F.raise_error(F.concat(F.lit("not a line of a triple: "), F.col("value"))).cast("boolean"))
+    return lines.where(known).select(part(0).alias("s"), part(1).alias("p"), part(2).alias("o"))
 
 
 def rows_as_triples(rows: DataFrame, table: str, key: tuple[str, ...], links: dict[str, str], base: str = "http://example.com/data/") -> DataFrame:

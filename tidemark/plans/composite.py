@@ -1,10 +1,9 @@
-"""Composite queries over several facts: a plan of legs that never multiply each other, and its execution."""
+"""Composite queries over several facts: legs at their own grain, tied to dimensions by named roles."""
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Callable
-from dataclasses import dataclass
+from collections.abc import Callable, Mapping
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,87 +12,135 @@ from pyspark.sql import functions as F
 from tidemark.sources.keys import DRIVER, ForeignKey, Registry
 from tidemark.sources.tables import register, table
 
+Path = tuple[ForeignKey, ...]
+
+
+def role_name(path: Path) -> str:
+    """A role's name: the key columns on the way to the dimension."""
+    return ">".join(k.column for k in path)
+
+
+def roles(registry: Registry, start: str) -> dict[str, list[Path]]:
+    """Every way from a table up its keys, by the table it ends at; the shortest first, then by name. No way meets a table twice."""
+    found: dict[str, list[Path]] = {}
+    open_: list[Path] = [(k,) for k in registry.foreign if k.child == start and k.parent != start]
+    while open_:
+        path = open_.pop()
+        found.setdefault(path[-1].parent, []).append(path)
+        met = {start, *(k.parent for k in path)}
+        open_ += [(*path, k) for k in registry.foreign if k.child == path[-1].parent and k.parent not in met]
+    return {d: sorted(ways, key=lambda p: (len(p), role_name(p))) for d, ways in found.items()}
+
 
 def reachable(registry: Registry, start: str) -> dict[str, list[ForeignKey]]:
-    """The dimensions of a table: each table on the one side of its keys, with the shortest path of keys to it."""
-    paths: dict[str, list[ForeignKey]] = {start: []}
-    queue = deque([start])
-    while queue:
-        at = queue.popleft()
-        for key in sorted((f for f in registry.foreign if f.child == at), key=lambda f: (f.parent, f.column)):
-            if key.parent not in paths:
-                paths[key.parent] = [*paths[at], key]
-                queue.append(key.parent)
-    return {k: v for k, v in paths.items() if k != start}
+    """The dimensions of a table, each with its shortest way."""
+    return {d: list(ways[0]) for d, ways in roles(registry, start).items()}
 
 
 @dataclass(frozen=True)
 class Leg:
-    root: str
-    dimensions: tuple[str, ...]
-    null_pad: tuple[str, ...]
+    """A fact that is aggregated on its own: the way to each dimension it reaches, and those it pads with nulls."""
+
+    fact: str
+    ways: dict[str, Path]
+    null_pad: frozenset[str]
 
 
 @dataclass(frozen=True)
-class CompositePlan:
-    required: bool
-    roots: tuple[str, ...]
-    conformed: tuple[str, ...]
+class Composite:
+    """Legs and what they share. ``ambiguous`` names the choices that nobody made: (fact, dimension) and the names of its roles."""
+
     legs: tuple[Leg, ...]
+    ambiguous: dict[tuple[str, str], tuple[str, ...]] = field(default_factory=dict)
+
+    @property
+    def required(self) -> bool:
+        return len(self.legs) > 1
+
+    @property
+    def conformed(self) -> frozenset[str]:
+        """Dimensions that every leg reaches by a way that is the only one, or was named."""
+        shared = frozenset.intersection(*(frozenset(leg.ways) for leg in self.legs))
+        return shared - {d for _, d in self.ambiguous}
 
 
-def plan_composite(facts: list[str], dimensions: list[str] | None = None, registry: Registry = DRIVER) -> CompositePlan:
-    """Which facts need legs of their own, which dimensions all legs share, and where a leg pads with nulls.
+def plan_composite(facts: list[str], dimensions: list[str] | None = None, registry: Registry = DRIVER, via: Mapping[tuple[str, str], str] | None = None) -> Composite:
+    """The legs that facts need, with a role for each dimension.
 
-    A fact that another fact's keys lead to is at a coarser grain of the same leg. Two
-    roots or more need a composite.
+    A fact above another fact's keys is at a coarser grain of that fact's leg and needs
+    none of its own. ``via`` names the role of a (fact, dimension) by the first of its key
+    columns, or by all of them; where a fact has several roles and none is named, the
+    shortest stands in the plan and the choice is reported as ambiguous.
     """
-    known = set(registry.primary) | {t for f in registry.foreign for t in (f.child, f.parent)}
-    facts = list(dict.fromkeys(facts))
+    named = set(registry.primary).union(*((k.child, k.parent) for k in registry.foreign))
+    missing = sorted({*facts, *(dimensions or ())} - named)
+    if missing:
+        raise LookupError(f"no such tables: {', '.join(missing)}")
     if not facts:
-        raise ValueError("no facts given")
-    if unknown := [t for t in [*facts, *(dimensions or [])] if t not in known]:
-        raise LookupError(f"unknown tables: {', '.join(unknown)}")
-    reach = {f: set(reachable(registry, f)) for f in facts}
-    roots = tuple(f for f in facts if not any(f in reach[o] for o in facts if o != f))
-    wanted = sorted(dimensions if dimensions is not None else set().union(*reach.values()))
-    shared = set.intersection(*(reach[r] for r in roots))
-    legs = tuple(Leg(r, tuple(d for d in wanted if d in reach[r]), tuple(d for d in wanted if d not in reach[r])) for r in roots)
-    return CompositePlan(len(roots) > 1, roots, tuple(d for d in wanted if d in shared), legs)
-
-
-def join_path(df: DataFrame, path: list[ForeignKey], read: Callable[[str], DataFrame], columns: dict[str, list[str]]) -> DataFrame:
-    """Follow keys to a dimension; each step reads the key columns and the wanted ones only."""
-    for key in path:
-        onward = [f.column for f in path if f.child == key.parent]
-        needed = list(dict.fromkeys([key.ref, *onward, *columns.get(key.parent, [])]))
-        if set(columns.get(key.parent, [])) <= set(df.columns) and set(onward) <= set(df.columns):
+        raise ValueError("a composite has at least one fact")
+    ways = {fact: roles(registry, fact) for fact in facts}
+    coarser = {above for reached in ways.values() for above in reached}
+    legs, ambiguous = [], {}
+    for fact in ways:
+        if fact in coarser:
             continue
-        side = read(key.parent).select(*needed)
-        df = df.join(side, df[key.column] == side[key.ref], "left")
+        wanted = set(dimensions) - {fact} if dimensions is not None else {d for reached in ways.values() for d in reached}
+        chosen: dict[str, Path] = {}
+        for dimension in sorted(wanted & set(ways[fact])):
+            options, name = ways[fact][dimension], (via or {}).get((fact, dimension))
+            if name is not None:
+                options = [p for p in options if name in (p[0].column, role_name(p))]
+                if not options:
+                    raise LookupError(f"{fact} has no role {name} of {dimension}")
+            if len(options) > 1:
+                ambiguous[fact, dimension] = tuple(map(role_name, options))
+            chosen[dimension] = options[0]
+        legs.append(Leg(fact, chosen, frozenset(wanted - set(chosen))))
+    return Composite(tuple(legs), ambiguous)
+
+
+def _tag(path: Path, column: str) -> str:
+    return f"{role_name(path)}:{column}"
+
+
+def leg_rows(leg: Leg, by: dict[str, list[str]], read: Callable[[str], DataFrame]) -> DataFrame:
+    """The fact's rows with the wanted columns of its dimensions; ways that start alike are joined once, and each join reads only what is needed."""
+    needs: dict[Path, set[str]] = {}
+    for dimension, path in leg.ways.items():
+        for i, key in enumerate(path):
+            needs.setdefault(path[: i + 1], set()).update({key.ref}, by.get(dimension, ()) if i + 1 == len(path) else {path[i + 1].column})
+    df = read(leg.fact)
+    for path in sorted(needs, key=lambda p: (len(p), role_name(p))):
+        key = path[-1]
+        side = read(key.parent).select(*[F.col(c).alias(_tag(path, c)) for c in sorted(needs[path])])
+        own = df[key.column] if len(path) == 1 else df[f"`{_tag(path[:-1], key.column)}`"]
+        df = df.join(side, own == side[f"`{_tag(path, key.ref)}`"], "left")
     return df
 
 
-def run_composite(spark: SparkSession, folder: str, measures: dict[str, dict[str, Callable[[], Column]]], by: dict[str, list[str]], registry: Registry = DRIVER) -> DataFrame:
+def run_composite(spark: SparkSession, folder: str, measures: dict[str, dict[str, Callable[[], Column]]], by: dict[str, list[str]], registry: Registry = DRIVER, via: Mapping[tuple[str, str], str] | None = None) -> DataFrame:
     """Aggregate measures of several facts by columns of dimensions.
 
     Each fact is aggregated at its own grain before the legs meet, so that a leg ships
-    one row a group; a dimension that a fact does not reach is null in its leg.
+    one row a group; a dimension that a fact does not reach is null in its leg. A
+    dimension with several roles must have one named in ``via``.
     """
     read = lambda name: table(spark, folder, name)
-    keys = [c for cols in by.values() for c in cols]
-    names = [m for ms in measures.values() for m in ms]
     legs = []
     for fact, own in measures.items():
-        paths = reachable(registry, fact)
-        df = read(fact)
-        for dim in by:
-            if dim in paths:
-                df = join_path(df, paths[dim], read, by)
-        group = [F.col(c) if c in df.columns else F.lit(None).cast(read(dim).schema[c].dataType).alias(c) for dim, cols in by.items() for c in cols]
+        plan = plan_composite([fact], list(by), registry, via)
+        if plan.ambiguous:
+            raise ValueError("; ".join(f"name the role of {d} for {f}: {', '.join(names)}" for (f, d), names in plan.ambiguous.items()))
+        [leg] = plan.legs
+        df = leg_rows(leg, by, read)
+        group = []
+        for dimension, columns in by.items():
+            for c in columns:
+                found = F.col(c) if dimension == fact else F.col(f"`{_tag(leg.ways[dimension], c)}`") if dimension in leg.ways else F.lit(None).cast(read(dimension).schema[c].dataType)
+                group.append(found.alias(c))
         legs.append(df.groupBy(*group).agg(*[F.sum(make()).alias(m) for m, make in own.items()]))
     both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), legs)
-    return both.groupBy(*keys).agg(*[F.sum(m).cast("double").alias(m) for m in names])
+    return both.groupBy(*[c for columns in by.values() for c in columns]).agg(*[F.sum(m).cast("double").alias(m) for own in measures.values() for m in own])
 
 
 def _cents(name: str) -> Callable[[], Column]:
@@ -127,8 +174,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "composite_orders_events_by_segment": lambda s, d: run_composite(s, d, order | event, {"customer": ["c_mktsegment"]}),
         "composite_lineitem_events_null_pad": lambda s, d: run_composite(s, d, line | event, {"customer": ["c_mktsegment"], "part": ["p_brand"]}),
-        "composite_three_facts_by_region": lambda s, d: run_composite(s, d, order | event | line, {"region": ["r_name"]}),
-        "joined_path_revenue_by_region": lambda s, d: run_composite(s, d, {"lineitem": {"revenue": _cents("l_extendedprice")}}, {"region": ["r_name"]}),
+        "composite_three_facts_by_region": lambda s, d: run_composite(s, d, order | event | line, {"region": ["r_name"]}, via={("lineitem", "region"): "l_suppkey"}),
+        "composite_three_facts_by_customer_region": lambda s, d: run_composite(s, d, order | event | line, {"region": ["r_name"]}, via={("lineitem", "region"): "l_orderkey"}),
+        "joined_path_revenue_by_region": lambda s, d: run_composite(s, d, {"lineitem": {"revenue": _cents("l_extendedprice")}}, {"region": ["r_name"]}, via={("lineitem", "region"): "l_suppkey"}),
         "fan_out_inflation_report": _inflation,
     }
 
@@ -141,6 +189,7 @@ def oracle_sql() -> dict[str, str]:
         "composite_orders_events_by_segment": f"SELECT c_mktsegment, {cents('o')} AS order_total, {cents('e')} AS event_value FROM (SELECT c_mktsegment, o_totalprice AS o, {null} AS e FROM orders JOIN customer ON o_custkey = c_custkey UNION ALL SELECT c_mktsegment, {null}, value FROM events JOIN customer ON user_id = c_custkey) t GROUP BY c_mktsegment",
         "composite_lineitem_events_null_pad": f"SELECT c_mktsegment, p_brand, {cents('q')} AS quantity, {cents('e')} AS event_value FROM (SELECT c_mktsegment, p_brand, l_quantity AS q, {null} AS e FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN part ON l_partkey = p_partkey UNION ALL SELECT c_mktsegment, NULL, {null}, value FROM events JOIN customer ON user_id = c_custkey) t GROUP BY c_mktsegment, p_brand",
         "composite_three_facts_by_region": f"SELECT r_name, {cents('o')} AS order_total, {cents('e')} AS event_value, {cents('q')} AS quantity FROM (SELECT r_name, o_totalprice AS o, {null} AS e, {null} AS q FROM orders JOIN customer ON o_custkey = c_custkey {region} UNION ALL SELECT r_name, {null}, value, {null} FROM events JOIN customer ON user_id = c_custkey {region} UNION ALL SELECT r_name, {null}, {null}, l_quantity FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey) t GROUP BY r_name",
+        "composite_three_facts_by_customer_region": f"SELECT r_name, {cents('o')} AS order_total, {cents('e')} AS event_value, {cents('q')} AS quantity FROM (SELECT r_name, o_totalprice AS o, {null} AS e, {null} AS q FROM orders JOIN customer ON o_custkey = c_custkey {region} UNION ALL SELECT r_name, {null}, value, {null} FROM events JOIN customer ON user_id = c_custkey {region} UNION ALL SELECT r_name, {null}, {null}, l_quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey {region}) t GROUP BY r_name",
         "joined_path_revenue_by_region": f"SELECT r_name, {cents('l_extendedprice')} AS revenue FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name",
         "fan_out_inflation_report": inflation_sql(),
     }

@@ -22,8 +22,11 @@ def local_session(cpus: int | str = "*", **conf: str) -> SparkSession:
 
 
 def checkpointed(df):
-    """The same rows from a reliable checkpoint in the folder that the session names, or a temporary one in tests."""
+    """The same rows from a reliable checkpoint in the folder that the session names, or a temporary one in a local session."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tidemark-"))
     return df.checkpoint()
