@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.operators import catalog, graph, retrieval
 from tidemark.plans import composite, rules, safety
-from tidemark.sources.keys import DRIVER, Registry, verified_edges
+from tidemark.sources.keys import DRIVER, Registry, kept_edges
 from tidemark.sources.tables import TABLES, register, table
 
 
@@ -84,7 +84,7 @@ class Engine:
         return {"success": True, "data": rows, "columns": df.columns, "row_count": len(rows), "truncated": len(found) > limit, "execution_time_ms": (time.time() - began) * 1000, "findings": said, "fan_trap": trap}
 
     def edges(self) -> DataFrame:
-        return verified_edges(self.spark, self.folder, self.registry)
+        return kept_edges(self.spark, self.folder, self.registry)
 
     def reachable_from(self, name: str, max_hops: int | None = None) -> dict[str, int]:
         """Dimensions of a table and their distance."""

@@ -9,13 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.names import measure_class, type_kind, xsd_type
+from tidemark.session import checkpointed
 from tidemark.sources.keys import DRIVER, Registry
-from tidemark.sources.tables import table
+from tidemark.sources.tables import TABLES, table
 
-PROFILED = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels")
 
-
-def columns_of(spark: SparkSession, folder: str, registry: Registry = DRIVER, names: tuple[str, ...] = PROFILED) -> list[tuple]:
+def columns_of(spark: SparkSession, folder: str, registry: Registry = DRIVER, names: tuple[str, ...] = TABLES) -> list[tuple]:
     """(table, column, type, kind, xsd, class, basis, primary, foreign) from the schemas alone."""
     foreign = {(f.child, f.column) for f in registry.foreign}
     out = []
@@ -26,7 +25,7 @@ def columns_of(spark: SparkSession, folder: str, registry: Registry = DRIVER, na
     return out
 
 
-def profile(spark: SparkSession, folder: str, registry: Registry = DRIVER, names: tuple[str, ...] = PROFILED) -> DataFrame:
+def profile(spark: SparkSession, folder: str, registry: Registry = DRIVER, names: tuple[str, ...] = TABLES) -> DataFrame:
     """A row per column: its classification, and rows, non-null values and range of sizes, from one scan a table.
 
     Counts are partial sums, so a scan sends one row a task.
@@ -67,7 +66,7 @@ _COUNTS = "SELECT p, count(*) AS n, count(DISTINCT s) AS subjects FROM triples G
 
 def _over_triples(text: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        triples(spark, sf_dir).createOrReplaceTempView("triples")
+        checkpointed(triples(spark, sf_dir)).createOrReplaceTempView("triples")  # read more than once; made by a scan of every table
         return spark.sql(text)
 
     return run
@@ -77,8 +76,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"column_profile": profile, "triples_count_by_predicate": _over_triples(_COUNTS), "triples_bgp_key_targets": _over_triples(_BGP), "triples_optional_measure": _over_triples(_OPTIONAL)}
 
 
-def oracle_sql() -> dict[str, str]:
-    """The classification restated as rules over the information schema."""
+def profiled_sql() -> str:
+    """The classification restated as rules over the information schema, as the common tables ``cols``, ``counts`` and ``prof``."""
     from tidemark.functions import names as rules
 
     has = lambda parts: "(" + " OR ".join(f"contains(lower(column_name), '{p}')" for p in parts) + ")"
@@ -87,15 +86,19 @@ def oracle_sql() -> dict[str, str]:
     key = f"({primary} OR {foreign})"
     number = "data_type IN ('BIGINT', 'INTEGER', 'DOUBLE', 'FLOAT', 'HUGEINT', 'SMALLINT')"
     family = f"CASE WHEN {has(rules.NON_ADDITIVE)} THEN 'non_additive' WHEN {has(rules.SEMI_ADDITIVE)} THEN 'semi_additive' WHEN {has(rules.ADDITIVE)} THEN 'additive' END"
-    tables = ", ".join(f"'{t}'" for t in PROFILED)
+    tables = ", ".join(f"'{t}'" for t in TABLES)
     counts = " UNION ALL ".join(f"SELECT '{t}' AS table_name, name AS column_name, n, v AS n_values FROM (SELECT count(*) AS n, {', '.join(f'count({c}) AS {c}' for c in cs)} FROM {t}) UNPIVOT (v FOR name IN ({', '.join(cs)}))" for t, cs in _COLUMNS.items())
-    profiled = f"""cols AS (SELECT table_name, column_name, CASE WHEN {number} THEN 'numeric' ELSE 'non_numeric' END AS kind,
-  CASE WHEN data_type IN ('DOUBLE', 'FLOAT') AND {has(rules.QUANTITY)} THEN 'integer' WHEN data_type IN ('BIGINT', 'INTEGER', 'SMALLINT', 'HUGEINT') THEN 'integer' WHEN data_type = 'VARCHAR' THEN 'string' WHEN data_type LIKE 'TIMESTAMP%' THEN 'dateTime' WHEN data_type = 'DOUBLE' THEN 'double' WHEN data_type = 'FLOAT' THEN 'float' ELSE 'string' END AS xsd,
+    return f"""cols AS (SELECT table_name, column_name, CASE WHEN {number} THEN 'numeric' ELSE 'non_numeric' END AS kind,
+  CASE WHEN data_type IN ('DOUBLE', 'FLOAT') AND {has(rules.QUANTITY)} THEN 'integer' WHEN data_type IN ('BIGINT', 'INTEGER', 'SMALLINT', 'HUGEINT') THEN 'integer' WHEN data_type = 'VARCHAR' THEN 'string' WHEN data_type LIKE 'TIMESTAMP%' THEN 'dateTime' WHEN data_type = 'DOUBLE' THEN 'double' WHEN data_type LIKE 'FLOAT%' THEN 'float' ELSE 'string' END AS xsd,
   CASE WHEN {key} OR NOT {number} THEN 'attribute' ELSE {family} END AS measure_class,
   CASE WHEN {key} OR NOT {number} THEN 'structural' WHEN {family} IS NOT NULL THEN 'name_pattern' END AS basis
 FROM information_schema.columns WHERE table_name IN ({tables})),
 counts AS ({counts}),
 prof AS (SELECT cols.*, n, n_values FROM cols JOIN counts USING (table_name, column_name))"""
+
+
+def oracle_sql() -> dict[str, str]:
+    profiled = profiled_sql()
     declared = ", ".join(f"('{f.child}.{f.column}', '{p}', '{o}')" for f in DRIVER.foreign for p, o in (("rdf:type", "owl:ObjectProperty"), ("referencedTable", f.parent), ("joinsTo", f"{f.parent}.{f.ref}"), ("cardinality", "one_to_one" if f.unique else "many_to_one")))
     graph = f"""{profiled}, triples AS (
 SELECT DISTINCT table_name AS s, 'rdf:type' AS p, 'owl:Class' AS o FROM prof UNION ALL SELECT DISTINCT table_name, 'rowCount', CAST(n AS VARCHAR) FROM prof
@@ -112,4 +115,5 @@ _COLUMNS = {
     "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"],
     "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"],
     "events": ["event_id", "ts", "user_id", "event_type", "value", "props"], "documents": ["doc_id", "text", "lang", "source", "n_chars"], "labels": ["doc_id", "quality", "toxic"],
+    "embeddings": ["vec_id", "embedding", "label"], "pages": ["page_id", "url", "html"], "benchmark": ["item_id", "text"], "conversations": ["conv_id", "turn", "role", "text"],
 }

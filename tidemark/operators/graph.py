@@ -1,7 +1,7 @@
 """Graph questions over the key graph: reach, paths, degrees, components, siblings, chains.
 
 Edges run from the finer to the coarser table. The graph is derived from the data (keys
-that hold), cut once, and then asked in SQL; recursion is bounded by a number of hops.
+that hold), verified once a state of the files, and then asked in SQL; recursion is bounded by a number of hops.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.session import checkpointed
-from tidemark.sources.keys import integrity_sql, uniqueness_sql, verified_edges
+from tidemark.sources.keys import integrity_sql, kept_edges, uniqueness_sql
 from tidemark.sources.tables import register
 
 MAX_HOPS = 12
@@ -30,6 +30,12 @@ QUESTIONS: dict[str, str] = {
     "disjoint_siblings": "SELECT DISTINCT a.src AS first_table, b.src AS second_table, a.dst AS target FROM fk a JOIN fk b ON a.dst = b.dst AND a.src < b.src WHERE NOT EXISTS (SELECT 1 FROM fk d WHERE (d.src = a.src AND d.dst = b.src) OR (d.src = b.src AND d.dst = a.src))",
     "two_hop_chains": "SELECT a.src AS start_table, min(a.dst) AS via, b.dst AS end_table FROM fk a JOIN fk b ON a.dst = b.src WHERE a.src <> b.dst AND NOT EXISTS (SELECT 1 FROM fk d WHERE d.src = a.src AND d.dst = b.dst) GROUP BY a.src, b.dst",
     "hub_hints": "SELECT src AS hub, count(*) AS n_keys FROM fk GROUP BY src HAVING count(*) > 1",
+    # both ways, along the keys only, and against them only
+    "related_by_direction": f"WITH u AS ({_LOOSE}), e AS (SELECT DISTINCT src, dst, 'outgoing' AS direction FROM fk UNION ALL SELECT DISTINCT dst, src, 'incoming' FROM fk UNION ALL SELECT src, dst, 'both' FROM u) SELECT origin, node, direction, min(hop) AS hop FROM (SELECT src AS origin, dst AS node, direction, 1 AS hop FROM e UNION ALL SELECT a.src, b.dst, a.direction, 2 FROM e a JOIN e b ON a.dst = b.src AND a.direction = b.direction WHERE a.src <> b.dst) t GROUP BY origin, node, direction",
+    # the conditions along the shortest path; of equally short ones a forward path goes before a backward one, that before a mixed one, then the order of names
+    "join_specs": f"WITH RECURSIVE s AS (SELECT src, dst, concat(src, '.', col, ' = ', dst, '.', ref_col) AS step, 1 AS fwd FROM fk UNION ALL SELECT dst, src, concat(src, '.', col, ' = ', dst, '.', ref_col), 0 FROM fk), p(origin, node, hop, fwd, path, steps) AS (SELECT src, dst, 1, fwd, concat(src, '>', dst), step FROM s UNION ALL SELECT origin, dst, hop + 1, p.fwd + s.fwd, concat(path, '>', dst), concat(steps, ' AND ', step) FROM p JOIN s ON node = src WHERE hop < {MAX_HOPS} AND concat('>', path, '>') NOT LIKE concat('%>', dst, '>%')), d AS (SELECT origin, node, hop, path, steps, CASE WHEN fwd = hop THEN 'forward' WHEN fwd = 0 THEN 'backward' ELSE 'undirected' END AS direction FROM p WHERE origin <> node) SELECT origin, node, hop, direction, path, steps FROM (SELECT origin, node, hop, direction, path, steps, row_number() OVER (PARTITION BY origin, node ORDER BY hop, CASE direction WHEN 'forward' THEN 0 WHEN 'backward' THEN 1 ELSE 2 END, path, steps) AS i FROM d) t WHERE i = 1",
+    # a report of the five best linked tables
+    "top_hubs": f"WITH u AS ({_LOOSE}), d AS (SELECT src AS node, count(*) AS k FROM u GROUP BY src) SELECT node, k AS degree, round(k / CAST(count(*) OVER () - 1 AS DOUBLE), 6) AS centrality FROM d ORDER BY degree DESC, node LIMIT 5",
     "graph_export": "SELECT src, dst, col, ref_col, n, one_to_one FROM fk",
 }
 
@@ -46,6 +52,49 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def communities(edges: DataFrame) -> DataFrame:
+    """(node, community) by semi-synchronous label propagation, deterministic.
+
+    Nodes get colours first: of those without one, each that has the least name among its
+    neighbours without one takes the round's. The colours take turns: a node takes the label
+    that most of its neighbours hold, keeps its own if that is among the most frequent, and else
+    takes the least of those. Nodes of a colour are not linked, so a turn cannot swap labels to
+    and fro, and the number of links between equal labels grows until nothing changes.
+    """
+    links = checkpointed(edges.select("src", "dst").union(edges.select("dst", "src")).where("src <> dst").distinct())
+    left, colours = links.select(F.col("src").alias("node")).distinct(), []
+    while True:
+        lower = links.join(left, F.col("dst") == F.col("node")).where("dst < src").select(F.col("src").alias("node"))
+        chosen = checkpointed(left.join(lower, "node", "left_anti"))
+        if chosen.isEmpty():
+            break
+        colours.append(chosen)
+        left = checkpointed(left.join(chosen, "node", "left_anti"))
+    labels = links.select(F.col("src").alias("node"), F.col("src").alias("community")).distinct()
+    moved = True
+    while moved:
+        moved = False
+        for chosen in colours:
+            held = links.join(chosen, F.col("src") == F.col("node")).drop("node").join(labels, F.col("dst") == F.col("node")).groupBy(F.col("src").alias("node"), "community").agg(F.count("*").alias("votes"))
+            best = held.groupBy("node").agg(F.max("votes").alias("votes"))
+            most = held.join(best, ["node", "votes"]).groupBy("node").agg(F.collect_set("community").alias("most"))
+            turn = checkpointed(labels.join(most, "node", "left").select("node", "community", F.when(F.array_contains("most", F.col("community")), F.col("community")).otherwise(F.coalesce(F.array_min("most"), "community")).alias("fresh")))
+            moved = moved or not turn.where("fresh <> community").isEmpty()
+            labels = turn.select("node", F.col("fresh").alias("community"))
+    return labels
+
+
+def community_summary(edges: DataFrame, members: DataFrame) -> DataFrame:
+    """(community, n_nodes, central, central_degree, mean_degree, domain): the best linked member, the least name at a tie, and the word that most members' names hold, of three letters or more."""
+    links = edges.select("src", "dst").union(edges.select("dst", "src")).where("src <> dst").distinct()
+    held = members.join(links.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("degree")), "node", "left").fillna(0, ["degree"])
+    first = F.min_by("node", F.struct(-F.col("degree"), F.col("node")))
+    sizes = held.groupBy("community").agg(F.count("*").alias("n_nodes"), first.alias("central"), F.max("degree").alias("central_degree"), F.round(F.avg("degree"), 6).alias("mean_degree"))
+    words = held.select("community", F.explode(F.split(F.lower("node"), "_")).alias("word")).where(F.length("word") > 2).groupBy("community", "word").agg(F.count("*").alias("k"))
+    named = words.groupBy("community").agg(F.concat(F.initcap(F.min_by("word", F.struct(-F.col("k"), F.col("word")))), F.lit(" Domain")).alias("domain"))
+    return sizes.join(named, "community", "left").fillna("Domain", ["domain"])
+
+
 def ask(edges: DataFrame, text: str) -> DataFrame:
     """Ask the graph a question in SQL, as the view ``fk``."""
     spark = edges.sparkSession
@@ -54,7 +103,7 @@ def ask(edges: DataFrame, text: str) -> DataFrame:
 
 
 def _runner(text: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: ask(checkpointed(verified_edges(spark, sf_dir)), text)
+    return lambda spark, sf_dir: ask(kept_edges(spark, sf_dir), text)
 
 
 def _check(text: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -67,13 +116,19 @@ def _check(text: str) -> Callable[[SparkSession, str], DataFrame]:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     checks = {"referential_integrity": _check(integrity_sql()), "key_uniqueness": _check(uniqueness_sql())}
-    return checks | {"components": lambda spark, sf_dir: components(verified_edges(spark, sf_dir))} | {k: _runner(v) for k, v in QUESTIONS.items()}
+    iterated = {
+        "components": lambda s, d: components(kept_edges(s, d)),
+        "communities_label_propagation": lambda s, d: communities(kept_edges(s, d)),
+        "community_summary": lambda s, d: community_summary(kept_edges(s, d), components(kept_edges(s, d)).withColumnRenamed("component", "community")),
+    }
+    return checks | iterated | {k: _runner(v) for k, v in QUESTIONS.items()}
 
 
 def oracle_sql() -> dict[str, str]:
     fk = f"fk AS (SELECT * FROM ({integrity_sql()}) q WHERE orphans = 0)"
     found = {"referential_integrity": integrity_sql(), "key_uniqueness": uniqueness_sql().replace("struct(", "row(")}
     found["components"] = f"WITH RECURSIVE {fk}, u AS ({_LOOSE}), r(node, root) AS (SELECT src, src FROM u UNION SELECT dst, root FROM r JOIN u ON node = src) SELECT node, min(root) AS component FROM r GROUP BY node"
+    found["community_summary"] = f"WITH RECURSIVE {fk}, u AS ({_LOOSE}), r(node, root) AS (SELECT src, src FROM u UNION SELECT dst, root FROM r JOIN u ON node = src), m AS (SELECT node, min(root) AS community FROM r GROUP BY node), g AS (SELECT m.node, community, count(*) AS degree FROM m JOIN u ON u.src = m.node GROUP BY ALL), w AS (SELECT community, unnest(string_split(lower(node), '_')) AS word FROM m), k AS (SELECT community, word, row_number() OVER (PARTITION BY community ORDER BY count(*) DESC, word) AS i FROM w WHERE length(word) > 2 GROUP BY community, word), c AS (SELECT *, row_number() OVER (PARTITION BY community ORDER BY degree DESC, node) AS i FROM g) SELECT g.community, count(*) AS n_nodes, max(CASE WHEN c.i = 1 THEN g.node END) AS central, max(g.degree) AS central_degree, round(avg(g.degree), 6) AS mean_degree, upper(left(max(word), 1)) || substr(max(word), 2) || ' Domain' AS domain FROM g JOIN c ON g.node = c.node JOIN k ON k.community = g.community AND k.i = 1 GROUP BY g.community"
     for name, text in QUESTIONS.items():
         if text.startswith("WITH RECURSIVE "):
             found[name] = f"WITH RECURSIVE {fk}, {text.removeprefix('WITH RECURSIVE ')}"

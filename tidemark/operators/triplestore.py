@@ -152,8 +152,8 @@ def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "triples_graph_stats": lambda s, d: stats(catalogue_triples(s, d)),
-        "triples_shape_violations": lambda s, d: shape_violations(catalogue_triples(s, d)),
-        "triples_path_plus": lambda s, d: path_plus(construct(catalogue_triples(s, d), [("?k", "rdfs:domain", "?a"), ("?k", "referencedTable", "?b")], [("?a", "refersTo", "?b")]), "refersTo"),
+        "triples_shape_violations": lambda s, d: shape_violations(checkpointed(catalogue_triples(s, d))),
+        "triples_path_plus": lambda s, d: path_plus(construct(checkpointed(catalogue_triples(s, d)), [("?k", "rdfs:domain", "?a"), ("?k", "referencedTable", "?b")], [("?a", "refersTo", "?b")]), "refersTo"),
         "rows_as_triples_customer": _orders,
     }
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidemark.session import shared_folder
 from tidemark.sources.tables import register
 
 
@@ -81,3 +85,20 @@ def verified_edges(spark: SparkSession, folder: str, registry: Registry = DRIVER
     """The foreign keys that hold in the data, as edges from the finer to the coarser table; every key is kept."""
     register(spark, folder, tuple({t for f in registry.foreign for t in (f.child, f.parent)}))
     return spark.sql(f"SELECT src, col, dst, ref_col, n, one_to_one FROM ({integrity_sql(registry)}) WHERE orphans = 0")
+
+
+def kept_edges(spark: SparkSession, folder: str, registry: Registry = DRIVER) -> DataFrame:
+    """The verified edges, checked once a state of the files and then read from the shared folder.
+
+    The state is the keys, and the path, length and time of every file; listing them reads no
+    content. A table that was written in part has no success mark and is written again.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    state = files.agg(F.count("*").alias("n"), F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)")).alias("h")).first()
+    name = hashlib.sha256(repr((sorted(map(repr, registry.foreign)), state["n"], state["h"])).encode()).hexdigest()[:24]
+    place = f"{shared_folder(spark)}/edges-{name}"
+    try:
+        spark.read.text(f"{place}/_SUCCESS").schema
+    except AnalysisException:
+        verified_edges(spark, folder, registry).write.mode("overwrite").parquet(place)
+    return spark.read.schema("src string, col string, dst string, ref_col string, n bigint, one_to_one boolean").parquet(place)
