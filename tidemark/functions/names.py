@@ -87,16 +87,17 @@ SHAPES = [(r"^(.+?)(?:_)?id$", "suffix_id"), (r"^id[_]?(.+)$", "prefix_id"), (r"
 TAILS = frozenset(["id", "_id", "sk", "_sk", ""])
 
 
-def implied_key(table: str, column: str, tables: Mapping[str, tuple[str, ...]]) -> tuple[str, str, str] | None:
+def implied_key(table: str, column: str, tables: Mapping[str, tuple[str, ...]], endings: tuple[str, ...] = ()) -> tuple[str, str, str] | None:
     """(target table, target column, pattern) that an undeclared foreign key's name implies.
 
     First a table's name inside the column's, followed by a key's ending; longer names
-    are tried first. Then the known shapes, of which the part must name a table.
+    are tried first. Then the known shapes, of which the part must name a table. ``endings``
+    are a key's endings beside the usual ones, with or without an underscore before them.
     """
-    low = column.lower()
+    low, tails = column.lower(), TAILS.union(endings, (f"_{e}" for e in endings))
     target = lambda t: tables[t][0] if tables[t] else "id"
     for name, variation in sorted(((t, v) for t in tables for v in variations(t)), key=lambda p: (-len(p[1]), p)):
-        if name.lower() != table.lower() and len(variation) >= 4 and variation in low and low.split(variation, 1)[1] in TAILS:
+        if name.lower() != table.lower() and len(variation) >= 4 and variation in low and low.split(variation, 1)[1] in tails:
             return name, target(name), "embedded_table_name"
     for shape, label in SHAPES:
         if (m := re.match(shape, low)) and len(m[1]) >= 3:
@@ -123,6 +124,21 @@ def key_confidence(column: str, column_type: str, target_table: str, target_type
     return "high" if points >= 4 else "medium" if points >= 2 else "low"
 
 
+# What follows a table's name in a column that copies its description.
+DESCRIPTIONS = ("name", "title", "desc", "description")
+
+
+def denormalized(table: str, column: str, sql_type: str, tables: Iterable[str]) -> str | None:
+    """The other table whose description a text column seems to copy: its name, alone, at the end or before a word for a description; longest names first."""
+    low = column.lower()
+    if not re.search("char|text|string", sql_type.lower()):
+        return None
+    for name, variation in sorted(((t, v) for t in tables for v in variations(t)), key=lambda p: (-len(p[1]), p)):
+        if name.lower() != table.lower() and len(variation) >= 4 and variation in low and low.split(variation, 1)[1].lstrip("_") in ("", *DESCRIPTIONS):
+            return name
+    return None
+
+
 def display_name(name: str) -> str:
     return name.replace("_", " ").title()
 
