@@ -10,10 +10,13 @@ from typing import Any
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.operators import catalog, graph, retrieval
+from tidemark.operators import catalog, graph, schema
 from tidemark.plans import composite, rules, safety
 from tidemark.sources.keys import DRIVER, Registry, kept_edges
+from tidemark.session import checkpointed
+from tidemark.sources import views
 from tidemark.sources.tables import TABLES, register, table
 
 
@@ -33,6 +36,8 @@ class Engine:
 
     def __init__(self, spark: SparkSession, folder: str, registry: Registry = DRIVER, names: tuple[str, ...] = TABLES):
         self.spark, self.folder, self.registry, self.names = spark, folder, registry, names
+        self._elements: DataFrame | None = None
+        self._profile: DataFrame | None = None
         register(spark, folder, names)
 
     def tables(self) -> list[str]:
@@ -104,9 +109,46 @@ class Engine:
     def ask_graph(self, question: str) -> DataFrame:
         return graph.components(self.edges()) if question == "components" else graph.ask(self.edges(), graph.QUESTIONS[question])
 
-    def search(self, text: str, top: int = 5) -> list[dict]:
-        """Tables and columns whose names and roles are nearest to a text."""
-        return [r.asDict() for r in retrieval.search_elements(catalog.columns_of(self.spark, self.folder, self.registry), text, self.spark, top).collect()]
+    def elements(self) -> DataFrame:
+        """The texts that are searched, one a table, column and key; made once an engine."""
+        if self._elements is None:
+            self._elements = checkpointed(schema.element_texts(self.profile(), self.edges()))
+        return self._elements
+
+    def profile(self) -> DataFrame:
+        """The column profile of the tables, scanned once an engine."""
+        if self._profile is None:
+            self._profile = checkpointed(catalog.profile(self.spark, self.folder, self.registry, self.names))
+        return self._profile
+
+    def search(self, text: str, top: int = 5, kind: str | None = None) -> list[dict]:
+        """Tables, columns and keys (or one of these kinds) whose names and roles are nearest to a text."""
+        found = schema.scored(self.elements(), text)
+        return [r.asDict() for r in (found if kind is None else found.where(F.col("kind") == kind)).orderBy(F.desc("score"), "element").limit(top).collect()]
+
+    def context(self, text: str, top: int = 3) -> dict:
+        """What a question needs: tables, their columns, the keys between them, and about how many tokens that takes."""
+        tables = checkpointed(schema.relevant_tables(self.elements(), self.edges(), text, top))
+        chosen = tables.select("table_name")
+        inside = self.edges().join(chosen.withColumnRenamed("table_name", "src"), "src").join(chosen.withColumnRenamed("table_name", "dst"), "dst")
+        columns = self.profile().join(chosen, "table_name", "left_semi").select("table_name", "column_name", "kind", "measure_class")
+        size = {r.part: r.tokens for r in schema.query_context(tables, self.profile(), self.edges()).collect()}
+        as_dicts = lambda df, *order: [r.asDict() for r in df.orderBy(*order).collect()]
+        return {"tables": as_dicts(tables, F.desc("score"), "table_name"), "columns": as_dicts(columns, "table_name", "column_name"), "joins": as_dicts(inside.select("src", "col", "dst", "ref_col"), "src", "col"), "token_estimate": sum(size.values())}
+
+    def databases(self) -> list[str]:
+        return views.databases(self.spark)
+
+    def views(self) -> list[dict]:
+        return views.views(self.spark, self.folder)
+
+    def analyze(self, name: str) -> dict | None:
+        """A table's columns, keys, rows and columns' comments; None if there is no such table."""
+        if name not in self.names:
+            return None
+        fields = table(self.spark, self.folder, name).schema.fields
+        rows = self.profile().where(F.col("table_name") == name).agg(F.max("n")).first()[0]
+        return {"name": name, "row_count": rows, "primary_key": list(self.registry.primary.get(name, ())), "columns": [d | {"comment": f.metadata.get("comment")} for d, f in zip(self.describe(name), fields)]}
 
     def fingerprint(self) -> str:
         """16 hex digits over the tables' names, columns and types."""

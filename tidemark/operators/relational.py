@@ -34,7 +34,7 @@ PORTABLE: dict[str, str] = {
     "join_comma_where": f"SELECT r_name, {money('o_totalprice')} AS total FROM region, nation, customer, orders WHERE r_regionkey = n_regionkey AND n_nationkey = c_nationkey AND c_custkey = o_custkey GROUP BY r_name",
     "join_using": "SELECT doc_id, quality, n_chars FROM documents JOIN labels USING (doc_id) WHERE toxic = 1",
     "join_natural": "SELECT quality, count(*) AS n FROM documents NATURAL JOIN labels GROUP BY quality",
-    "join_theta_range": "SELECT a.s_suppkey, count(*) AS richer FROM supplier a JOIN supplier b ON b.s_acctbal > a.s_acctbal AND b.s_nationkey = a.s_nationkey GROUP BY a.s_suppkey",
+    "join_range_bands": "SELECT band, count(*) AS n, min(p_retailprice) AS lowest FROM part JOIN (VALUES ('low', 0, 1000), ('mid', 1000, 1500), ('high', 1500, 100000)) b(band, lo, hi) ON p_retailprice >= lo AND p_retailprice < hi GROUP BY band",
     "join_cross": "SELECT r_name, p_brand FROM region CROSS JOIN (SELECT DISTINCT p_brand FROM part) b",
     "join_self": "SELECT a.n_name AS nation, count(*) AS neighbours FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey GROUP BY a.n_name",
     # aggregation
@@ -78,6 +78,11 @@ PORTABLE: dict[str, str] = {
 }
 
 DIALECT: dict[str, tuple[str, str]] = {
+    # how many are richer, by rank: the same as a range join of the table with itself, whose pairs grow with its square
+    "join_theta_range": (
+        "SELECT s_suppkey, CAST(r - 1 AS BIGINT) AS richer FROM (SELECT s_suppkey, rank() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC) AS r FROM supplier WHERE s_acctbal IS NOT NULL AND s_nationkey IS NOT NULL) t WHERE r > 1",
+        "SELECT a.s_suppkey, count(*) AS richer FROM supplier a JOIN supplier b ON b.s_acctbal > a.s_acctbal AND b.s_nationkey = a.s_nationkey GROUP BY a.s_suppkey",
+    ),
     "join_semi": ("SELECT c_custkey FROM customer LEFT SEMI JOIN orders ON c_custkey = o_custkey", "SELECT c_custkey FROM customer SEMI JOIN orders ON c_custkey = o_custkey"),
     "join_anti": ("SELECT c_custkey FROM customer LEFT ANTI JOIN orders ON c_custkey = o_custkey", "SELECT c_custkey FROM customer ANTI JOIN orders ON c_custkey = o_custkey"),
     "join_broadcast_hint": ("SELECT /*+ BROADCAST(nation) */ n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name", "SELECT n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name"),

@@ -20,14 +20,14 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (norm(a) * norm(b))
 
 
-def cosine_topk(vectors: DataFrame, query: list[float], k: int, threshold: float = 0.0, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """The k nearest vectors of one query: each task keeps its own k best, so nothing else is shuffled."""
-    score = F.round(cosine(F.col(vector), F.array(*[F.lit(float(x)) for x in query])), 5)
-    return vectors.select(F.col(id_column), score.alias("score")).where(F.col("score") >= threshold).orderBy(F.desc("score"), id_column).limit(k)
+def cosine_topk(vectors: DataFrame, query: DataFrame, k: int, threshold: float = 0.0, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """The k nearest vectors of one query, a frame of one row ``q``: each task keeps its own k best, so nothing else is shuffled."""
+    score = F.round(cosine(F.col(vector), F.col("q")), 5)
+    return vectors.join(F.broadcast(query.limit(1))).select(F.col(id_column), score.alias("score")).where(F.col("score") >= threshold).orderBy(F.desc("score"), id_column).limit(k)
 
 
-def _first_vector(spark: SparkSession, sf_dir: str) -> list[float]:
-    return list(table(spark, sf_dir, "embeddings").where("vec_id = 0").first()["embedding"])
+def _first_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").where("vec_id = 0").select(F.col("embedding").alias("q"))
 
 
 def _cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,9 +36,9 @@ def _cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The score of an approximate store, 1 / (1 + squared distance), computed exactly."""
-    query = F.array(*[F.lit(float(x)) for x in _first_vector(spark, sf_dir)])
-    gap = F.aggregate(F.zip_with("embedding", query, lambda x, y: x.cast("double") - y), F.lit(0.0), lambda s, x: s + x * x)
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(1 / (1 + gap), 5).alias("score")).orderBy(F.desc("score"), "vec_id").limit(10)
+    gap = F.aggregate(F.zip_with("embedding", "q", lambda x, y: x.cast("double") - y.cast("double")), F.lit(0.0), lambda s, x: s + x * x)
+    near = table(spark, sf_dir, "embeddings").join(F.broadcast(_first_vector(spark, sf_dir).limit(1)))
+    return near.select("vec_id", F.round(1 / (1 + gap), 5).alias("score")).orderBy(F.desc("score"), "vec_id").limit(10)
 
 
 def tfidf(docs: DataFrame, id_column: str, text: str) -> DataFrame:
@@ -56,18 +56,6 @@ def tfidf(docs: DataFrame, id_column: str, text: str) -> DataFrame:
     return weighed.join(norms, id_column).select(id_column, "term", F.round(F.col("w") / F.col("norm"), 5).alias("weight"))
 
 
-def search_elements(columns: list[tuple], text: str, spark: SparkSession, top: int = 5) -> DataFrame:
-    """Schema elements by TF-IDF cosine with a text; the vocabulary is that of the very texts that are searched."""
-    texts: dict[str, str] = {}
-    for name, column, kind, _, _, measure, *_ in columns:
-        texts[name] = texts.get(name, name.replace("_", " ") + " table") + " " + column.replace("_", " ")
-        texts[f"{name}.{column}"] = f"{column.replace('_', ' ')} column of {name} {kind} {measure or ''}"
-    elements = spark.createDataFrame([*texts.items(), ("?", text.replace("_", " "))], "element string, words string")
-    weights = tfidf(elements, "element", "words")
-    asked = weights.where("element = '?'").select("term", F.col("weight").alias("q"))
-    return weights.where("element <> '?'").join(F.broadcast(asked), "term").groupBy("element").agg(F.round(F.sum(F.col("weight") * F.col("q")), 5).alias("score")).orderBy(F.desc("score"), "element").limit(top)
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"cosine_topk": _cosine, "distance_topk": _distance, "tfidf_benchmark": lambda s, d: tfidf(table(s, d, "benchmark"), "item_id", "text")}
 

@@ -53,6 +53,27 @@ def ordered_sum(df: DataFrame, x: str, y: Column) -> DataFrame:
     return both.select("x", F.col("y").cast("double").alias("y"), place.alias("place"))
 
 
+def month_ordered(df: DataFrame, x: str, y: Column) -> DataFrame:
+    """Points of a line in order of months as soon as one label is a month, labels of no month last; else in order of labels.
+
+    A point a label; Spark sorts them by range, so no task holds all labels.
+    """
+    points = df.where(F.col(x).isNotNull()).groupBy(F.col(x).cast("string").alias("x")).agg(F.sum(y).cast("double").alias("y"))
+    ranked = points.withColumn("month", name_rank(F.col("x"), MONTHS).cast("int"))
+    return ranked.orderBy(F.col("month").asc_nulls_last(), "x")
+
+
+def is_time_axis(df: DataFrame, x: str, probes: int = 10) -> bool:
+    """Whether a column is one of times: by its type, or when any of its first non-null values reads as a date or a time."""
+    kind = df.schema[x].dataType.simpleString()
+    if kind == "date" or kind.startswith("timestamp"):
+        return True
+    if kind != "string":
+        return False
+    read = F.coalesce(*[F.try_to_timestamp(F.col(x), F.lit(f)) for f in ("yyyy-MM-dd", "yyyy-MM", "yyyy/MM/dd", "dd.MM.yyyy", "yyyy-MM-dd HH:mm:ss")], F.try_to_timestamp(F.col(x)))
+    return not df.where(F.col(x).isNotNull()).select(x).limit(probes).where(read.isNotNull()).isEmpty()
+
+
 def axis(values: list) -> dict:
     """Label settings: slanted when there are over 8 labels or one has over 10 characters."""
     long = len(values) > 8 or any(len(str(v)) > 10 for v in values)
@@ -74,6 +95,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "chart_quarter_order": lambda s, d: ordered_sum(orders(s, d).withColumn("q", F.concat(F.lit("Q"), F.quarter("o_orderdate"), F.lit(" "), F.year("o_orderdate"))), "q", _cents("o_totalprice")),
         "chart_weekday_order": lambda s, d: ordered_sum(table(s, d, "events").withColumn("w", F.date_format("ts", "EEEE")), "w", _cents("value")),
         "chart_month_order": lambda s, d: ordered_sum(orders(s, d).withColumn("m", F.date_format("o_orderdate", "MMM")), "m", _cents("o_totalprice")),
+        "chart_month_line": lambda s, d: month_ordered(orders(s, d).withColumn("m", F.when(F.col("o_orderstatus") == "P", "pending").otherwise(F.date_format("o_orderdate", "MMMM"))), "m", _cents("o_totalprice")),
         "chart_value_order": lambda s, d: ordered_sum(table(s, d, "events"), "event_type", _cents("value")),
     }
 
@@ -86,5 +108,6 @@ def oracle_sql() -> dict[str, str]:
         "chart_quarter_order": text("'Q' || quarter(o_orderdate) || ' ' || year(o_orderdate)", "o_totalprice", ("orders", "year(o_orderdate) * 4 + quarter(o_orderdate)"), "k"),
         "chart_weekday_order": text("dayname(ts)", "value", ("events", "isodow(ts)"), "k"),
         "chart_month_order": text("left(monthname(o_orderdate), 3)", "o_totalprice", ("orders", "month(o_orderdate)"), "k"),
+        "chart_month_line": "SELECT x, CAST(sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS DOUBLE) AS y, min(k) AS month FROM (SELECT *, CASE WHEN o_orderstatus = 'P' THEN 'pending' ELSE monthname(o_orderdate) END AS x, CASE WHEN o_orderstatus <> 'P' THEN CAST(month(o_orderdate) AS INT) END AS k FROM orders) t GROUP BY x",
         "chart_value_order": text("event_type", "value", ("events", "1"), "k"),
     }

@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.names import clean_name
+from tidemark.operators import catalog
 from tidemark.operators.catalog import triples as catalogue_triples
 from tidemark.session import checkpointed
+from tidemark.sources.tables import table
 
 Pattern = tuple[str, str, str]
 
@@ -64,6 +66,37 @@ def match(store: DataFrame, patterns: Iterable[Pattern], optional: Iterable[Patt
     return reduce(lambda a, p: join(a, p, "left"), optional, found)
 
 
+def from_graphs(store: DataFrame, graphs: Iterable[str]) -> DataFrame:
+    """The triples of some named graphs as one, each once."""
+    return store.where(F.col("g").isin(*graphs)).select(F.lit("default").alias("g"), "s", "p", "o").distinct()
+
+
+def select(store: DataFrame, groups: Iterable[Iterable[Pattern]], optional: Iterable[Pattern] = (), where: Column | None = None, by: Iterable[str] = (), measures: Iterable[Column] = ()) -> DataFrame:
+    """Solutions of any of several groups of patterns, filtered, and with measures also grouped.
+
+    The groups are a union: a name that a group lacks is null in its solutions, and a solution
+    of two groups counts twice. ``where`` and ``measures`` are expressions over the names; a
+    solution for which ``where`` is null goes.
+    """
+    found = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [match(store, g, optional) for g in groups])
+    found = found if where is None else found.where(where)
+    measures = list(measures)
+    return found.groupBy(*by).agg(*measures) if measures else found
+
+
+def add(store: DataFrame, facts: DataFrame, graph: str = "default") -> DataFrame:
+    """The store with triples (s, p, o) added to a graph; what it holds already is not added again, and triples with a null part are left out."""
+    fresh = facts.select(F.lit(graph).alias("g"), "s", "p", "o").dropna().distinct()
+    return store.unionByName(fresh.join(store, ["g", "s", "p", "o"], "left_anti"))
+
+
+def add_knowledge(store: DataFrame, facts: DataFrame, about: dict[str, str], graph: str = "default") -> DataFrame:
+    """Add triples, and for each subject its metadata, under predicates of the metadata namespace."""
+    said = F.array(*[F.struct(F.lit(f"http://example.com/metadata#{k}").alias("p"), F.lit(v).alias("o")) for k, v in about.items()])
+    meta = facts.select("s").distinct().select("s", F.explode(said).alias("m")).select("s", "m.p", "m.o") if about else facts.limit(0)
+    return add(store, facts.select("s", "p", "o").unionByName(meta.select("s", "p", "o")), graph)
+
+
 def ask(store: DataFrame, patterns: Iterable[Pattern]) -> bool:
     return not match(store, patterns).isEmpty()
 
@@ -75,13 +108,20 @@ def construct(store: DataFrame, patterns: Iterable[Pattern], template: Iterable[
     return found.select(F.explode(F.array(*[F.struct(term(s).alias("s"), term(p).alias("p"), term(o).alias("o")) for s, p, o in template])).alias("t")).select("t.*").distinct()
 
 
-def path_plus(store: DataFrame, predicate: str, hops: int = 12) -> DataFrame:
-    """(s, o) joined by one step of a predicate or more."""
-    steps = checkpointed(store.where(F.col("p") == predicate).select("s", "o").distinct())  # else each hop computes the store anew
-    steps.createOrReplaceTempView("_steps")
-    return store.sparkSession.sql(
-        f"WITH RECURSIVE r(s, o, hop) AS (SELECT s, o, 1 FROM _steps UNION ALL SELECT r.s, t.o, hop + 1 FROM r JOIN _steps t ON r.o = t.s WHERE hop < {hops}) SELECT DISTINCT s, o FROM r"
-    )
+def path_plus(store: DataFrame, predicate: str) -> DataFrame:
+    """(s, o) joined by one step of a predicate or more.
+
+    Each round joins the paths with themselves, so that their length doubles, until no pair
+    is new.
+    """
+    reach = checkpointed(store.where(F.col("p") == predicate).select("s", "o").distinct())
+    known = reach.count()
+    while True:
+        further = reach.join(reach.select(F.col("s").alias("o"), F.col("o").alias("end")), "o").select("s", F.col("end").alias("o"))
+        reach = checkpointed(reach.union(further).distinct())
+        before, known = known, reach.count()
+        if before == known:
+            return reach
 
 
 def shape_violations(store: DataFrame) -> DataFrame:
@@ -143,29 +183,58 @@ def rows_as_triples(rows: DataFrame, table: str, key: tuple[str, ...], links: di
     return rows.select(subject.alias("s"), F.explode(F.filter(F.array(*facts), lambda t: t["o"].isNotNull())).alias("t")).select("s", "t.p", "t.o")
 
 
-def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidemark.sources.tables import table
+def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows_as_triples(table(spark, sf_dir, "customer"), "customer", ("c_custkey",), {"c_nationkey": "nation"})
+
+
+def _over(use: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """A query over the catalogue's triples, written once because it reads them several times."""
+    return lambda spark, sf_dir: use(checkpointed(catalogue_triples(spark, sf_dir)))
+
 
-    return rows_as_triples(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment"), "customer", ("c_custkey",), {"c_nationkey": "nation"})
+_REFERS = [("?k", "rdfs:domain", "?a"), ("?k", "referencedTable", "?b")]
+#: Numeric columns and keys, by table: a union of groups with a filter and a count.
+_USED = [[("?c", "rdfs:domain", "?t"), ("?c", "rdfs:range", "?r")], [("?c", "rdfs:domain", "?t"), ("?c", "referencedTable", "?to")]]
+
+
+def _facts_only(store: DataFrame) -> DataFrame:
+    """The store without the tables that have no key of their own, so that keys to them dangle."""
+    owners = match(store, _REFERS).select(F.col("a").alias("t")).distinct()
+    subject = F.split_part(F.col("s"), F.lit("."), F.lit(1))
+    return store.withColumn("t", subject).join(owners, "t", "left_semi").drop("t")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "triples_graph_stats": lambda s, d: stats(catalogue_triples(s, d)),
-        "triples_shape_violations": lambda s, d: shape_violations(checkpointed(catalogue_triples(s, d))),
-        "triples_path_plus": lambda s, d: path_plus(construct(checkpointed(catalogue_triples(s, d)), [("?k", "rdfs:domain", "?a"), ("?k", "referencedTable", "?b")], [("?a", "refersTo", "?b")]), "refersTo"),
-        "rows_as_triples_customer": _orders,
+        "triples_shape_violations": _over(shape_violations),
+        "triples_shape_violations_facts": _over(lambda t: shape_violations(_facts_only(t))),
+        "triples_union_filter_count": _over(lambda t: select(t, _USED, where=F.col("to").isNotNull() | F.col("r").isin("integer", "double"), by=["t"], measures=[F.count("*").alias("n"), F.countDistinct("c").alias("n_columns"), F.countDistinct("to").alias("n_targets")])),
+        "triples_added_closure": _over(lambda t: select(add(t, construct(t, _REFERS, [("?a", "refersTo", "?b")]), "derived"), [[("?a", "refersTo", "?b"), ("?b", "rowCount", "?n")]], by=["a"], measures=[F.sum(F.col("n").cast("bigint")).alias("rows_referred")])),
+        "triples_path_plus": _over(lambda t: path_plus(construct(t, _REFERS, [("?a", "refersTo", "?b")]), "refersTo")),
+        "rows_as_triples_customer": _customers,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    from tidemark.operators import catalog
-
     graph = catalog.oracle_sql()["triples_count_by_predicate"].removesuffix(catalog._COUNTS).removeprefix("WITH ")
     base = "'http://example.com/data/"
     return {
         "triples_graph_stats": f"WITH {graph} SELECT 'default' AS g, count(*) AS triples, count(DISTINCT s) AS subjects, count(DISTINCT p) AS predicates FROM triples",
-        "triples_shape_violations": f"WITH {graph} SELECT s AS node, p AS shape FROM triples t WHERE p = 'referencedTable' AND NOT EXISTS (SELECT 1 FROM triples c WHERE c.s = t.o AND c.p = 'rowCount')",
+        "triples_shape_violations": f"WITH {graph}, {_shapes_sql('triples')}",
+        "triples_shape_violations_facts": f"WITH {graph}, facts AS (SELECT * FROM triples WHERE string_split(s, '.')[1] IN (SELECT b.o FROM triples a JOIN triples b ON a.s = b.s AND a.p = 'referencedTable' AND b.p = 'rdfs:domain')), {_shapes_sql('facts')}",
+        "triples_union_filter_count": f"WITH {graph}, u AS (SELECT DISTINCT a.s AS c, a.o AS t, b.p AS p, b.o AS o FROM triples a JOIN triples b ON a.s = b.s AND a.p = 'rdfs:domain' AND b.p IN ('rdfs:range', 'referencedTable')) SELECT t, count(*) AS n, count(DISTINCT c) AS n_columns, count(DISTINCT CASE WHEN p = 'referencedTable' THEN o END) AS n_targets FROM u WHERE p = 'referencedTable' OR o IN ('integer', 'double') GROUP BY t",
+        "triples_added_closure": f"WITH {graph} SELECT a, CAST(sum(n) AS BIGINT) AS rows_referred FROM (SELECT DISTINCT d.o AS a, k.o AS b, CAST(c.o AS BIGINT) AS n FROM triples k JOIN triples d ON k.s = d.s AND k.p = 'referencedTable' AND d.p = 'rdfs:domain' JOIN triples c ON c.s = k.o AND c.p = 'rowCount') q GROUP BY a",
         "triples_path_plus": f"WITH RECURSIVE {graph}, e AS (SELECT DISTINCT a.o AS s, b.o AS o FROM triples a JOIN triples b ON a.s = b.s WHERE a.p = 'rdfs:domain' AND b.p = 'referencedTable'), r(s, o, hop) AS (SELECT s, o, 1 FROM e UNION ALL SELECT r.s, e.o, hop + 1 FROM r JOIN e ON r.o = e.s WHERE hop < 12) SELECT DISTINCT s, o FROM r",
-        "rows_as_triples_customer": f"SELECT {base}customer/' || c_custkey AS s, 'customer#c_custkey' AS p, CAST(c_custkey AS VARCHAR) AS o FROM customer UNION ALL SELECT {base}customer/' || c_custkey, 'customer#c_nationkey', {base}nation/' || c_nationkey FROM customer UNION ALL SELECT {base}customer/' || c_custkey, 'customer#c_mktsegment', c_mktsegment FROM customer",
+        "rows_as_triples_customer": " UNION ALL ".join(f"SELECT {base}customer/' || c_custkey AS s, 'customer#{c}' AS p, {o} AS o FROM customer" for c, o in (("c_custkey", "CAST(c_custkey AS VARCHAR)"), ("c_name", "c_name"), ("c_nationkey", f"{base}nation/' || c_nationkey"), ("c_acctbal", "CAST(c_acctbal AS VARCHAR)"), ("c_mktsegment", "c_mktsegment"))),
     }
+
+
+def _shapes_sql(store: str) -> str:
+    """The eight shapes as anti-joins in SQL."""
+    typed = lambda kind: f"(SELECT s FROM {store} WHERE p = 'rdf:type' AND o = '{kind}')"
+    needed = [("owl:Class", "rowCount"), ("owl:DatatypeProperty", "rdfs:domain"), ("owl:DatatypeProperty", "rdfs:range"), ("owl:ObjectProperty", "referencedTable"), ("owl:ObjectProperty", "cardinality")]
+    lacks = [f"SELECT s AS node, '{kind} without {p}' AS shape FROM {typed(kind)} x WHERE s NOT IN (SELECT s FROM {store} WHERE p = '{p}')" for kind, p in needed]
+    dangling = [f"SELECT s, 'key to an unknown {what}' FROM {store} WHERE p = '{p}' AND o NOT IN {typed(kind)}" for what, p, kind in (("table", "referencedTable", "owl:Class"), ("column", "joinsTo", "owl:DatatypeProperty"))]
+    kinds = f"SELECT s, 'unknown measure type' FROM {store} WHERE p = 'measureType' AND o NOT IN ('attribute', 'additive', 'semi_additive', 'non_additive')"
+    return f"shapes AS ({' UNION ALL '.join([*lacks, *dangling, kinds])}) SELECT * FROM shapes"
