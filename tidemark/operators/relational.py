@@ -34,7 +34,7 @@ PORTABLE: dict[str, str] = {
     "join_comma_where": f"SELECT r_name, {money('o_totalprice')} AS total FROM region, nation, customer, orders WHERE r_regionkey = n_regionkey AND n_nationkey = c_nationkey AND c_custkey = o_custkey GROUP BY r_name",
     "join_using": "SELECT doc_id, quality, n_chars FROM documents JOIN labels USING (doc_id) WHERE toxic = 1",
     "join_natural": "SELECT quality, count(*) AS n FROM documents NATURAL JOIN labels GROUP BY quality",
-    "join_range_bands": "SELECT band, count(*) AS n, min(p_retailprice) AS lowest FROM part JOIN (VALUES ('low', 0, 1000), ('mid', 1000, 1500), ('high', 1500, 100000)) b(band, lo, hi) ON p_retailprice >= lo AND p_retailprice < hi GROUP BY band",
+    "join_range_bands": "SELECT band, count(*) AS n, min(p_size) AS smallest FROM part JOIN (VALUES ('low', 1, 11), ('mid', 11, 31), ('high', 31, 1000)) b(band, lo, hi) ON p_size >= lo AND p_size < hi GROUP BY band",
     "join_cross": "SELECT r_name, p_brand FROM region CROSS JOIN (SELECT DISTINCT p_brand FROM part) b",
     "join_self": "SELECT a.n_name AS nation, count(*) AS neighbours FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey GROUP BY a.n_name",
     # aggregation

@@ -249,7 +249,7 @@ r AS (SELECT * FROM f UNION ALL SELECT DISTINCT dst, 'related', CAST(NULL AS DOU
         "implied_keys": implied,
         "denormalized_columns": repeated,
         "ontology_quality": f"{both} " + " UNION ALL ".join(f"SELECT '{k}' AS measure, count(*) AS value {v}" for k, v in counts.items()),
-        "enrichment_coverage": f"WITH {prof} SELECT table_name, count(*) AS n_columns, round(count(measure_class) / count(*), 6) AS classified, round(count(CASE WHEN n_values > 0 THEN 1 END) / count(*), 6) AS filled, 0.0 AS described FROM prof GROUP BY table_name",
+        "enrichment_coverage": f"WITH {prof} SELECT table_name, count(*) AS n_columns, round(count(measure_class) / count(*), 6) AS classified, round(count(CASE WHEN n_values > 0 THEN 1 END) / count(*), 6) AS filled, CAST(0 AS DOUBLE) AS described FROM prof GROUP BY table_name",
         "catalogue_in_key_graph": f"{both}, b AS (SELECT table_name, t FROM {t} p LEFT JOIN {linked} l ON t = table_name) SELECT table_name, CASE WHEN t IS NULL THEN 'ontology only' ELSE 'both' END AS side, count(t) OVER () AS matched, count(*) OVER () AS ontology_tables, CAST(round(100 * count(t) OVER () / count(*) OVER ()) AS INT) AS pct, CASE WHEN count(t) OVER () = count(*) OVER () THEN 'full_match' WHEN 2 * count(t) OVER () >= count(*) OVER () THEN 'partial_match' WHEN count(t) OVER () > 0 THEN 'low_match' ELSE 'no_match' END AS verdict FROM b",
         "graph_summary": f"WITH {prof} SELECT DISTINCT 1 AS part, table_name || ' (' || n || ' rows)' AS line FROM prof UNION ALL SELECT DISTINCT 2, a || ' -> ' || b FROM (VALUES {', '.join(f"('{f.child}', '{f.parent}')" for f in DRIVER.foreign)}) k(a, b)",
         "axiom_triples": f"""WITH {fk}, k AS (SELECT DISTINCT src, dst FROM fk), i AS (SELECT src, dst, src || '.' || col AS key, src || '.' || col || '~' AS back, one_to_one FROM fk)
