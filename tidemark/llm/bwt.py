@@ -43,35 +43,29 @@ def shard_transform(strings: list[bytes], step: int) -> ShardTransform:
     later = at >= step
     before[later] = symbol[np.flatnonzero(later) - step]
     ends = int((~whole).sum())
-    rank = np.zeros(len(owner), np.int64)
-    rank[~whole] = np.arange(ends)
-    _, rank[whole] = np.unique(symbol[whole], return_inverse=True)
-    rank[whole] += ends
-    reach = step
+    inside = np.flatnonzero(whole)
+    order = np.concatenate([np.flatnonzero(~whole), inside[np.argsort(symbol[inside])]])
+    key = symbol[order]
+    new = np.ones(len(order), bool)
+    new[ends + 1 :] = key[ends + 1 :] != key[ends:-1]
+    rank = np.empty(len(order), np.int64)
+    places, who, reach = np.arange(len(order)), order, step
     while True:
-        order = np.argsort(rank, kind="stable")
-        ranked = rank[order]
-        tied = np.zeros(len(order) + 1, bool)
-        tied[1:-1] = ranked[1:] == ranked[:-1]
-        open_ = tied[1:] | tied[:-1]
-        if not open_.any():
+        # A rank is the place of its first suffix; suffixes of one rank are then ranked by what follows.
+        first = np.flatnonzero(new)
+        rank[who] = np.repeat(places[first], np.diff(np.append(first, len(new))))
+        tied = ~new
+        tied[:-1] |= ~new[1:]
+        places = places[tied]
+        if not len(places):
             return ShardTransform(order, before[order], ends)
-        # Ranks become places, then tied suffixes are ranked by what follows.
-        first = np.flatnonzero(~tied[:-1])
-        place = np.repeat(first, np.diff(np.append(first, len(order))))
-        rank[order] = place
-        who = order[open_]
-        key = rank[who] * (len(order) + 1) + rank[np.minimum(who + reach, len(order) - 1)]
-        resort = np.argsort(key, kind="stable")
-        ordered = key[resort]
+        who = order[places]
+        key = rank[who] * (len(order) + 1) + rank[who + reach]
+        resort = np.argsort(key)
+        key, who = key[resort], who[resort]
+        order[places] = who
         new = np.ones(len(who), bool)
-        new[1:] = ordered[1:] != ordered[:-1]
-        group = rank[who][resort]
-        begin = np.ones(len(who), bool)
-        begin[1:] = group[1:] != group[:-1]
-        index = np.arange(len(who))
-        offset = np.maximum.accumulate(np.where(new, index, 0)) - np.maximum.accumulate(np.where(begin, index, 0))
-        rank[who[resort]] = group + offset
+        new[1:] = key[1:] != key[:-1]
         reach *= 2
 
 
