@@ -25,6 +25,8 @@ from tidemark.llm.windows import gram_hashes, runs
 GRAM = 32  # bytes a minimizer hashes
 ROWS_A_SHARE = 1000
 HOT = 1000  # a minimizer with more runs than these is compared window by window
+BROADCAST = 1 << 20  # hot minimizers (8 MB) that every task may get as one array; more of them are joined to the documents
+SALTS = 32  # parts that the documents of one hot minimizer are dealt into by that join
 _PENDING = 1 << 19  # windows of such minimizers that a task holds at once
 _EMPTY = hashlib.sha256(b"").hexdigest()
 
@@ -98,8 +100,8 @@ def _repeated_minimizers(docs: DataFrame, length: int, shares: int) -> DataFrame
     return credited.groupBy("doc_id").agg(F.flatten(F.collect_list("found")).alias("found"))
 
 
-def _hot_minimizers(held: DataFrame, length: int) -> np.ndarray:
-    """The minimizers with more than ``HOT`` runs, of which a task counts equal ones once: at most a ``HOT``-th of all runs."""
+def _hot_minimizers(held: DataFrame, length: int) -> DataFrame:
+    """(name): the minimizers with more than ``HOT`` runs, of which a task counts equal ones once: at most a ``HOT``-th of all runs."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -113,7 +115,18 @@ def _hot_minimizers(held: DataFrame, length: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(counts.astype(np.int64))], ["name", "n"])
 
     counted = held.select("doc_id", "text", "found").mapInArrow(count, "name long, n long").groupBy("name").agg(F.sum("n").alias("n"))
-    return np.array(sorted(r["name"] for r in counted.where(F.col("n") > HOT).select("name").collect()), np.int64)
+    return counted.where(F.col("n") > HOT).select("name")
+
+
+def _marked(held: DataFrame, hot: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """``held`` with ``often``, and an array: the hot minimizers are in the array if they are few, else each document's own in ``often``."""
+    none = F.array().cast("array<bigint>")
+    if hot.count() <= BROADCAST:
+        return held.withColumn("often", none), np.array([r["name"] for r in hot.collect()], np.int64)
+    names = held.select("doc_id", F.explode("found").alias("name")).withColumn("salt", F.pmod("doc_id", F.lit(SALTS)))
+    salted = hot.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    often = names.join(salted, ["name", "salt"], "left_semi").groupBy("doc_id").agg(F.collect_set("name").alias("often"))
+    return held.join(often, "doc_id", "left").withColumn("often", F.coalesce("often", none)), np.zeros(0, np.int64)
 
 
 def _windows(raw: bytes, starts: np.ndarray, counts: np.ndarray, key: int, length: int) -> np.ndarray:
@@ -138,7 +151,7 @@ def _later(windows: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]
     return first, list(zip(again[0, at].tolist(), again[1, at].tolist(), (again[1, ends] - again[1, at] + 1).tolist())) if len(at) else []
 
 
-def _removed_runs(held: DataFrame, length: int, shares: int) -> DataFrame:
+def _removed_runs(held: DataFrame, hot: DataFrame, length: int, shares: int) -> DataFrame:
     """(doc_id, start, count): runs of window starts whose window also starts earlier.
 
     A task sends each distinct run of windows once, with its bytes, and reports later
@@ -146,8 +159,8 @@ def _removed_runs(held: DataFrame, length: int, shares: int) -> DataFrame:
     each other: their windows are dealt by two hashes of their own bytes, as arrays, each
     distinct one once a task, so that no share holds all runs around a common passage.
     """
-    hot = _hot_minimizers(held, length)
-    shared = held.sparkSession.sparkContext.broadcast(hot)
+    marked, few = _marked(held, hot)
+    shared = held.sparkSession.sparkContext.broadcast(few)
 
     def deal(windows: list[np.ndarray], rows: list[tuple]) -> None:
         first, again = _later(np.concatenate(windows, 1))
@@ -159,15 +172,16 @@ def _removed_runs(held: DataFrame, length: int, shares: int) -> DataFrame:
         rows += [(hash((k, s)) % shares, 0, k, s, c, None, False) for k, s, c in again]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = shared.value
+        everywhere = shared.value
         for batch in slices(batches):
             first: dict[tuple[int, bytes], tuple[int, int]] = {}
             again: list[tuple[int, int, int, int]] = []
             several: set[int] = set()
             rows: list[tuple] = []
             windows: list[np.ndarray] = []
-            for key, text, found in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+            for key, text, found, here in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3)):
                 raw = text.as_py().encode()
+                often = everywhere if len(everywhere) else here.values.to_numpy()
                 name, start, count, multi = runs(np.frombuffer(raw, np.uint8), length, GRAM)
                 wanted = np.isin(name, found.values.to_numpy().view(np.uint64))
                 if len(often):
@@ -228,7 +242,7 @@ def _removed_runs(held: DataFrame, length: int, shares: int) -> DataFrame:
                 out += [(key, start + a, b - a) for a, b in zip(edges[::2].tolist(), edges[1::2].tolist())]
         return pa.table({k: pa.array([r[i] for r in out], pa.int64()) for i, k in enumerate(("doc_id", "start", "count"))})
 
-    sent = held.select("doc_id", "text", "found").mapInArrow(send, "part int, name long, doc_id long, start long, count long, body binary, multi boolean")
+    sent = marked.select("doc_id", "text", "found", "often").mapInArrow(send, "part int, name long, doc_id long, start long, count long, body binary, multi boolean")
     return sent.groupBy("part").applyInArrow(compare, "doc_id long, start long, count long")
 
 
@@ -280,7 +294,8 @@ def _judged_by_key(docs: DataFrame, base: DataFrame, length: int) -> DataFrame:
 
     found = _repeated_minimizers(docs, length, shares).join(base.where("copy").select("doc_id"), "doc_id", "left_anti")
     held = written(docs.join(found.hint("shuffle_hash"), "doc_id"))
-    starts = _removed_runs(held, length, shares).groupBy("doc_id").agg(F.collect_list(F.struct("start", "count")).alias("runs"))
+    hot = written(_hot_minimizers(held, length))
+    starts = _removed_runs(held, hot, length, shares).groupBy("doc_id").agg(F.collect_list(F.struct("start", "count")).alias("runs"))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -304,7 +319,7 @@ def _judged_by_key(docs: DataFrame, base: DataFrame, length: int) -> DataFrame:
 
     cuts = held.select("doc_id", "text").join(starts.hint("shuffle_hash"), "doc_id").mapInArrow(apply, "doc_id long, kept string, spans array<struct<start: bigint, end: bigint>>")
     cuts = written(cuts)
-    discard(held)
+    discard(held, hot)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return base.join(cuts, "doc_id", "left").select(
         "doc_id", "n_bytes",
