@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, html, jaccard, language, media, packing, preferences, quality, suffixes, urls
+from tidemark.llm import bpe, html, jaccard, language, media, packing, preferences, quality, suffixes, toxicity, trie, urls, whitening
 from tidemark.sources.tables import table
 
 
@@ -51,8 +51,20 @@ def op10_bwt_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op11_truncation_peeling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_cholesky_jacobi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_components(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_preference_pairs, op2_bpe_tree, op3_ngram_jaccard, op4_cost_balanced_packing, op5_quality_divergence, op6_progressive_jpeg, op7_block_rules, op8_host_reputation, op9_string_kernels, op10_bwt_merge)}
+    return {f.__name__: f for f in (op1_preference_pairs, op2_bpe_tree, op3_ngram_jaccard, op4_cost_balanced_packing, op5_quality_divergence, op6_progressive_jpeg, op7_block_rules, op8_host_reputation, op9_string_kernels, op10_bwt_merge, op11_truncation_peeling, op12_kneser_ney, op13_cholesky_jacobi)}
 
 
 def oracle_sql() -> dict[str, str]:
