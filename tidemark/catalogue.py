@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.operators import catalog, graph, inference, relational, retrieval, schema, shaping, triplestore
+from tidemark.operators import catalog, discovery, graph, inference, relational, retrieval, schema, shaping, triplestore
 from tidemark.plans import composite
 from tidemark.streaming import events
 
-_PARTS = (relational, graph, composite, catalog, retrieval, shaping, events, triplestore, inference, schema)
+_PARTS = (relational, graph, composite, catalog, retrieval, shaping, events, triplestore, inference, schema, discovery)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
