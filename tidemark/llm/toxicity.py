@@ -173,10 +173,11 @@ def _mean_ratios(docs: DataFrame, ratios: DataFrame, block: int) -> DataFrame:
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Knots of the rising step function nearest to y: both ends of each step."""
+    places, at = np.unique(x, return_inverse=True)
     steps: list[list[float]] = []  # sum, rows, least x, greatest x
-    for a, b in sorted(zip(x.tolist(), y.tolist())):
-        steps.append([b, 1.0, a, a])
-        while len(steps) > 1 and (steps[-2][0] * steps[-1][1] >= steps[-1][0] * steps[-2][1] or steps[-2][3] == steps[-1][2]):
+    for place, total, n in zip(places.tolist(), np.bincount(at, y).tolist(), np.bincount(at).tolist()):
+        steps.append([total, n, place, place])
+        while len(steps) > 1 and steps[-2][0] * steps[-1][1] >= steps[-1][0] * steps[-2][1]:
             s, n, _, high = steps.pop()
             steps[-1] = [steps[-1][0] + s, steps[-1][1] + n, steps[-1][2], high]
     return np.array([v for s in steps for v in s[2:]]), np.array([s[0] / s[1] for s in steps for _ in "ab"])

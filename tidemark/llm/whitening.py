@@ -33,9 +33,9 @@ class Whitening:
 
 def pivoted_cholesky(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A lower triangular factor and an order with ``matrix[order][:, order] = factor @ factor.T``; as many columns as the rank."""
-    a, d = matrix.astype(float).copy(), len(matrix)
-    order, factor = np.arange(d), np.zeros((d, d))
-    least = d * np.finfo(float).eps * max(a.diagonal().max(), 0.0) if d else 0.0
+    a, d = matrix.copy(), len(matrix)
+    order, factor = np.arange(d), np.zeros((d, d), a.dtype)
+    least = d * np.finfo(a.dtype).eps * max(a.diagonal().max(), 0.0) if d else 0.0
     for k in range(d):
         left = a.diagonal()[k:]
         p = k + int(np.argmax(left))
@@ -63,10 +63,10 @@ def _tournament(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
 
 def one_sided_jacobi(factor: np.ndarray, sweeps: int = 60) -> np.ndarray:
     """The factor's columns rotated, disjoint pairs at once, until all are orthogonal to each other."""
-    u = np.hstack([factor, np.zeros((len(factor), factor.shape[1] % 2))])
+    u = np.hstack([factor, np.zeros((len(factor), factor.shape[1] % 2), factor.dtype)])
     if u.shape[1] < 2:
         return factor
-    eps, rounds = np.finfo(float).eps, _tournament(u.shape[1])
+    eps, rounds = np.finfo(u.dtype).eps, _tournament(u.shape[1])
     for _ in range(sweeps):
         turned = False
         for p, q in rounds:
@@ -87,14 +87,17 @@ def one_sided_jacobi(factor: np.ndarray, sweeps: int = 60) -> np.ndarray:
 
 
 def principal_components(scatter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Eigenvalues of a scatter matrix, falling, and its unit eigenvectors as rows; only those of its numerical rank."""
+    """Eigenvalues of a scatter matrix, falling, and its unit eigenvectors as rows; only those of its numerical rank.
+
+    A matrix of wide floats is worked in them, so that small components keep their digits beside large ones.
+    """
     factor, order = pivoted_cholesky(scatter)
     turned = one_sided_jacobi(factor)
     norms = np.sqrt((turned * turned).sum(0))
     rank = np.argsort(-norms, kind="stable")
     vectors = np.zeros((len(rank), len(scatter)))
     vectors[:, order] = (turned[:, rank] / norms[rank]).T
-    return norms[rank] ** 2, vectors
+    return (norms[rank] ** 2).astype(float), vectors
 
 
 def usable(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -202,10 +205,11 @@ def fit_whitening(vectors: DataFrame, column: str = "embedding", dim: int | None
         return None
     sums = tuple(added[i] + n * SHIFT for i in range(dim))
     centre, rest = _centre(n, sums)
-    scatter = np.zeros((dim, dim))
+    scatter = np.zeros((dim, dim), object)
     for r in fit.mapInArrow(partial(_scatter, dim=dim, centre=centre), "i int, j int, v decimal(38,0)").groupBy("i", "j").agg(F.sum("v").alias("v")).collect():
-        scatter[r["i"], r["j"]] = scatter[r["j"], r["i"]] = float(r["v"])
-    scatter -= n * np.outer(rest, rest)
+        scatter[r["i"], r["j"]] = scatter[r["j"], r["i"]] = int(r["v"])
+    over = np.array([s - n * SHIFT - n * int(c) for s, c in zip(sums, centre)], object)  # n times what the centre leaves of the mean
+    scatter = (n * scatter - np.outer(over, over)).astype(np.longdouble) / n
     values, found = principal_components(scatter)
     values, found = values[:components] / n, found[:components]
     scaled = found / np.sqrt(values)[:, None]
