@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable, Iterable
 from functools import reduce
 
@@ -12,7 +13,8 @@ from pyspark.sql import functions as F
 from tidemark.functions.names import clean_name
 from tidemark.operators import catalog
 from tidemark.operators.catalog import triples as catalogue_triples
-from tidemark.session import checkpointed
+from tidemark.session import checkpointed, shared_folder
+from tidemark.sources.graphs import GraphStore
 from tidemark.sources.tables import table
 
 Pattern = tuple[str, str, str]
@@ -197,6 +199,19 @@ _REFERS = [("?k", "rdfs:domain", "?a"), ("?k", "referencedTable", "?b")]
 _USED = [[("?c", "rdfs:domain", "?t"), ("?c", "rdfs:range", "?r")], [("?c", "rdfs:domain", "?t"), ("?c", "referencedTable", "?to")]]
 
 
+def _kept_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Triples by graph and predicate after loads, a replacement, an addition and a deletion in a store of its own."""
+    store = GraphStore(spark, f"{shared_folder(spark).rstrip('/')}/graphs-{uuid.uuid4().hex}")
+    every = checkpointed(catalogue_triples(spark, sf_dir))
+    store.load("catalogue", every)
+    store.load("keys", every)
+    store.load("passing", every)
+    store.load("keys", store.read("catalogue").where(F.col("p").isin("rdfs:domain", "referencedTable")))
+    store.add("keys", construct(store.read("keys"), _REFERS, [("?a", "refersTo", "?b"), ("?k", "rdfs:domain", "?a")]))
+    store.delete("passing")
+    return store.read().groupBy("g", "p").agg(F.count("*").alias("n"), F.countDistinct("s").alias("subjects"))
+
+
 def _facts_only(store: DataFrame) -> DataFrame:
     """The store without the tables that have no key of their own, so that keys to them dangle."""
     owners = match(store, _REFERS).select(F.col("a").alias("t")).distinct()
@@ -213,6 +228,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "triples_added_closure": _over(lambda t: select(add(t, construct(t, _REFERS, [("?a", "refersTo", "?b")]), "derived"), [[("?a", "refersTo", "?b"), ("?b", "rowCount", "?n")]], by=["a"], measures=[F.sum(F.col("n").cast("bigint")).alias("rows_referred")])),
         "triples_path_plus": _over(lambda t: path_plus(construct(t, _REFERS, [("?a", "refersTo", "?b")]), "refersTo")),
         "rows_as_triples_customer": _customers,
+        "stored_graphs": _kept_graphs,
     }
 
 
@@ -226,6 +242,7 @@ def oracle_sql() -> dict[str, str]:
         "triples_union_filter_count": f"WITH {graph}, u AS (SELECT DISTINCT a.s AS c, a.o AS t, b.p AS p, b.o AS o FROM triples a JOIN triples b ON a.s = b.s AND a.p = 'rdfs:domain' AND b.p IN ('rdfs:range', 'referencedTable')) SELECT t, count(*) AS n, count(DISTINCT c) AS n_columns, count(DISTINCT CASE WHEN p = 'referencedTable' THEN o END) AS n_targets FROM u WHERE p = 'referencedTable' OR o IN ('integer', 'double') GROUP BY t",
         "triples_added_closure": f"WITH {graph} SELECT a, CAST(sum(n) AS BIGINT) AS rows_referred FROM (SELECT DISTINCT d.o AS a, k.o AS b, CAST(c.o AS BIGINT) AS n FROM triples k JOIN triples d ON k.s = d.s AND k.p = 'referencedTable' AND d.p = 'rdfs:domain' JOIN triples c ON c.s = k.o AND c.p = 'rowCount') q GROUP BY a",
         "triples_path_plus": f"WITH RECURSIVE {graph}, e AS (SELECT DISTINCT a.o AS s, b.o AS o FROM triples a JOIN triples b ON a.s = b.s WHERE a.p = 'rdfs:domain' AND b.p = 'referencedTable'), r(s, o, hop) AS (SELECT s, o, 1 FROM e UNION ALL SELECT r.s, e.o, hop + 1 FROM r JOIN e ON r.o = e.s WHERE hop < 12) SELECT DISTINCT s, o FROM r",
+        "stored_graphs": f"WITH {graph}, k AS (SELECT s, p, o FROM triples WHERE p IN ('rdfs:domain', 'referencedTable') UNION SELECT a.o, 'refersTo', b.o FROM triples a JOIN triples b ON a.s = b.s AND a.p = 'rdfs:domain' AND b.p = 'referencedTable') SELECT g, p, count(*) AS n, count(DISTINCT s) AS subjects FROM (SELECT 'catalogue' AS g, s, p, o FROM (SELECT DISTINCT s, p, o FROM triples) t UNION ALL SELECT 'keys', s, p, o FROM k) q GROUP BY g, p",
         "rows_as_triples_customer": " UNION ALL ".join(f"SELECT {base}customer/' || c_custkey AS s, 'customer#{c}' AS p, {o} AS o FROM customer" for c, o in (("c_custkey", "CAST(c_custkey AS VARCHAR)"), ("c_name", "c_name"), ("c_nationkey", f"{base}nation/' || c_nationkey"), ("c_acctbal", "CAST(c_acctbal AS VARCHAR)"), ("c_mktsegment", "c_mktsegment"))),
     }
 
