@@ -127,11 +127,12 @@ def plain_classify(found):
     share = lambda texts: (lambda w: sum(x in html.STOP_WORDS for x in w) / max(1, len(w)))([x.lower() for t in texts for x in html.WORD.findall(t)])
     body = [b.text for b in found if not b.furniture and len(b.text) >= 70 and b.links <= 0.2 * len(b.text)]
     foreign = share(body) < 0.1
-    marks = []
+    marks, of_links = [], []
     for i, b in enumerate(found):
         mostly = [x.content and not x.furniture and not x.heading and 2 * x.links > len(x.text) for x in found]
         linked = b.links > 0.2 * len(b.text) if not b.content else mostly[i] and (i > 0 and mostly[i - 1] or i + 1 < len(found) and mostly[i + 1])
         dense = 0.2 if foreign else share([b.text])
+        of_links.append(linked)
         if b.furniture or linked:
             marks.append(False)
         elif len(b.text) < 70:
@@ -147,6 +148,8 @@ def plain_classify(found):
         label = lambda k: 0 <= k < len(found) and marks[k]
         if marks[i] is not None:
             out.append(marks[i])
+        elif all(found[k].furniture or of_links[k] for k, m in enumerate(marks) if m is not None):
+            out.append(True)
         elif b.content:
             near = [label(k) for k in (above, below) if 0 <= k < len(found) and found[k].content]
             out.append(not near or any(near))

@@ -84,6 +84,44 @@ def test_layout_names_drop_no_article(before, after):
     assert html.main_text(page) == text
 
 
+LINE = "The house of the river and the garden is in the light of the morning and of the day."
+FIELDS = "<label>Name</label><input><select><option>One</option></select><button>Send</button>"
+
+
+@pytest.mark.parametrize(
+    "inner",
+    [f"<article><p>{LINE}</p><p>Short.</p></article>", f"<main><p>{LINE}</p><p>Short.</p></main>", f"<main><article><p>{LINE}</p><p>Short.</p></article></main>", f"<div><p>{LINE * 3}</p><p>Short.</p><p>{LINE * 3}</p></div>"],
+)
+@pytest.mark.parametrize("around", ["<form id=page>%s</form>", "<div role=dialog>%s</div>", "<div role=form><form>%s</form></div>", "<main><form>%s</form></main>", "<dialog open>%s</dialog>"])
+def test_forms_and_dialogs_around_the_page(around, inner):
+    page = f"<body><nav>Home Shop</nav>{around % (FIELDS + inner)}<form class=x>{FIELDS}<p>Leave a reply.</p></form><footer>us</footer></body>"
+    got = html.main_text(page).split("\n")
+    assert got[-1] in ("Short.", LINE * 3) and LINE in got[-2 if "Short" in got[-1] else -1] and "Short." in got
+    assert not {"Send", "One", "Leave a reply.", "Home Shop", "us"} & set(got)
+
+
+def test_forms_beside_the_article_go():
+    ask = "By sending this form you agree to the rules of the house and of the garden and of the river."
+    page = f"<body><article><p>{LINE}</p><p>{LINE}</p></article><form><p>{ask}</p>{FIELDS}</form><div role=alert><p>{ask}</p></div></body>"
+    assert html.main_text(page).split("\n") == [LINE] * 2
+    assert html.main_text(f"<body><form>{FIELDS}<p>Leave a reply.</p></form></body>") == ""
+    inside = f"<body><form><article><p>{LINE}</p><form><p>Reply</p></form><div class=comments><p>{LINE}</p></div></article></form></body>"
+    assert html.main_text(inside) == LINE
+
+
+def test_links_around_blocks():
+    teaser = f"<a href=x><div><h3>More</h3><p>{LINE * 3}</p></div></a>"
+    page = f"<body><p>{LINE * 3}</p>{teaser}{teaser}<p>{LINE * 3}</p></body>"
+    assert html.main_text(page).split("\n") == [LINE * 3] * 2
+    unclosed = f"<body><div><a href=x>Home</div><p>{LINE * 3}</p><a name=here><p>{LINE * 3}</p></body>"
+    assert html.main_text(unclosed).split("\n")[-2:] == [LINE * 3] * 2
+
+
+def test_pages_of_short_blocks_stay():
+    page = "<body><nav>Home</nav><p>One of the three.</p><p>And two.</p><div><a href=x>Elsewhere on this site</a></div><p>The third.</p></body>"
+    assert html.main_text(page).split("\n") == ["One of the three.", "And two.", "The third."]
+
+
 def test_article_text_with_links_and_fallbacks():
     text = "The house of the river and the garden is in the light of the morning and of the day."
     linked = f"<a href=x>{text}</a>"

@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame
 BLOCKS = frozenset(
     "address article aside blockquote body caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td textarea tfoot th thead title tr ul".split()
 )
-FURNITURE = frozenset("nav header footer aside form menu dialog head select button textarea".split())
+FURNITURE = frozenset("nav header footer aside menu head select button textarea".split())
+WRAPS = frozenset("form dialog".split())  # furniture, unless the page's article is inside
 CONTENT = frozenset("article main".split())
 CONTENT_NAMES = frozenset("article articlebody content entry main post story".split())
 FRAMES = frozenset("html body main article".split())  # never judged by names
@@ -24,7 +25,9 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 NAMES = frozenset(
     "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus disclaimer footer gdpr header masthead menu modal nav navbar navigation newsletter notice pagination popup promo promoted related replies respond share sharing sidebar social sponsor sponsored subscribe toolbar widget".split()
 )
-ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
+ROLES = frozenset("navigation banner contentinfo complementary search menu menubar".split())
+WRAP_ROLES = frozenset("form dialog alert".split())
+SHORT, LONG = 70, 200  # characters of a block that is judged by itself, and of one that is main text anywhere
 STOP_WORDS = frozenset(
     (
         "the of and to a in is that for on with was it as at by from this an be are or not have has "
@@ -43,6 +46,8 @@ TOKEN = re.compile(
     re.S | re.I,
 )
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+UNFINISHED = re.compile(r"<[a-zA-Z/!?][^<>]*\Z")  # a tag that the page's end cuts
+HREF = re.compile(r"\bhref\b", re.I)
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -70,6 +75,11 @@ def _is_furniture(tag: str, attrs: str) -> bool:
     return False
 
 
+def _wraps(tag: str, attrs: str) -> bool:
+    """A form, a dialog or an alert, by element or role."""
+    return tag in WRAPS or bool(attrs) and any(n.lower() == "role" and (a or b or c).lower() in WRAP_ROLES for n, a, b, c in ATTRIBUTE.findall(attrs))
+
+
 def _named_furniture(tag: str, attrs: str) -> bool:
     """By a part of a class or id."""
     if not attrs or tag in FRAMES:
@@ -92,21 +102,31 @@ def _is_content(tag: str, attrs: str) -> bool:
 
 @dataclass
 class Named:
-    """An open element that its class or id names as furniture, inside others."""
+    """An open element that its class or id names as furniture, or that may wrap the page, inside others."""
 
     outer: "Named | None"
+    wraps: bool = False
     bad: bool = True
     within: bool = False  # itself or one around it is bad
+    named: bool = False  # the same, of those that don't wrap
+    prose: int = 0  # characters of its longer blocks
 
-    def __post_init__(self):
+    def settle(self) -> None:
         self.within = self.bad or self.outer is not None and self.outer.within
+        self.named = self.bad and not self.wraps or self.outer is not None and self.outer.named
+
+    def __post_init__(self):
+        self.around: Named | None = self if self.wraps else self.outer and self.outer.around  # the nearest that wraps
+        self.settle()
 
 
 def blocks(page: str) -> list[Block]:
     """The page's text blocks in order. A tag that is never closed ends with its parent.
 
     An element that only its class or id names as furniture is none if it holds the
-    page's article: its first main element or, without one, its first article.
+    page's article: its first main element or, without one, its first article. A form or
+    dialog is none if it holds that, or the first article inside it, or at least half of the
+    page's longer blocks that are no furniture otherwise, as frameworks wrap whole pages in one.
     """
     out: list[Block] = []
     inside: list[Named | None] = []  # of each block, the innermost named element around it
@@ -114,7 +134,8 @@ def blocks(page: str) -> list[Block]:
     found = {m["tag"].lower() for m in TOKEN.finditer(page) if m["tag"] and m["tag"].lower() in CONTENT}
     wanted = next((x for x in ("main", "article") if x in found), None)
     parts: list[str] = []
-    links = link = 0
+    links = link = link_depth = 0
+    articles = 0
     stack: list[tuple[str, bool, bool, Named | None]] = []  # open block elements: tag, inside furniture, inside content, named element around
     open_: Counter[str] = Counter()
 
@@ -144,13 +165,12 @@ def blocks(page: str) -> list[Block]:
         if tag is None:
             continue
         tag, closing = tag.lower(), bool(m["close"])
-        if tag == "a":
-            link = 0 if closing else 1
+        if tag == "a":  # it may hold blocks, and ends with the block around it at the latest
+            link, link_depth = int(not closing and HREF.search(m["attrs"]) is not None), len(stack)
         elif tag == "br":
             parts.append("\n")
-        elif tag in BLOCKS or not closing and (_is_furniture(tag, m["attrs"]) or _named_furniture(tag, m["attrs"])) and tag not in VOID or closing and open_[tag]:
+        elif tag in BLOCKS or not closing and (_is_furniture(tag, m["attrs"]) or _wraps(tag, m["attrs"]) or _named_furniture(tag, m["attrs"])) and tag not in VOID or closing and open_[tag]:
             flush()
-            link = 0
             if tag in VOID:
                 continue
             if closing:
@@ -159,32 +179,51 @@ def blocks(page: str) -> list[Block]:
                     open_[last] -= 1
                     if last == tag:
                         break
+                if len(stack) < link_depth:
+                    link = 0
             else:
                 if tag in ("p", "li", "td", "th", "tr", "dt", "dd", "option") and stack and stack[-1][0] == tag:
                     open_[stack.pop()[0]] -= 1
                 bad, good, named = stack[-1][1:] if stack else (False, False, None)
-                if tag == wanted:
-                    wanted, element = None, named
+                articles += tag == "article"
+                if tag == wanted or tag == "article" and articles == 1 and good:
+                    element = named
                     while element is not None:
-                        element.bad = element.within = False
+                        if tag == wanted or element.wraps:
+                            element.bad = element.within = False
                         element = element.outer
+                    wanted = None if tag == wanted else wanted
                 own = tag == "header" and good and not bad and not (named and named.within)  # an article's own heading
-                if not own and _named_furniture(tag, m["attrs"]):
-                    named = Named(named)
+                wraps = _wraps(tag, m["attrs"])
+                if wraps or not own and _named_furniture(tag, m["attrs"]):
+                    named = Named(named, wraps)
                     named_elements.append(named)
                 stack.append((tag, bad or not own and _is_furniture(tag, m["attrs"]), good or _is_content(tag, m["attrs"]), named))
                 open_[tag] += 1
     if at < len(page):
-        add(page[at:])
+        add(UNFINISHED.sub("", page[at:]))
     flush()
     for element in named_elements:  # outer elements come first
-        element.within = element.bad or element.outer is not None and element.outer.within
+        element.settle()
+    prose = 0
+    for block, named in zip(out, inside):
+        if len(block.text) >= SHORT and not block.furniture and not (named and named.named):
+            prose += len(block.text)
+            if named and named.around:
+                named.around.prose += len(block.text)
+    for element in reversed(named_elements):
+        if element.wraps:
+            element.bad = element.bad and not 0 < prose <= 2 * element.prose
+            if element.outer and element.outer.around:
+                element.outer.around.prose += element.prose
+    for element in named_elements:
+        element.settle()
     for block, named in zip(out, inside):
         block.furniture = block.furniture or named is not None and named.within
     return out
 
 
-def classify(found: list[Block], short: int = 70, long: int = 200, max_links: float = 0.2, low: float = 0.1, high: float = 0.2) -> list[bool]:
+def classify(found: list[Block], short: int = SHORT, long: int = LONG, max_links: float = 0.2, low: float = 0.1, high: float = 0.2) -> list[bool]:
     """Whether each block is main text.
 
     First pass: furniture and blocks of links are bad; a block of ``short``
@@ -197,6 +236,7 @@ def classify(found: list[Block], short: int = 70, long: int = 200, max_links: fl
     takes the label of its nearest decided neighbours, or of the nearer one if they
     differ (a heading: of the one below); the page's edges count as bad. Inside an
     article or main element it is good unless all its decided neighbours there are bad.
+    On a page without any decided block but furniture and links, open blocks are good.
     """
 
     def stop_words(text: str) -> tuple[int, int]:
@@ -224,6 +264,7 @@ def classify(found: list[Block], short: int = 70, long: int = 200, max_links: fl
             marks.append(True if share >= low else None)
         else:
             marks.append(True if share >= high and n >= long else (None if share >= low else False))
+    undecided = all(m is None or b.furniture or linked(i) for i, (b, m) in enumerate(zip(found, marks)))
     last: list[tuple[int, bool] | None] = []
     seen = None
     for i, m in enumerate(marks):
@@ -239,6 +280,8 @@ def classify(found: list[Block], short: int = 70, long: int = 200, max_links: fl
             seen = (i, m)
         if m is not None:
             out.append(m)
+        elif undecided:
+            out.append(True)
         elif found[i].content:
             near = [x for x in (last[i], seen) if x and found[x[0]].content]
             out.append(not near or any(x[1] for x in near))
