@@ -3,10 +3,13 @@
 import hashlib
 import random
 import time
+from concurrent.futures import ThreadPoolExecutor
+from pathlib import Path
 
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.test_duplicates import brute_components, brute_removal
@@ -280,9 +283,28 @@ def test_quality_of_long_and_no_texts(spark, nothing):
 def test_intermediate_tables_go(spark, docs, tmp_path):
     plain = docs.select("doc_id", "text", "lang", "source", "n_chars").where("length(text) < 2000")
     plain.write.parquet(str(tmp_path / "documents.parquet"))
-    before = list(shared._written)
-    corpus_pipeline.run(spark, str(tmp_path))
-    assert shared._written == before
+    place = Path(shared.shared_folder(spark).removeprefix("file:"))
+    with shared.run_folder(spark) as other:  # of another run
+        mine = shared.written(spark.range(3))
+        with ThreadPoolExecutor(1) as pool:
+            before = set(place.iterdir())
+            pool.submit(corpus_pipeline.run, spark, str(tmp_path)).result()
+        left = set(place.iterdir()) - before
+        assert [p.name.startswith("pipeline-") for p in left] == [True] and mine.count() == 3 and Path(other).exists()
+    assert not Path(other).exists()
+
+
+def test_names_of_other_columns_never_clash(spark, docs, rows):
+    """Columns named as the stages' own, whatever their case."""
+    names = ["_id", "_Sha", "_spans", "_none", "row", "spans", "sha", "key"]
+    clashing = docs.select("doc_id", "text", "lang", "source", "n_chars", *[F.lit(f"v{i}").alias(n) for i, n in enumerate(names)])
+    plain = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    for stage in (suffixes.cut_repeats, quality.keep_good, lambda d: corpus_pipeline.ngram_jaccard(spark, d, ""), lambda d: corpus_pipeline.language_id(spark, d, "")):
+        got = stage(clashing)
+        assert got.columns == clashing.columns
+        found = got.collect()
+        assert {tuple(r)[:5] for r in found} == {tuple(r) for r in stage(plain).collect()}
+        assert {tuple(r)[5:] for r in found} == {tuple(f"v{i}" for i in range(len(names)))}
 
 
 @pytest.mark.parametrize("text", ["", "a", "word " * 50, "é" * 40, "x" * 200])

@@ -271,7 +271,7 @@ def bpe_digest(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "do
 
 
 def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """All columns plus the token ids of the text (null: no ids)."""
+    """All columns plus the token ids of the text (null: no ids); a column named as ``ids`` says is replaced."""
 
     @F.pandas_udf("array<int>")
     def encode(values: Iterator[pd.Series]) -> Iterator[pd.Series]:

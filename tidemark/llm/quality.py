@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import written
+from tidemark.llm.shared import fresh_name, written
 
 SPACE = r"[\x20\x09-\x0D]+"
 # Frequent function words of each language.
@@ -130,7 +130,8 @@ def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFr
 
     A row is written once beside its counts and never shuffled.
     """
-    rows = written(features(docs.withColumn("_none", F.lit(None).cast("long")), "_none", text, lang, carry=True))
+    none = fresh_name(docs.columns, "_none")
+    rows = written(features(docs.withColumn(none, F.lit(None).cast("long")), none, text, lang, carry=True))
     return _judged(rows, MIN_WORDS, MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE).where("kept").select("row.*").select(*docs.columns)
 
 

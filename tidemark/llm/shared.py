@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_written: list[str] = []  # folders of tables that nothing has deleted yet
+_run: ContextVar[str | None] = ContextVar("run", default=None)  # the folder of the run that is going on in this thread
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -28,9 +31,8 @@ def shared_folder(spark: SparkSession) -> str:
 
 def written(df: DataFrame) -> DataFrame:
     """The same rows, written as Parquet to the shared folder and read again: lineage and repeated work end here."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/{uuid.uuid4().hex}"
+    path = f"{_run.get() or shared_folder(df.sparkSession).rstrip('/')}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -44,18 +46,26 @@ def discard(*tables: DataFrame) -> None:
     for table in tables:
         for folder in {name.rsplit("/", 1)[0] for name in table.inputFiles()}:
             _delete(table.sparkSession, folder)
-            _written[:] = [p for p in _written if p.rsplit("/", 1)[-1] != folder.rsplit("/", 1)[-1]]
 
 
-def mark() -> int:
-    return len(_written)
+@contextmanager
+def run_folder(spark: SparkSession) -> Iterator[str]:
+    """A folder of its own for all tables that this thread writes inside, deleted at the end; what reads them must be written by then."""
+    path = f"{shared_folder(spark).rstrip('/')}/run-{uuid.uuid4().hex}"
+    before = _run.set(path)
+    try:
+        yield path
+    finally:
+        _run.reset(before)
+        _delete(spark, path)
 
 
-def sweep(spark: SparkSession, since: int) -> None:
-    """Delete the tables written after a mark, once the result that reads them is itself written."""
-    for path in _written[since:]:
-        _delete(spark, path)
-    del _written[since:]
+def fresh_name(taken: Iterable[str], stem: str) -> str:
+    """A column name that no taken one equals, case aside."""
+    low = {t.lower() for t in taken}
+    while stem.lower() in low:
+        stem += "_"
+    return stem
 
 
 def join_by_class(rows: DataFrame, classes: DataFrame, key: str, total: int, parts: int = 1000) -> DataFrame:

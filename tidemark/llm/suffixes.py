@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.bwt import repeats
 from tidemark.llm.chunks import slices
-from tidemark.llm.shared import discard, written
+from tidemark.llm.shared import discard, fresh_name, written
 from tidemark.llm.windows import gram_hashes, runs
 
 GRAM = 32  # bytes a minimizer hashes
@@ -331,7 +331,7 @@ def _judged_by_key(docs: DataFrame, base: DataFrame, length: int) -> DataFrame:
 
 
 def cut_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
-    """The documents without their repeated passages; n_chars follows the text.
+    """The documents (doc_id, text and n_chars, with any other columns) without their repeated passages; n_chars follows the text.
 
     A character goes when all its bytes do. Documents of which nothing is left, as
     whole copies, go; texts that were empty or null before stay. All columns are kept;
@@ -366,8 +366,9 @@ def cut_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
             rest = pa.array([not gone or t != "" for t, gone in zip(texts, spans)], pa.bool_())
             yield pa.RecordBatch.from_arrays(columns, names).filter(rest)
 
+    id_, sha, spans_ = (fresh_name(names, n) for n in ("_id", "_sha", "_spans"))
     keyed = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).where(F.col("doc_id").isNotNull())
-    found = _judged(keyed, length).where("n_removed > 0 and n_removed < n_bytes or n_removed = 0").select(F.col("doc_id").alias("_id"), F.col("sha").alias("_sha"), F.col("spans").alias("_spans"))
+    found = _judged(keyed, length).where("n_removed > 0 and n_removed < n_bytes or n_removed = 0").select(F.col("doc_id").alias(id_), F.col("sha").alias(sha), F.col("spans").alias(spans_))
     digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
-    joined = docs.join(found, (F.col("doc_id") == F.col("_id")) & (digest == F.col("_sha"))).dropDuplicates(["_id", "_sha"])
-    return joined.select(*names, "_spans").mapInArrow(cut, docs.schema).union(docs.where(docs["doc_id"].isNull()))
+    joined = docs.join(found, (F.col("doc_id") == F.col(id_)) & (digest == F.col(sha))).dropDuplicates([id_, sha])
+    return joined.select(*names, spans_).mapInArrow(cut, docs.schema).union(docs.where(docs["doc_id"].isNull()))
