@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import jaccard, language, packing, quality, suffixes
-from tidemark.llm.shared import discard, mark, shared_folder, sweep
+from tidemark.llm.shared import discard, run_folder, shared_folder
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -58,14 +58,14 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``; each result goes through Parquet in the shared folder.
 
-    What a stage wrote on its way goes with its result written; so does its predecessor's result.
+    What a stage writes on its way has a folder of its own, which goes once its result is written;
+    so does its predecessor's result.
     """
     docs = first = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
-        before = mark()
         path = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        sweep(spark, before)
+        with run_folder(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         if docs is not first:
             discard(docs)
         docs = spark.read.parquet(path)
