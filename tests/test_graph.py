@@ -65,3 +65,47 @@ def test_edges_are_verified_once_a_state_of_the_files(spark, tmp_path, monkeypat
     monkeypatch.undo()
     save("a", [1, 3], "b_id")
     assert keys.kept_edges(spark, folder, pair).isEmpty()
+
+
+def plain_reach(edges, both=False):
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        if both:
+            near.setdefault(b, set()).add(a)
+    out = {}
+    for origin in near:
+        hops, front = {origin: 0}, [origin]
+        while front:
+            front = sorted({b for a in front for b in near.get(a, ()) if b not in hops})
+            hops |= dict.fromkeys(front, max(hops.values()) + 1)
+        out |= {(origin, n): h for n, h in hops.items() if n != origin}
+    return out
+
+
+def test_reach_has_no_bound_of_hops(spark):
+    """A chain of 30 tables with a key back to its start, and a dense graph of 200."""
+    rng = random.Random(1)
+    chain = [(f"t{i:02}", f"t{i + 1:02}") for i in range(29)] + [("t29", "t00"), ("t03", "t03")]
+    dense = [(f"d{a}", f"d{b}") for a in range(200) for b in rng.sample(range(200), 20)]
+    for edges in (chain, dense):
+        df = spark.createDataFrame(edges, "src string, dst string")
+        assert {(r.origin, r.node): r.hop for r in graph.reach(df).collect()} == plain_reach(edges)
+    backward = graph.reach(spark.createDataFrame(chain, "src string, dst string"), spark.createDataFrame([("t05",)], "origin string"), "incoming")
+    assert {r.node: r.hop for r in backward.collect()}["t06"] == 29
+    near = graph.reach(spark.createDataFrame(chain, "src string, dst string"), None, "both", 3)
+    assert {(r.origin, r.node): r.hop for r in near.collect()} == {k: h for k, h in plain_reach(chain, True).items() if h <= 3}
+
+
+def test_paths_of_a_dense_graph(spark):
+    """Every pair of 200 tables with 20 keys each: more paths than can be listed, and one is kept."""
+    rng = random.Random(2)
+    edges = [(f"d{a:03}", "k", f"d{b:03}", "id") for a in range(200) for b in rng.sample(range(200), 20) if a != b]
+    found = {(r.origin, r.node): r for r in graph.join_specs(spark.createDataFrame(edges, "src string, col string, dst string, ref_col string")).collect()}
+    both = plain_reach([(a, b) for a, _, b, _ in edges], True)
+    assert {k: r.hop for k, r in found.items()} == both
+    have = {(a, b) for a, _, b, _ in edges}
+    for (a, b), r in found.items():
+        if r.hop == 2:
+            ways = {(0 if (a, m) in have and (m, b) in have else 1 if (m, a) in have and (b, m) in have else 2, f"{a}>{m}>{b}") for m in {f"d{i:03}" for i in range(200)} if ((a, m) in have or (m, a) in have) and ((m, b) in have or (b, m) in have)}
+            assert (("forward", "backward", "undirected").index(r.direction), r.path) == min(ways)

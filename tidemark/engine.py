@@ -107,7 +107,7 @@ class Engine:
         return catalog.triples(self.spark, self.folder, self.registry)
 
     def ask_graph(self, question: str) -> DataFrame:
-        return graph.components(self.edges()) if question == "components" else graph.ask(self.edges(), graph.QUESTIONS[question])
+        return graph.ROUNDS[question](self.edges()) if question in graph.ROUNDS else graph.ask(self.edges(), graph.QUESTIONS[question])
 
     def elements(self) -> DataFrame:
         """The texts that are searched, one a table, column and key; made once an engine."""
