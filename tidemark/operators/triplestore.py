@@ -16,6 +16,7 @@ from tidemark.operators.catalog import triples as catalogue_triples
 from tidemark.session import checkpointed, shared_folder
 from tidemark.sources.graphs import GraphStore
 from tidemark.sources.tables import table
+from tidemark.sources.turtle import compacted, read_turtle
 
 Pattern = tuple[str, str, str]
 
@@ -212,6 +213,23 @@ def _kept_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read().groupBy("g", "p").agg(F.count("*").alias("n"), F.countDistinct("s").alias("subjects"))
 
 
+def _turtle_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Triples by predicate after the catalogue was written as Turtle, with a view's triples, and read again."""
+    store = GraphStore(spark, f"{shared_folder(spark).rstrip('/')}/graphs-{uuid.uuid4().hex}")
+    store.load("catalogue", catalogue_triples(spark, sf_dir))
+    store.add("catalogue", view_triples(spark, {"big_orders": (["orders", "customer"], ["o_orderkey", "c_name"])}))
+    path = f"{store.folder}/turtle"
+    store.export("catalogue", path)
+    found, malformed = read_turtle(spark, path)
+    return compacted(found).groupBy("p").agg(F.count("*").alias("n"), F.countDistinct("s").alias("subjects"), F.countDistinct("o").alias("objects")).unionAll(malformed.agg(F.lit("malformed"), F.count("*"), F.lit(0).cast("long"), F.lit(0).cast("long")))
+
+
+def view_triples(spark: SparkSession, views: dict[str, tuple[list[str], list[str]]]) -> DataFrame:
+    """(s, p, o) of views: a class each, its columns, and the tables it is derived from, where they are known."""
+    rows = [t for name, (sources, columns) in sorted(views.items()) for t in [(name, "rdf:type", "View"), *[(name, "derivedFrom", s) for s in sources], *[x for c in columns for x in ((f"{name}.{c}", "rdf:type", "ViewColumn"), (f"{name}.{c}", "rdfs:domain", name))]]]
+    return spark.createDataFrame(rows, "s string, p string, o string")
+
+
 def _facts_only(store: DataFrame) -> DataFrame:
     """The store without the tables that have no key of their own, so that keys to them dangle."""
     owners = match(store, _REFERS).select(F.col("a").alias("t")).distinct()
@@ -229,6 +247,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "triples_path_plus": _over(lambda t: path_plus(construct(t, _REFERS, [("?a", "refersTo", "?b")]), "refersTo")),
         "rows_as_triples_customer": _customers,
         "stored_graphs": _kept_graphs,
+        "turtle_round_trip": _turtle_round_trip,
     }
 
 
@@ -242,6 +261,7 @@ def oracle_sql() -> dict[str, str]:
         "triples_union_filter_count": f"WITH {graph}, u AS (SELECT DISTINCT a.s AS c, a.o AS t, b.p AS p, b.o AS o FROM triples a JOIN triples b ON a.s = b.s AND a.p = 'rdfs:domain' AND b.p IN ('rdfs:range', 'referencedTable')) SELECT t, count(*) AS n, count(DISTINCT c) AS n_columns, count(DISTINCT CASE WHEN p = 'referencedTable' THEN o END) AS n_targets FROM u WHERE p = 'referencedTable' OR o IN ('integer', 'double') GROUP BY t",
         "triples_added_closure": f"WITH {graph} SELECT a, CAST(sum(n) AS BIGINT) AS rows_referred FROM (SELECT DISTINCT d.o AS a, k.o AS b, CAST(c.o AS BIGINT) AS n FROM triples k JOIN triples d ON k.s = d.s AND k.p = 'referencedTable' AND d.p = 'rdfs:domain' JOIN triples c ON c.s = k.o AND c.p = 'rowCount') q GROUP BY a",
         "triples_path_plus": f"WITH RECURSIVE {graph}, e AS (SELECT DISTINCT a.o AS s, b.o AS o FROM triples a JOIN triples b ON a.s = b.s WHERE a.p = 'rdfs:domain' AND b.p = 'referencedTable'), r(s, o, hop) AS (SELECT s, o, 1 FROM e UNION ALL SELECT r.s, e.o, hop + 1 FROM r JOIN e ON r.o = e.s WHERE hop < 12) SELECT DISTINCT s, o FROM r",
+        "turtle_round_trip": f"WITH {graph}, v AS (SELECT DISTINCT s, p, o FROM triples UNION SELECT * FROM (VALUES ('big_orders', 'rdf:type', 'View'), ('big_orders', 'derivedFrom', 'orders'), ('big_orders', 'derivedFrom', 'customer'), ('big_orders.o_orderkey', 'rdf:type', 'ViewColumn'), ('big_orders.o_orderkey', 'rdfs:domain', 'big_orders'), ('big_orders.c_name', 'rdf:type', 'ViewColumn'), ('big_orders.c_name', 'rdfs:domain', 'big_orders')) k(s, p, o)) SELECT p, count(*) AS n, count(DISTINCT s) AS subjects, count(DISTINCT o) AS objects FROM v GROUP BY p UNION ALL SELECT 'malformed', 0, 0, 0",
         "stored_graphs": f"WITH {graph}, k AS (SELECT s, p, o FROM triples WHERE p IN ('rdfs:domain', 'referencedTable') UNION SELECT a.o, 'refersTo', b.o FROM triples a JOIN triples b ON a.s = b.s AND a.p = 'rdfs:domain' AND b.p = 'referencedTable') SELECT g, p, count(*) AS n, count(DISTINCT s) AS subjects FROM (SELECT 'catalogue' AS g, s, p, o FROM (SELECT DISTINCT s, p, o FROM triples) t UNION ALL SELECT 'keys', s, p, o FROM k) q GROUP BY g, p",
         "rows_as_triples_customer": " UNION ALL ".join(f"SELECT {base}customer/' || c_custkey AS s, 'customer#{c}' AS p, {o} AS o FROM customer" for c, o in (("c_custkey", "CAST(c_custkey AS VARCHAR)"), ("c_name", "c_name"), ("c_nationkey", f"{base}nation/' || c_nationkey"), ("c_acctbal", "CAST(c_acctbal AS VARCHAR)"), ("c_mktsegment", "c_mktsegment"))),
     }
