@@ -109,3 +109,62 @@ def test_paths_of_a_dense_graph(spark):
         if r.hop == 2:
             ways = {(0 if (a, m) in have and (m, b) in have else 1 if (m, a) in have and (b, m) in have else 2, f"{a}>{m}>{b}") for m in {f"d{i:03}" for i in range(200)} if ((a, m) in have or (m, a) in have) and ((m, b) in have or (b, m) in have)}
             assert (("forward", "backward", "undirected").index(r.direction), r.path) == min(ways)
+
+
+def plain_louvain(edges):
+    links = Counter()
+    for a, b in {tuple(sorted(e)) for e in edges if e[0] != e[1]}:
+        links[a, b] = links[b, a] = 1
+    members = {a: a for a, _ in links}
+    while True:
+        total, degree = sum(links.values()), Counter()
+        for (a, _), w in links.items():
+            degree[a] += w
+        label, moved = {n: n for n in degree}, False
+        while True:
+            sums, held = Counter(), {}
+            for n, c in label.items():
+                sums[c] += degree[n]
+            for (a, b), w in links.items():
+                if a != b:
+                    held.setdefault(a, Counter())[label[b]] += w
+            moves = []
+            for n, own in held.items():
+                stay = total * own[label[n]] - degree[n] * (sums[label[n]] - degree[n])
+                options = [(-(total * w - degree[n] * sums[c] - stay), c) for c, w in own.items() if c != label[n]]
+                if options and min(options)[0] < 0:
+                    loss, c = min(options)
+                    moves.append((loss, n, label[n], c))
+            if not moves:
+                break
+            first = {}
+            for loss, n, a, b in moves:
+                for c in (a, b):
+                    first[c] = min(first.get(c, (loss, n)), (loss, n))
+            for loss, n, a, b in moves:
+                if first[a] == first[b] == (loss, n):
+                    label[n], moved = b, True
+        if not moved:
+            least = {}
+            for n, c in members.items():
+                least[c] = min(least.get(c, n), n)
+            return {n: least[c] for n, c in members.items()}
+        least = {}
+        for n, c in label.items():
+            least[c] = min(least.get(c, n), n)
+        label = {n: least[c] for n, c in label.items()}
+        fresh = Counter()
+        for (a, b), w in links.items():
+            fresh[label[a], label[b]] += w
+        links, members = fresh, {n: label[c] for n, c in members.items()}
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_louvain_equals_a_plain_version_and_beats_propagation(spark, seed):
+    rng = random.Random(seed)
+    edges = [(f"{c}{rng.randrange(7)}", f"{c}{rng.randrange(7)}") for c in "abcd" for _ in range(16)] + [("a0", "b0"), ("b1", "c1"), ("c2", "d2"), ("d3", "a3"), ("a0", "a0")]
+    df = spark.createDataFrame(edges, "src string, dst string").repartition(3)
+    found = graph.louvain(df)
+    assert {r.node: r.community for r in found.collect()} == plain_louvain(edges)
+    assert graph.modularity(df, found) >= graph.modularity(df, graph.communities(df)) - 1e-12
+    assert graph.louvain(df.limit(0)).isEmpty()

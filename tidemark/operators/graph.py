@@ -144,6 +144,62 @@ def communities(edges: DataFrame) -> DataFrame:
     return labels
 
 
+def _local_moves(links: DataFrame) -> DataFrame | None:
+    """(node, community) after moves that each raise the modularity of weighted links (src, dst, w), both ways and loops; None if there is no such move.
+
+    In a round every node looks for the neighbouring community that gains most; of the moves
+    that touch a community the best alone is made, the least node at a tie, so that no two
+    change each other's gain. Gains are whole numbers, twice the links' weight times the change.
+    """
+    total = links.agg(F.sum("w").cast("decimal(38,0)")).first()[0]
+    degrees = checkpointed(links.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("k")))
+    labels, moved = degrees.select("node", "k", F.col("node").alias("community")), False
+    number = lambda c: F.col(c).cast("decimal(19,0)")
+    while True:
+        sums = labels.groupBy("community").agg(F.sum("k").alias("total"))
+        held = links.where("src <> dst").join(labels.select(F.col("node").alias("dst"), F.col("community").alias("near")), "dst").groupBy(F.col("src").alias("node"), "near").agg(F.sum("w").alias("w"))
+        own = labels.join(sums, "community").join(held.select("node", F.col("near").alias("community"), "w"), ["node", "community"], "left")
+        own = own.select("node", "k", "community", (F.lit(total) * F.coalesce(number("w"), F.lit(0)) - number("k") * (number("total") - number("k"))).alias("stay"))
+        there = held.join(sums.select(F.col("community").alias("near"), "total"), "near").join(own, "node").where("near <> community")
+        gains = there.select("node", "community", "near", (F.lit(total) * number("w") - number("k") * number("total") - F.col("stay")).alias("gain")).where("gain > 0")
+        best = checkpointed(gains.groupBy("node", "community").agg(F.min(F.struct((-F.col("gain")).alias("loss"), "near")).alias("b")).select("node", "community", "b.near", (-F.col("b.loss")).alias("gain")))
+        if best.isEmpty():
+            return labels.select("node", "community") if moved else None
+        touched = best.select("node", "gain", F.explode(F.array("community", "near")).alias("c")).groupBy("c").agg(F.min(F.struct((-F.col("gain")).alias("loss"), "node"))["node"].alias("first"))
+        first = lambda c: touched.select(F.col("c").alias(c), F.col("first").alias(f"by_{c}"))
+        made = best.join(first("community"), "community").join(first("near"), "near").where("node = by_community AND node = by_near").select("node", F.col("near").alias("to"))
+        labels = checkpointed(labels.join(made, "node", "left").select("node", "k", F.coalesce("to", "community").alias("community")))
+        moved = True
+
+
+def louvain(edges: DataFrame) -> DataFrame:
+    """(node, community) by Louvain's method: local moves, contraction of the communities to nodes, and again until nothing moves.
+
+    Links count once, whatever their number and direction; a community has the name of its
+    least node. The same graph gives the same result in every run.
+    """
+    pairs = edges.select("src", "dst").where("src <> dst")
+    links = checkpointed(pairs.union(pairs.select("dst", "src")).distinct().withColumn("w", F.lit(1).cast("long")))
+    members = links.select(F.col("src").alias("node"), F.col("src").alias("community")).distinct()
+    while not links.isEmpty() and (labels := _local_moves(links)) is not None:
+        names = labels.groupBy("community").agg(F.min("node").alias("name"))
+        labels = checkpointed(labels.join(names, "community").select("node", F.col("name").alias("community")))
+        of = lambda side: labels.select(F.col("node").alias(side), F.col("community").alias(f"{side}_c"))
+        links = checkpointed(links.join(of("src"), "src").join(of("dst"), "dst").groupBy(F.col("src_c").alias("src"), F.col("dst_c").alias("dst")).agg(F.sum("w").alias("w")))
+        members = checkpointed(members.join(labels.select(F.col("node").alias("community"), F.col("community").alias("fresh")), "community").select("node", F.col("fresh").alias("community")))
+    least = members.groupBy("community").agg(F.min("node").alias("name"))
+    return members.join(least, "community").select("node", F.col("name").alias("community"))
+
+
+def modularity(edges: DataFrame, members: DataFrame) -> float:
+    """The share of links inside communities less what their degrees would give by chance."""
+    pairs = edges.select("src", "dst").where("src <> dst")
+    links = pairs.union(pairs.select("dst", "src")).distinct().join(members.toDF("src", "a"), "src").join(members.toDF("dst", "b"), "dst")
+    by = links.groupBy("a").agg(F.count("*").alias("k"), F.count_if(F.col("a") == F.col("b")).alias("inside"))
+    row = by.agg(F.sum("k").alias("m"), F.sum("inside").alias("inside"), F.sum(F.col("k").cast("double") * F.col("k")).alias("kk")).first()
+    return row["inside"] / row["m"] - row["kk"] / row["m"] ** 2 if row["m"] else 0.0
+
+
 def community_summary(edges: DataFrame, members: DataFrame) -> DataFrame:
     """(community, n_nodes, central, central_degree, mean_degree, domain): the best linked member, the least name at a tie, and the word that most members' names hold, of three letters or more."""
     links = edges.select("src", "dst").union(edges.select("dst", "src")).where("src <> dst").distinct()
@@ -189,6 +245,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     checks = {"referential_integrity": _check(integrity_sql()), "key_uniqueness": _check(uniqueness_sql())}
     iterated = {
         "communities_label_propagation": lambda s, d: communities(kept_edges(s, d)),
+        "communities_louvain": lambda s, d: louvain(kept_edges(s, d)),
         "community_summary": lambda s, d: community_summary(kept_edges(s, d), components(kept_edges(s, d)).withColumnRenamed("component", "community")),
     }
     iterated |= {k: lambda s, d, f=f: f(kept_edges(s, d)) for k, f in ROUNDS.items()}
