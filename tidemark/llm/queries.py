@@ -68,4 +68,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_preference_pairs": preferences.SQL, "op5_quality_divergence": quality.SQL, "op8_host_reputation": urls.SQL}
+    return {"op1_preference_pairs": preferences.SQL, "op5_quality_divergence": quality.SQL, "op8_host_reputation": urls.SQL, "op11_truncation_peeling": trie.SQL}

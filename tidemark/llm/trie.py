@@ -288,3 +288,21 @@ def prefix_trie(conversations: DataFrame, rows_a_stretch: int = ROWS, open_rows:
         adopted = orphans.withColumn("salt", (F.hash("conv_id") & (SALTS - 1))).join(parents, ["parent_key", "salt"])
     result = known.where("parent_key IS NULL").withColumn("parent", F.col("parent_conv_id")).unionByName(adopted.drop("salt"))
     return result.select("conv_id", F.col("depth").cast("long").alias("depth"), F.col("parent").alias("parent_conv_id"), F.col("n").alias("n_convs"), F.col("children").alias("n_children"), F.col("leaves").alias("n_leaves"), F.col("saved").alias("saved_tokens"), F.col("ids").alias("ends_sha256"))
+
+
+_CRC = "list_reduce(list_concat([4294967295], range(8 * len(b))), lambda a, j: CASE WHEN {x} % 2 = 1 THEN xor({x} // 2, 3988292384) ELSE {x} // 2 END)".replace("{x}", "(CASE WHEN j % 8 = 0 THEN xor(a, b[j // 8 + 1]) ELSE a END)")
+#: The trie over again, node by node, with every prefix as a list of turns; the checksum bit by bit.
+SQL = f"""
+WITH t AS (SELECT CAST(conv_id AS BIGINT) AS conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, left(sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')), 32)) AS i, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL),
+s AS (SELECT conv_id, count(*) AS n, conv_id - conv_id % {HUNDRED} AS base, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)) AS b FROM t GROUP BY conv_id),
+h AS (SELECT s.conv_id, s.base, xor({_CRC}, 4294967295) % {SHARED} AS h FROM s),
+g AS (SELECT h.conv_id, base, h, least(h, coalesce(n, 0)) AS taken FROM h LEFT JOIN (SELECT conv_id AS of_base, n FROM s) o ON o.of_base = base),
+u AS (SELECT g.conv_id, i AS place, r, x FROM g JOIN t ON t.conv_id = base AND i <= h UNION ALL SELECT g.conv_id, taken + i - h, r, x FROM g JOIN t ON t.conv_id = g.conv_id AND i > h),
+w AS (SELECT g.conv_id, list({{'r': r, 'x': x}} ORDER BY place) FILTER (WHERE place IS NOT NULL) AS path FROM g LEFT JOIN u ON u.conv_id = g.conv_id GROUP BY g.conv_id),
+p AS (SELECT conv_id, d, coalesce(len(path), 0) AS n, coalesce(path, [])[1:d] AS pre FROM w, unnest(range(0, coalesce(len(path), 0) + 1)) AS v(d)),
+m AS (SELECT d, pre, min(conv_id) AS conv_id, count(*) AS n_convs, string_agg(CASE WHEN d = n THEN conv_id END, ',' ORDER BY conv_id) AS ends FROM p GROUP BY d, pre),
+k AS (SELECT a.d AS d, a.pre AS pre, count(b.d) AS n_children FROM m a LEFT JOIN m b ON b.d = a.d + 1 AND b.pre[1:a.d] = a.pre GROUP BY a.d, a.pre),
+f AS (SELECT m.*, n_children FROM m JOIN k USING (d, pre)),
+z AS (SELECT a.d AS d, a.pre AS pre, sum(CASE WHEN b.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum(CASE WHEN b.d = 0 THEN 0 ELSE (b.n_convs - 1) * length(b.pre[b.d].x) END) AS saved_tokens FROM f a JOIN f b ON b.d >= a.d AND b.pre[1:a.d] = a.pre GROUP BY a.d, a.pre)
+SELECT f.conv_id AS conv_id, CAST(f.d AS BIGINT) AS depth, q.conv_id AS parent_conv_id, f.n_convs AS n_convs, f.n_children AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(f.ends, '')) AS ends_sha256
+FROM f JOIN z ON z.d = f.d AND z.pre = f.pre LEFT JOIN f q ON q.d = f.d - 1 AND f.d > 0 AND f.pre[1:q.d] = q.pre"""
