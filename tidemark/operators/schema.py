@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import names
-from tidemark.operators import catalog
+from tidemark.operators import catalog, graph
 from tidemark.operators.retrieval import tfidf
 from tidemark.session import checkpointed
 from tidemark.sources.keys import DRIVER, ForeignKey, Registry, integrity_sql, kept_edges
@@ -184,6 +184,46 @@ def relevant_tables(elements: DataFrame, edges: DataFrame, text: str, top: int =
     return first.unionAll(near.select("table_name", F.lit("related"), F.lit(None).cast("double")))
 
 
+def relevant_schema(elements: DataFrame, edges: DataFrame, text: str, top: int = 3) -> DataFrame:
+    """(part, name, other, detail, score): all that a question's tables bring with them.
+
+    ``table`` and ``related``: as in ``relevant_tables``. ``community``: the members linked with a
+    found table, under their least name. ``join path``: the conditions of the shortest path
+    between two found tables, by direction. ``hint``: found tables with several keys, over
+    which a sum of one parent's measure repeats.
+    """
+    tables = checkpointed(relevant_tables(elements, edges, text, top))
+    none, chosen = F.lit(None).cast("string"), tables.where("role = 'search'").select("table_name")
+    parts = [tables.select(F.when(F.col("role") == "search", "table").otherwise("related").alias("part"), F.col("table_name").alias("name"), none.alias("other"), none.alias("detail"), "score")]
+    unscored = lambda df, part, name, other, detail: df.select(F.lit(part).alias("part"), name.alias("name"), other.alias("other"), detail.alias("detail"), F.lit(None).cast("double").alias("score"))
+    members = checkpointed(graph.components(edges))
+    theirs = members.join(chosen, F.col("node") == F.col("table_name"), "left_semi").select("component").distinct()
+    parts.append(unscored(members.join(theirs, "component", "left_semi"), "community", F.col("component"), F.col("node"), none))
+    ends = lambda c: chosen.withColumnRenamed("table_name", c)
+    paths = graph.join_specs(edges).join(ends("origin"), "origin", "left_semi").join(ends("node"), "node", "left_semi").where("origin < node")
+    parts.append(unscored(paths, "join path", F.col("origin"), F.col("node"), F.concat_ws(": ", "direction", "steps")))
+    hubs = edges.join(ends("src"), "src", "left_semi").groupBy("src").agg(F.count("*").alias("n")).where("n > 1")
+    parts.append(unscored(hubs, "hint", F.col("src"), none, F.concat(F.lit("has "), F.col("n").cast("string"), F.lit(" keys: sum each parent's measures before joining"))))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def graph_nodes(profile: DataFrame, edges: DataFrame) -> DataFrame:
+    """(table_name, n_rows, n_columns, n_keys, n_referring): the key graph's nodes, tables without a key among them."""
+    sizes = profile.groupBy("table_name").agg(F.max("n").alias("n_rows"), F.count("*").alias("n_columns"))
+    out, into = edges.groupBy(F.col("src").alias("table_name")).agg(F.count("*").alias("n_keys")), edges.groupBy(F.col("dst").alias("table_name")).agg(F.count("*").alias("n_referring"))
+    return sizes.join(out, "table_name", "left").join(into, "table_name", "left").fillna(0, ["n_keys", "n_referring"])
+
+
+def overview(elements: DataFrame, profile: DataFrame, edges: DataFrame) -> DataFrame:
+    """(part, n): what is indexed, by kind, and the key graph's tables, links, communities and tables without a link."""
+    nodes = graph_nodes(profile, edges)
+    counted = lambda df, part: df.agg(F.lit(part).alias("part"), F.count("*").alias("n"))
+    parts = [elements.groupBy(F.concat(F.lit("elements: "), F.col("kind")).alias("part")).agg(F.count("*").alias("n"))]
+    parts += [counted(nodes, "tables"), counted(nodes.where("n_keys + n_referring = 0"), "tables without a link"), counted(edges.select("src", "dst").distinct(), "links")]
+    parts.append(counted(graph.components(edges).select("component").distinct(), "communities"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def query_context(tables: DataFrame, profile: DataFrame, edges: DataFrame) -> DataFrame:
     """(part, n, tokens): tables, their columns and the keys between them, and about how much of a prompt they take."""
     chosen = tables.select("table_name").distinct()
@@ -211,6 +251,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "element_texts": _with(lambda s, p, e: element_texts(p, e)),
         "element_scores": _with(lambda s, p, e: scored(element_texts(p, e), QUESTION)),
         "relevant_tables": _with(lambda s, p, e: relevant_tables(element_texts(p, e), e, QUESTION)),
+        "relevant_schema": _with(lambda s, p, e: relevant_schema(element_texts(p, e), e, QUESTION)),
+        "graph_nodes": _with(lambda s, p, e: graph_nodes(p, e)),
+        "schema_overview": _with(lambda s, p, e: overview(checkpointed(element_texts(p, e)), p, e)),
         "query_context": _with(lambda s, p, e: query_context(relevant_tables(element_texts(p, e), e, QUESTION), p, e)),
     }
 
@@ -260,6 +303,9 @@ UNION ALL SELECT a.src || '>' || min(a.dst), 'owl:propertyChainAxiom', b.dst FRO
         "element_texts": f"{both}, {words} SELECT * FROM w",
         "element_scores": f"{both}, {scores} SELECT * FROM s",
         "relevant_tables": f"{both}, {relevant} SELECT * FROM r",
+        "relevant_schema": f"WITH RECURSIVE {prof}, {fk}, {relevant}, uu AS ({graph._LOOSE}), rr(node, root) AS (SELECT src, src FROM uu UNION SELECT dst, root FROM rr JOIN uu ON node = src), cc AS (SELECT node, min(root) AS component FROM rr GROUP BY node), jj AS (SELECT * FROM ({graph._WALKS['join_specs']}) q) SELECT CASE role WHEN 'search' THEN 'table' ELSE 'related' END AS part, table_name AS name, NULL AS other, NULL AS detail, score FROM r UNION ALL SELECT 'community', component, node, NULL, NULL FROM cc WHERE component IN (SELECT component FROM cc WHERE node IN (SELECT table_name FROM f)) UNION ALL SELECT 'join path', origin, node, direction || ': ' || steps, NULL FROM jj WHERE origin < node AND origin IN (SELECT table_name FROM f) AND node IN (SELECT table_name FROM f) UNION ALL SELECT 'hint', src, NULL, 'has ' || count(*) || ' keys: sum each parent''s measures before joining', NULL FROM fk WHERE src IN (SELECT table_name FROM f) GROUP BY src HAVING count(*) > 1",
+        "graph_nodes": f"{both} SELECT table_name, max(n) AS n_rows, count(*) AS n_columns, (SELECT count(*) FROM fk WHERE src = table_name) AS n_keys, (SELECT count(*) FROM fk WHERE dst = table_name) AS n_referring FROM prof GROUP BY table_name",
+        "schema_overview": f"WITH RECURSIVE {prof}, {fk}, {words}, uu AS ({graph._LOOSE}), rr(node, root) AS (SELECT src, src FROM uu UNION SELECT dst, root FROM rr JOIN uu ON node = src) SELECT 'elements: ' || kind AS part, count(*) AS n FROM w GROUP BY kind UNION ALL SELECT 'tables', count(DISTINCT table_name) FROM prof UNION ALL SELECT 'tables without a link', count(DISTINCT table_name) FROM prof WHERE table_name NOT IN (SELECT src FROM uu) UNION ALL SELECT 'links', count(*) FROM (SELECT DISTINCT src, dst FROM fk) e UNION ALL SELECT 'communities', count(DISTINCT m) FROM (SELECT min(root) AS m FROM rr GROUP BY node) c",
         "query_context": f"{both}, {relevant}, g AS (SELECT 'tables' AS part, (SELECT count(*) FROM r) AS n UNION ALL SELECT 'columns', (SELECT count(*) FROM prof WHERE table_name IN (SELECT table_name FROM r)) UNION ALL SELECT 'joins', (SELECT count(*) FROM fk WHERE src IN (SELECT table_name FROM r) AND dst IN (SELECT table_name FROM r))) SELECT part, n, n * CASE part WHEN 'tables' THEN 200 WHEN 'columns' THEN 50 ELSE 100 END AS tokens FROM g",
     }
 
