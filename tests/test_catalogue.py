@@ -57,3 +57,21 @@ def test_filters_and_columns_reach_the_scan(spark):
     df = QUERIES["project_alias_filter"](spark, SF)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(l_shipdate" in plan and "l_tax" not in plan.split("ReadSchema")[1]
+
+
+def test_profile_counts_come_from_footers(spark, tmp_path):
+    """Nulls, a nested column, a table in two files, an empty one, and one whose footers have no counts."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from tidemark.operators import catalog
+    from tidemark.sources.keys import Registry
+
+    spark.sql("SELECT id, IF(id % 3 = 0, NULL, 'x') AS t, IF(id = 4, NULL, array(id)) AS l, IF(id > 6, NULL, named_struct('a', id)) AS s FROM range(10)").repartition(2).write.parquet(f"{tmp_path}/two.parquet")
+    spark.range(0).selectExpr("id", "'' AS t").write.parquet(f"{tmp_path}/none.parquet")
+    pq.write_table(pa.table({"id": [1, 2, None], "t": ["a", None, None]}), f"{tmp_path}/blind.parquet", write_statistics=False)
+    assert catalog._footer_counts(spark, str(tmp_path), "two", ["id", "t"]) == {"": 10, "id": 10, "t": 6}
+    assert catalog._footer_counts(spark, str(tmp_path), "blind", ["id", "t"]) is None
+    found = {(r.table_name, r.column_name): (r.n, r.n_values) for r in catalog.profile(spark, str(tmp_path), Registry(), ("two", "none", "blind")).collect()}
+    assert found == {("two", "id"): (10, 10), ("two", "t"): (10, 6), ("two", "l"): (10, 9), ("two", "s"): (10, 7), ("none", "id"): (0, 0), ("none", "t"): (0, 0), ("blind", "id"): (3, 2), ("blind", "t"): (3, 1)}
+    assert spark.conf.get("spark.sql.parquet.aggregatePushdown") == "false"

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,19 +24,38 @@ def columns_of(spark: SparkSession, folder: str, registry: Registry = DRIVER, na
     return out
 
 
+def _footer_counts(spark: SparkSession, folder: str, name: str, columns: list[str]) -> dict[str, int] | None:
+    """Rows (under the empty name) and non-null values of flat columns from the Parquet files' footers, read by Spark's tasks; None where footers don't tell."""
+    session = spark.newSession()  # the settings hold for this read alone
+    session.conf.set("spark.sql.sources.useV1SourceList", "")
+    session.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    counts = table(session, folder, name).agg(F.count("*").alias("n"), *[F.count(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(columns)])
+    try:
+        row = counts.first()
+    except Exception as e:  # a file whose footer lacks the counts makes the read fail, and the scan answers
+        if "aggregatePushdown" not in str(e):
+            raise
+        return None
+    return {"": row["n"] or 0, **{c: row[f"c{i}"] or 0 for i, c in enumerate(columns)}}  # no file, no sum
+
+
 def profile(spark: SparkSession, folder: str, registry: Registry = DRIVER, names: tuple[str, ...] = TABLES) -> DataFrame:
-    """A row per column: its classification, and rows, non-null values and range of sizes, from one scan a table.
+    """A row per column: its classification, and rows and non-null values of its table.
 
-    Counts are partial sums, so a scan sends one row a task.
+    Both come from the files' footers, so no value of a flat column is read, texts included; a
+    nested column, and a table whose footers have no counts, are scanned for them.
     """
-    parts = []
+    rows = []
     for name in names:
-        own = [c for c in columns_of(spark, folder, registry, (name,))]
-        df = table(spark, folder, name)
-        sums = df.agg(F.count("*").alias("n"), *[F.count(c[1]).alias(f"c_{c[1]}") for c in own])
-        rows = [F.struct(F.lit(c[0]).alias("table_name"), F.lit(c[1]).alias("column_name"), F.lit(c[3]).alias("kind"), F.lit(c[4]).alias("xsd"), F.lit(c[5]).alias("measure_class"), F.lit(c[6]).alias("basis"), F.col("n").alias("n"), F.col(f"c_{c[1]}").alias("n_values")) for c in own]
-        parts.append(sums.select(F.explode(F.array(*rows)).alias("r")).select("r.*"))
-    return reduce(DataFrame.unionByName, parts)
+        own = columns_of(spark, folder, registry, (name,))
+        flat = [c[1] for c in own if not any(k in c[2] for k in ("<", "variant"))]
+        known = _footer_counts(spark, folder, name, flat) or {}
+        left = [c[1] for c in own if c[1] not in known] if known else [c[1] for c in own]
+        if left:
+            sums = table(spark, folder, name).agg(F.count("*").alias("n"), *[F.count(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(left)]).first()
+            known |= {"": sums["n"], **{c: sums[f"c{i}"] for i, c in enumerate(left)}}
+        rows += [(c[0], c[1], c[3], c[4], c[5], c[6], known[""], known[c[1]]) for c in own]
+    return spark.createDataFrame(rows, "table_name string, column_name string, kind string, xsd string, measure_class string, basis string, n long, n_values long")
 
 
 def triples(spark: SparkSession, folder: str, registry: Registry = DRIVER) -> DataFrame:

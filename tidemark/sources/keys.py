@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
@@ -91,7 +92,7 @@ def kept_edges(spark: SparkSession, folder: str, registry: Registry = DRIVER) ->
     """The verified edges, checked once a state of the files and then read from the shared folder.
 
     The state is the keys, and the path, length and time of every file; listing them reads no
-    content. A table that was written in part has no success mark and is written again.
+    content.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     state = files.agg(F.count("*").alias("n"), F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)")).alias("h")).first()
@@ -100,5 +101,10 @@ def kept_edges(spark: SparkSession, folder: str, registry: Registry = DRIVER) ->
     try:
         spark.read.text(f"{place}/_SUCCESS").schema
     except AnalysisException:
-        verified_edges(spark, folder, registry).write.mode("overwrite").parquet(place)
+        # written aside and published by one rename, as another session may verify the same keys; the first one's stays
+        draft, path = f"{place}-{uuid.uuid4().hex}", spark._jvm.org.apache.hadoop.fs.Path
+        verified_edges(spark, folder, registry).write.parquet(draft)
+        files = path(place).getFileSystem(spark._jsc.hadoopConfiguration())
+        if files.exists(path(place)) or not files.rename(path(draft), path(place)):
+            place = draft
     return spark.read.schema("src string, col string, dst string, ref_col string, n bigint, one_to_one boolean").parquet(place)
