@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.operators import catalog, discovery, graph, inference, relational, retrieval, schema, shapes, shaping, text_vectors, triplestore, vector_index
+from tidemark.operators import catalog, discovery, graph, inference, mapping, relational, retrieval, schema, shapes, shaping, text_vectors, triplestore, vector_index
 from tidemark.plans import composite
 from tidemark.streaming import events
 
-_PARTS = (relational, graph, composite, catalog, retrieval, shaping, events, triplestore, inference, schema, discovery, vector_index, text_vectors, shapes)
+_PARTS = (relational, graph, composite, catalog, retrieval, shaping, events, triplestore, inference, schema, discovery, vector_index, text_vectors, shapes, mapping)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,9 +1,24 @@
-"""R2RML: how the rows of tables become triples, written out as Turtle."""
+"""R2RML: how the rows of tables become triples, written out as Turtle, read and executed."""
 
 from __future__ import annotations
 
+import re
+import uuid
+from collections.abc import Callable, Iterable, Mapping
+from dataclasses import dataclass
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
 from tidemark.functions.names import clean_name, xsd_type
+from tidemark.operators.catalog import _COLUMNS
+from tidemark.session import shared_folder
 from tidemark.sources.keys import DRIVER, Registry
+from tidemark.sources.tables import table
+from tidemark.sources.turtle import KNOWN, read_turtle
+
+RR, RDF_TYPE = "http://www.w3.org/ns/r2rml#", KNOWN["rdf"] + "type"
 
 PREFIXES = "@prefix rr: <http://www.w3.org/ns/r2rml#> .\n@prefix xsd: <http://www.w3.org/2001/XMLSchema#> .\n"
 
@@ -31,3 +46,96 @@ def r2rml(schemas: dict[str, list[tuple[str, str]]], base: str = "http://example
             lines.append(f"  rr:predicateObjectMap [ rr:predicate {predicate} ; rr:objectMap {value} ]")
         out.append("\n".join(lines) + " .\n")
     return "\n".join(out)
+
+
+@dataclass(frozen=True)
+class TriplesMap:
+    """One table's map: the subject's template, its class, and per predicate a template, a column with its datatype, or a parent's map with the columns that join it."""
+
+    name: str
+    table: str
+    template: str
+    class_: str | None
+    objects: tuple[tuple[str, str, str, str | None], ...]  # predicate; "template", "column" or "parent"; what it is; datatype, or "child=parent" columns
+
+
+def read_mapping(spark: SparkSession, path: str) -> list[TriplesMap]:
+    """The maps of an R2RML file in Turtle; their number is that of tables and columns."""
+    triples, malformed = read_turtle(spark, path)
+    if not malformed.isEmpty():
+        raise ValueError(f"statements that can't be read: {malformed.first()['problem']}")
+    nodes: dict[str, dict[str, list[str]]] = {}
+    for r in triples.select("s", "p", "o").distinct().orderBy("s", "p", "o").collect():
+        nodes.setdefault(r["s"], {}).setdefault(r["p"].removeprefix(RR), []).append(r["o"])
+    one = lambda node, p: next(iter(nodes.get(node, {}).get(p, [])), None)
+    maps = []
+    for name, node in sorted(nodes.items()):
+        if "logicalTable" not in node:
+            continue
+        objects = []
+        for po in node.get("predicateObjectMap", []):
+            value = one(po, "objectMap")
+            if (parent := one(value, "parentTriplesMap")) is not None:
+                joins = [f"{one(j, 'child')}={one(j, 'parent')}" for j in nodes[value].get("joinCondition", [])]
+                objects.append((one(po, "predicate"), "parent", parent, "&".join(joins)))
+            elif (template := one(value, "template")) is not None:
+                objects.append((one(po, "predicate"), "template", template, None))
+            else:
+                objects.append((one(po, "predicate"), "column", one(value, "column"), one(value, "datatype")))
+        subject = one(name, "subjectMap")
+        maps.append(TriplesMap(name, one(one(name, "logicalTable"), "tableName"), one(subject, "template"), one(subject, "class"), tuple(sorted(objects))))
+    return maps
+
+
+def _filled(template: str) -> Column:
+    """A template over a row's columns, their values written as IRIs allow; null if one of them is."""
+    parts = re.split(r"\{([^{}]*)\}", template)
+    safe = lambda c: F.replace(F.url_encode(F.col(f"`{c}`").cast("string")), F.lit("+"), F.lit("%20"))
+    return F.concat(*[safe(x) if k % 2 else F.lit(x) for k, x in enumerate(parts)])
+
+
+def execute_mapping(maps: Iterable[TriplesMap], tables: Mapping[str, DataFrame]) -> DataFrame:
+    """(s, p, o, o_kind, datatype): the rows of all mapped tables as triples, once a row.
+
+    A table is scanned once for all its columns; a null column gives no triple, and a row
+    without a subject none at all. A reference to a parent's map joins the child's rows with the
+    parent's subjects on the columns it names, so it has a triple for each parent found.
+    """
+    maps = list(maps)
+    by_name = {m.name: m for m in maps}
+    parts = []
+    for m in maps:
+        rows = tables[m.table].withColumn("_subject", _filled(m.template)).where("_subject IS NOT NULL")
+        fact = lambda p, o, kind, datatype=None: F.struct(F.lit(p).alias("p"), o.alias("o"), F.lit(kind).alias("o_kind"), F.lit(datatype).cast("string").alias("datatype"))
+        facts = [fact(RDF_TYPE, F.lit(m.class_), "iri")] if m.class_ else []
+        facts += [fact(p, _filled(x), "iri") if kind == "template" else fact(p, F.col(f"`{x}`").cast("string"), "literal", datatype) for p, kind, x, datatype in m.objects if kind != "parent"]
+        if facts:
+            parts.append(rows.select(F.col("_subject").alias("s"), F.explode(F.filter(F.array(*facts), lambda f: f["o"].isNotNull())).alias("f")).select("s", "f.*"))
+        for p, kind, x, joins in m.objects:
+            if kind == "parent":
+                pairs = [j.split("=", 1) for j in joins.split("&")]
+                parents = tables[by_name[x].table].select(_filled(by_name[x].template).alias("o"), *[F.col(f"`{b}`").alias(f"_key{k}") for k, (_, b) in enumerate(pairs)]).where("o IS NOT NULL")
+                child = rows.select(F.col("_subject").alias("s"), *[F.col(f"`{a}`").alias(f"_key{k}") for k, (a, _) in enumerate(pairs)])
+                found = child.join(parents, [f"_key{k}" for k in range(len(pairs))])
+                parts.append(found.select("s", F.lit(p).alias("p"), "o", F.lit("iri").alias("o_kind"), F.lit(None).cast("string").alias("datatype")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All keyed tables as triples, by the mapping that ``r2rml`` writes, read again: triples, subjects and objects by predicate."""
+    tables = {t: table(spark, sf_dir, t) for t in DRIVER.primary}
+    path = f"{shared_folder(spark).rstrip('/')}/mapping-{uuid.uuid4().hex}"
+    spark.createDataFrame([(r2rml({t: [(f.name, f.dataType.simpleString()) for f in df.schema.fields] for t, df in tables.items()}),)], "value string").write.text(path)
+    found = execute_mapping(read_mapping(spark, path), tables)
+    return found.groupBy("p", "o_kind").agg(F.count("*").alias("n"), F.countDistinct("s").alias("subjects"))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {"mapped_rows_by_predicate": _mapped}
+
+
+def oracle_sql() -> dict[str, str]:
+    links = {(f.child, f.column) for f in DRIVER.foreign}
+    parts = [f"SELECT 'http://example.com/{t}#{c}' AS p, '{'iri' if (t, c) in links else 'literal'}' AS o_kind, count({c}) AS n, count(DISTINCT CASE WHEN {c} IS NOT NULL THEN concat_ws('-', {', '.join(DRIVER.primary[t])}) END) AS subjects FROM {t}" for t in DRIVER.primary for c in _COLUMNS[t]]
+    types = " UNION ALL ".join(f"SELECT count(*) AS n FROM {t}" for t in DRIVER.primary)
+    return {"mapped_rows_by_predicate": f"SELECT * FROM ({' UNION ALL '.join(parts)}) q WHERE n > 0 UNION ALL SELECT '{RDF_TYPE}', 'iri', CAST(sum(n) AS BIGINT), CAST(sum(n) AS BIGINT) FROM ({types}) t"}
