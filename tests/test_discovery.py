@@ -92,3 +92,16 @@ def test_sketches_lose_no_inclusion_at_size(spark):
     assert found == {("big.part", "big.k"), ("small.even", "big.k")}
     left = {(r.child, r.parent) for r in discovery.inclusion_candidates(discovery.column_sketches(tables)).collect()}
     assert found <= left and ("big.other", "big.k") not in left
+
+
+def test_the_engine_discovers_and_searches_by_any_vectors(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.engine import Engine
+
+    engine = Engine(spark, "/root/testdata/sf0.001", names=("region", "nation"))
+    assert {(r.table_name, r.key_columns) for r in engine.discover("keys", most=1).collect()} >= {("region", "r_regionkey"), ("nation", "n_nationkey")}
+    assert ("nation.n_regionkey", "region.r_regionkey", True) in {(r.child, r.parent, r.parent_key) for r in engine.discover("inclusions").collect()}
+    assert ("n_nationkey", "n_name") in {(r.determinant, r.column_name) for r in engine.discover("dependencies", most=1).collect()}
+    vowels = lambda df: df.select("id", F.array(*[F.regexp_count("words", F.lit(v)).cast("double") for v in "aeiou"]).alias("vector"))
+    assert [set(r) for r in engine.search("region", 2, "table", vowels)] == [{"element", "score", "kind"}] * 2

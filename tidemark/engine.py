@@ -12,7 +12,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import catalog, graph, schema
+from tidemark.operators import catalog, discovery, graph, schema, text_vectors
 from tidemark.plans import composite, rules, safety
 from tidemark.sources.keys import DRIVER, Registry, kept_edges
 from tidemark.session import checkpointed
@@ -121,8 +121,12 @@ class Engine:
             self._profile = checkpointed(catalog.profile(self.spark, self.folder, self.registry, self.names))
         return self._profile
 
-    def search(self, text: str, top: int = 5, kind: str | None = None) -> list[dict]:
-        """Tables, columns and keys (or one of these kinds) whose names and roles are nearest to a text."""
+    def search(self, text: str, top: int = 5, kind: str | None = None, embed: text_vectors.Embed | None = None) -> list[dict]:
+        """Tables, columns and keys (or one of these kinds) whose names and roles are nearest to a text, by TF-IDF or by the vectors of ``embed``."""
+        if embed is not None:
+            chosen = self.elements() if kind is None else self.elements().where(F.col("kind") == kind)
+            near = text_vectors.search(chosen.select(F.col("element").alias("id"), "words"), text, embed, top)
+            return [r.asDict() for r in near.join(chosen, F.col("id") == F.col("element")).select("element", "score", "kind").orderBy(F.desc("score"), "element").collect()]
         found = schema.scored(self.elements(), text)
         return [r.asDict() for r in (found if kind is None else found.where(F.col("kind") == kind)).orderBy(F.desc("score"), "element").limit(top).collect()]
 
@@ -136,6 +140,19 @@ class Engine:
         as_dicts = lambda df, *order: [r.asDict() for r in df.orderBy(*order).collect()]
         return {"tables": as_dicts(tables, F.desc("score"), "table_name"), "columns": as_dicts(columns, "table_name", "column_name"), "joins": as_dicts(inside.select("src", "col", "dst", "ref_col"), "src", "col"), "token_estimate": sum(size.values())}
 
+    def relevant(self, text: str, top: int = 3) -> DataFrame:
+        """All that the tables nearest to a question bring: related ones, communities, join paths between them, hints."""
+        return schema.relevant_schema(self.elements(), self.edges(), text, top)
+
+    def overview(self) -> DataFrame:
+        """What is indexed, and the key graph in numbers."""
+        return schema.overview(self.elements(), self.profile(), self.edges())
+
+    def discover(self, what: str, **options: int) -> DataFrame:
+        """``inclusions``, ``keys`` or ``dependencies`` found in the data of all tables; options as in ``operators.discovery``."""
+        found = {"inclusions": discovery.inclusions, "keys": discovery.keys, "dependencies": discovery.dependencies}[what]
+        return found({t: table(self.spark, self.folder, t) for t in self.names}, **options)
+
     def databases(self) -> list[str]:
         return views.databases(self.spark)
 
