@@ -69,6 +69,41 @@ def test_random_tables_equal_brute_force(spark, seed):
     assert {tuple(r) for r in discovery.inclusions(tables).collect()} == _brute_inclusions(plain)
 
 
+@pytest.mark.parametrize("broadcast", [0, 1000])
+def test_tables_larger_than_a_slice_equal_brute_force(spark, monkeypatch, broadcast):
+    for name, value in (("SLICE", 7), ("ENTRIES", 16), ("SUSPECTS", broadcast)):
+        monkeypatch.setattr(discovery, name, value)
+    tables, plain = _tables(spark, 4)
+    rows = [(i, i % 20, i // 20, i if i != 39 else 38, 5, i % 20 if i != 33 else 1) for i in range(40)]  # one late row breaks a key and a dependency
+    plain["late"] = ([f"c{i}" for i in range(6)], rows)
+    tables["late"] = spark.createDataFrame(rows, ", ".join(f"c{i} int" for i in range(6))).repartition(3)
+    assert {tuple(r) for r in discovery.keys(tables, 2, 5).collect()} == _brute_keys(plain, 2)
+    assert {tuple(r) for r in discovery.dependencies(tables, 2, 5).collect()} == _brute_dependencies(plain, 2)
+
+
+def _sent(spark, use):
+    """Shuffled bytes a row, by the plan's own metrics."""
+    seen = {s.stageId(): s.shuffleWriteBytes() for s in _stages(spark)}
+    use()
+    return sum(s.shuffleWriteBytes() - seen.get(s.stageId(), 0) for s in _stages(spark))
+
+
+def _stages(spark):
+    context = spark.sparkContext._jsc.sc()
+    context.listenerBus().waitUntilEmpty(30_000)
+    stages = context.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return [stages.apply(i) for i in range(stages.size())]
+
+
+def test_a_row_costs_few_bytes_a_combination(spark, monkeypatch):
+    """Ten pairs of which five fail often, two are never apart and three are keys or nearly so."""
+    monkeypatch.setattr(discovery, "SLICE", 1000, raising=False)
+    n = 100_000
+    df = spark.range(n, numPartitions=4).selectExpr("id % 1000 AS a", "id div 1000 AS b", "hash(id) % 50000 AS c", "hash(id, 1) % 50000 AS d")
+    assert _sent(spark, lambda: discovery.keys({"t": df}, 2, 100).collect()) < 40 * n
+    assert _sent(spark, lambda: discovery.dependencies({"t": df}, 2, 100).collect()) < 70 * n
+
+
 def test_a_planted_composite_key_is_found(spark):
     df = spark.range(3000).selectExpr("id % 30 AS warehouse", "CAST(id / 30 AS INT) % 10 AS shelf", "CAST(id / 300 AS STRING) AS bin", "'same' AS town", "IF(id = 7, NULL, id) AS almost", "CAST(id % 30 AS DOUBLE) / 2 AS half")
     found = {r.key_columns for r in discovery.keys({"stock": df.selectExpr("warehouse", "shelf", "CAST(CAST(bin AS DOUBLE) AS INT) AS bin", "town", "almost", "half")}, 3).collect()}

@@ -2,18 +2,20 @@
 
 What cannot hold is ruled out first by cheap evidence that is never wrong about a refusal:
 theta sketches (hashes kept of a column that another lacks) and duplicates or
-contradictions inside a bounded sample. Whatever survives is checked over all rows, so
-nothing that holds is missed and nothing that does not is reported.
+contradictions inside a bounded sample, then inside whole classes picked by hash. Whatever
+survives is checked over all rows, so nothing that holds is missed and nothing that does not
+is reported.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Mapping
+from collections.abc import Callable, Iterable, Iterator, Mapping
 from dataclasses import dataclass
 from functools import reduce
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +24,9 @@ from tidemark.session import checkpointed
 from tidemark.sources.tables import TABLES, table
 
 SAMPLE = 20_000  # rows of a table that candidates are tried on first, only ever to refute
+SLICE = 100_000  # rows, about, whose classes are looked at next, a combination of columns; a smaller table is looked at whole
+ENTRIES = 1 << 20  # hashes that meet in one group, about, and that a task gathers before it sends them
+SUSPECTS = 1_000_000  # classes that are broadcast (24 bytes each); more are joined
 BITS = 62  # columns in a mask
 WHOLE, REAL, SIZED = {"tinyint", "smallint", "int", "bigint"}, {"float", "double"}, ("decimal",)
 
@@ -121,10 +126,141 @@ class _Sampled:
             out = np.unique(out * (len(self.codes) + 1) + self.codes[:, c], return_inverse=True)[1]
         return out
 
-    def hashed(self, columns: Iterable[int]) -> Column:
-        """128 bits of the values of some columns, telling nulls apart."""
-        parts = [p for c in columns for p in (_plain(self.df, self.columns[c]), F.col(f"`{self.columns[c]}`").isNull())]
-        return F.struct(F.xxhash64(F.lit(1), *parts).alias("a"), F.xxhash64(F.lit(2), *reversed(parts)).alias("b"))
+    def hashes(self) -> DataFrame:
+        """Two hashes of each column's values, a0 and b0 of the first, telling nulls apart."""
+        return self.df.select(*[F.xxhash64(F.lit(seed), _plain(self.df, c), F.col(f"`{c}`").isNull()).alias(f"{k}{i}") for i, c in enumerate(self.columns) for seed, k in enumerate("ab")])
+
+
+def _hash(x: tuple[int, ...], of: str = "a") -> str:
+    """The hash of a combination of columns."""
+    return f"xxhash64({', '.join(f'{of}{c}' for c in (x if of == 'a' else x[::-1])) or '0L'})"
+
+
+def _name(x: tuple[int, ...]) -> str:
+    return ",".join(map(str, x))
+
+
+def _classes(t: _Sampled, tried: Mapping[tuple[int, ...], Iterable[int]], part: int) -> DataFrame:
+    """(x, a, b, a0 ...): every row's class by 128 bits in each combination, of one class in ``part`` only, and the hashes of all columns tried."""
+    each = [f"CASE WHEN pmod({_hash(x)}, {part}) = 0 THEN named_struct('x', '{_name(x)}', 'a', {_hash(x)}, 'b', {_hash(x, 'b')}) END" for x in tried]
+    columns = [f"a{a}" for a in sorted({a for own in tried.values() for a in own})]
+    return t.hashes().selectExpr(f"explode(array({', '.join(each)})) AS r", *columns).where("r IS NOT NULL").select("r.*", *columns)
+
+
+def _judged(t: _Sampled, tried: Mapping[tuple[int, ...], Iterable[int]], rows: DataFrame) -> DataFrame:
+    """(t, x, repeats, split): whether a class has several rows, and the columns of which it has several values, over all classes given."""
+    columns = [c for c in rows.columns if c not in ("x", "a", "b")]
+    split = rows.groupBy("x", "a", "b").agg(F.count("*").alias("n"), *[(F.min(c) != F.max(c)).alias(c) for c in columns])
+    sums = split.groupBy("x").agg((F.max("n") > 1).alias("repeats"), *[F.bool_or(c).alias(c) for c in columns])
+    return sums.select(F.lit(t.name).alias("t"), "x", "repeats", F.filter(F.array(*[F.when(F.col(c), F.lit(int(c[1:]))) for c in columns]).cast("array<int>"), lambda c: c.isNotNull()).alias("split"))
+
+
+def _two(h: np.ndarray, g: np.ndarray | None) -> tuple[np.ndarray, np.ndarray | None]:
+    """At most two entries of each class h, by rising h: its first ones, or its least and greatest g if they differ."""
+    if not len(h):
+        return h, g
+    if g is None:
+        h = np.sort(h)
+        return h[np.r_[True, True, h[2:] != h[:-2]][: len(h)]], None
+    order = np.lexsort((g, h))
+    h, g = h[order], g[order]
+    first = np.r_[True, h[1:] != h[:-1]]
+    last = np.r_[first[1:], True]
+    keep = first | last & (g != g[first][np.cumsum(first) - 1])
+    return h[keep], g[keep]
+
+
+def _packed(batches: Iterator[pa.RecordBatch], alone: list[bool], buckets: int, most: int) -> Iterator[pa.RecordBatch]:
+    """(x, bucket, data): a task's hashes of each combination as bytes, by range of hash; a class that the task has seen twice or in two values needs no more."""
+    held: list[list[tuple]] = [[] for _ in alone]
+
+    def sent() -> pa.RecordBatch:
+        rows = []
+        for x, parts in enumerate(held):
+            h, g = _two(np.concatenate([p[0] for p in parts]), None if alone[x] else np.concatenate([p[1] for p in parts])) if parts else (np.zeros(0, np.int64), None)
+            ends = np.searchsorted(h, np.array([k * 2**64 // buckets - 2**63 for k in range(1, buckets)], np.int64))
+            for k, (a, b) in enumerate(zip([0, *ends], [*ends, len(h)])):
+                if b > a:
+                    rows.append((x, k, h[a:b].tobytes() + (b"" if g is None else g[a:b].tobytes())))
+            parts.clear()
+        columns = list(zip(*rows)) or [[]] * 3
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int32(), pa.binary()))], ["x", "bucket", "data"])
+
+    n = 0
+    for batch in batches:
+        columns = iter(c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        for x, a in enumerate(alone):
+            held[x].append((next(columns), None if a else next(columns)))
+        n += batch.num_rows * len(alone)
+        if n > most:
+            yield sent()
+            n = 0
+    yield sent()
+
+
+def _suspects(t: _Sampled, n: int, tried: Mapping[tuple[int, ...], Iterable[int]], alone: set[tuple[int, ...]]) -> DataFrame:
+    """(t, x, h): the classes of 64 bits that have several rows, for combinations in ``alone``, or else several values of the columns tried.
+
+    A row costs 8 bytes a combination in the shuffle, or 16 with a hash of its columns
+    together. Every class that is split is among them; a chance collision may be too.
+    """
+    names = [_name(x) for x in tried]
+    flags = [x in alone for x in tried]
+    columns = [c for i, (x, own) in enumerate(tried.items()) for c in ([f"{_hash(x)} AS h{i}"] + ([] if x in alone else [f"{_hash(tuple(own))} AS g{i}"]))]
+    buckets, most = -(-n // ENTRIES), 2 * ENTRIES
+
+    def met(rows: pa.Table) -> pa.Table:
+        x, hs, gs = rows.column("x")[0].as_py(), [], []
+        for data in rows.column("data").to_pylist():
+            own = np.frombuffer(data, np.int64)
+            hs.append(own if flags[x] else own[: len(own) // 2])
+            gs.append(own[len(hs[-1]) :])
+        h, _ = _two(np.concatenate(hs), None if flags[x] else np.concatenate(gs))
+        twice = h[1:][h[1:] == h[:-1]]
+        return pa.table({"x": pa.array([names[x]] * len(twice), pa.string()), "h": pa.array(twice, pa.int64())})
+
+    packed = t.hashes().selectExpr(*columns).mapInArrow(lambda b: _packed(b, flags, buckets, most), "x int, bucket int, data binary")
+    return packed.groupBy("x", "bucket").applyInArrow(met, "x string, h long").select(F.lit(t.name).alias("t"), "x", "h")
+
+
+def _checked(known: list[_Sampled], counts: Mapping[str, int], tried: Mapping[str, Mapping[tuple[int, ...], list[int]]]) -> dict[tuple[str, tuple[int, ...]], tuple[bool, set[int]]]:
+    """For each table's combinations, over all rows: whether one repeats, and which of the columns tried it does not give.
+
+    All tables in one job a step. First about ``SLICE`` rows a combination, as whole
+    classes picked by hash, so that what fails often leaves; a table of fewer rows is done by it.
+    What is left is told by packed hashes, and the classes that these suspect, few
+    as they passed the first step, are looked at by 128 bits.
+    """
+    place = lambda x: tuple(map(int, filter(None, x.split(","))))
+    by_name = {t.name: t for t in known}
+    parts = {t: -(-counts[t] // SLICE) if any(own) else 1 for t, own in tried.items() if own}
+    out = {(t, x): (False, set()) for t, own in tried.items() for x in own}
+
+    def note(found: DataFrame) -> None:
+        for r in found.collect():
+            repeats, split = out[r["t"], place(r["x"])]
+            out[r["t"], place(r["x"])] = repeats or r["repeats"], split | set(r["split"]) & set(tried[r["t"]][place(r["x"])])
+
+    if parts:
+        note(_stacked([_judged(by_name[t], tried[t], _classes(by_name[t], tried[t], max(p, 1))) for t, p in parts.items()]))
+    left: dict[str, dict[tuple[int, ...], list[int]]] = {}
+    for t, p in parts.items():
+        # a combination that repeats and has no column left is settled
+        own = {x: [a for a in columns if a not in out[t, x][1]] for x, columns in tried[t].items()}
+        own = {x: columns for x, columns in own.items() if columns or not tried[t][x] and not out[t, x][0]}
+        if p > 1 and own:
+            left[t] = own
+    if left:
+        suspects = checkpointed(_stacked([_suspects(by_name[t], counts[t], own, {x for x in own if not out[t, x][0]}) for t, own in left.items()]))
+        sizes = {(r["t"], place(r["x"])): r["count"] for r in suspects.groupBy("t", "x").count().collect()}
+        checks = []
+        for t, own in left.items():
+            if own := {x: columns for x, columns in own.items() if (t, x) in sizes}:
+                some = suspects.where(F.col("t") == t).select("x", F.col("h").alias("a"))
+                checks.append(_judged(by_name[t], own, _classes(by_name[t], own, 1).join(F.broadcast(some) if sum(sizes.values()) <= SUSPECTS else some, ["x", "a"], "left_semi")))
+        if checks:
+            note(_stacked(checks))
+    return out
 
 
 def _plain(df: DataFrame, name: str) -> Column:
@@ -147,8 +283,8 @@ def keys(tables: Mapping[str, DataFrame], most: int = 3, sample: int = SAMPLE) -
 
     A key has no null and no combination twice; no part of it is a key. An empty table has
     none. Level by level: combinations that hold a smaller key, a column with nulls or a
-    repetition inside the sample leave; the others of all tables are checked in one job a
-    level, by counts of 128-bit hashes of the combinations.
+    repetition inside the sample leave; the others of all tables are checked over all rows,
+    first some of their classes, then all.
     """
     spark = next(iter(tables.values())).sparkSession
     known = _sampled(tables, sample)
@@ -156,15 +292,13 @@ def keys(tables: Mapping[str, DataFrame], most: int = 3, sample: int = SAMPLE) -
     counts = {r["t"]: r for r in filled.collect()}
     found: dict[str, list[tuple[int, ...]]] = {t.name: [] for t in known}
     for size in range(1, most + 1):
-        checks = []
+        tried: dict[str, dict[tuple[int, ...], list[int]]] = {}
         for t in known:
             full = [i for i, n in enumerate(counts[t.name]["filled"]) if n == counts[t.name]["n"] > 0]
-            left = [x for x in combinations(full, size) if not any(set(k) <= set(x) for k in found[t.name]) and t.classes(x).max(initial=0) + 1 == len(t.codes)]
-            if left:
-                rows = t.df.select(F.explode(F.array(*[F.struct(F.lit(",".join(map(str, x))).alias("x"), t.hashed(x).alias("h")) for x in left])).alias("r")).select("r.x", "r.h")
-                checks.append(rows.groupBy("x", "h").agg(F.count("*").alias("n")).groupBy("x").agg(F.max("n").alias("n")).select(F.lit(t.name).alias("t"), "x", "n"))
-        for r in _stacked(checks).where("n = 1").collect() if checks else []:
-            found[r["t"]].append(tuple(map(int, r["x"].split(","))))
+            tried[t.name] = {x: [] for x in combinations(full, size) if not any(set(k) <= set(x) for k in found[t.name]) and t.classes(x).max(initial=0) + 1 == len(t.codes)}
+        for (t, x), (repeats, _) in _checked(known, {t: r["n"] for t, r in counts.items()}, tried).items():
+            if not repeats:
+                found[t].append(x)
     rows = [(t.name, ", ".join(sorted(t.columns[i] for i in x)), counts[t.name]["n"]) for t in known for x in found[t.name]]
     return spark.createDataFrame(rows, "table_name string, key_columns string, n_rows long")
 
@@ -177,17 +311,18 @@ def dependencies(tables: Mapping[str, DataFrame], most: int = 2, sample: int = S
     empty determinant, and in an empty table every column does. Partitions are refined level by
     level: a determinant of which one part gives another is not tried, nor a column that a
     part gives already, nor what two rows of the sample contradict. What is left is checked
-    over all rows, all tables in one job a level: a class of the determinant's partition is
+    over all rows, first in some classes of the determinant's partition, then in all: a class is
     split when the least and greatest hash of the column differ in it.
     """
     spark = next(iter(tables.values())).sparkSession
     known = _sampled(tables, sample)
+    counts = {r["t"]: r["n"] for r in _stacked([t.df.agg(F.count("*").alias("n")).select(F.lit(t.name).alias("t"), "n") for t in known]).collect()}
     found: dict[str, set[tuple[tuple[int, ...], int]]] = {t.name: set() for t in known}
     for size in range(most + 1):
-        checks = []
+        tried: dict[str, dict[tuple[int, ...], list[int]]] = {}
         for t in known:
             given = found[t.name]
-            tried: dict[tuple[int, ...], list[int]] = {}
+            own = tried[t.name] = {}
             for x in combinations(range(len(t.columns)), size):
                 parts = [p for k in range(size) for p in combinations(x, k)]
                 if any((p, c) in given for p in parts for c in x):
@@ -196,19 +331,10 @@ def dependencies(tables: Mapping[str, DataFrame], most: int = 2, sample: int = S
                 first = np.zeros(classes.max(initial=-1) + 1, np.int64)
                 first[classes[::-1]] = np.arange(len(classes))[::-1]
                 open_ = [a for a in range(len(t.columns)) if a not in x and not any((p, a) in given for p in parts)]
-                tried[x] = [a for a in open_ if (t.codes[:, a] == t.codes[first[classes], a]).all()]
-            tried = {x: a for x, a in tried.items() if a}
-            if not tried:
-                continue
-            columns = sorted({a for own in tried.values() for a in own})
-            rows = t.df.select(F.explode(F.array(*[F.struct(F.lit(",".join(map(str, x))).alias("x"), t.hashed(x).alias("h")) for x in tried])).alias("r"), *[t.hashed((a,)).alias(f"a{a}") for a in columns])
-            split = rows.groupBy("r.x", "r.h").agg(*[(F.min(f"a{a}") != F.max(f"a{a}")).alias(f"a{a}") for a in columns]).groupBy("x").agg(*[F.bool_or(f"a{a}").alias(f"a{a}") for a in columns])
-            checks.append(split.select(F.lit(t.name).alias("t"), "x", F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.col(f"a{a}").alias("split")) for a in columns])).alias("c")).select("t", "x", "c.a", "c.split"))
-            if not len(t.codes):
-                found[t.name] |= {(x, a) for x, own in tried.items() for a in own}
-            checks[-1] = checks[-1].where(reduce(Column.__or__, [(F.col("x") == ",".join(map(str, x))) & F.col("a").isin(own) for x, own in tried.items()]))
-        for r in _stacked(checks).where("NOT split").collect() if checks else []:
-            found[r["t"]].add((tuple(map(int, filter(None, r["x"].split(",")))), r["a"]))
+                if left := [a for a in open_ if (t.codes[:, a] == t.codes[first[classes], a]).all()]:
+                    own[x] = left
+        for (t, x), (_, split) in _checked(known, counts, tried).items():
+            found[t] |= {(x, a) for a in tried[t][x] if a not in split}
     rows = [(t.name, ", ".join(sorted(t.columns[i] for i in x)), t.columns[a]) for t in known for x, a in sorted(found[t.name])]
     return spark.createDataFrame(rows, "table_name string, determinant string, column_name string")
 
