@@ -140,3 +140,16 @@ def test_the_engine_discovers_and_searches_by_any_vectors(spark):
     assert ("n_nationkey", "n_name") in {(r.determinant, r.column_name) for r in engine.discover("dependencies", most=1).collect()}
     vowels = lambda df: df.select("id", F.array(*[F.regexp_count("words", F.lit(v)).cast("double") for v in "aeiou"]).alias("vector"))
     assert [set(r) for r in engine.search("region", 2, "table", vowels)] == [{"element", "score", "kind"}] * 2
+
+
+def test_a_class_travels_twice_a_task_at_most():
+    import numpy as np
+    import pyarrow as pa
+
+    h = pa.array([7] * 500 + list(range(100)), pa.int64())
+    g = pa.array([3] * 500 + [3] * 50 + [4] * 50, pa.int64())
+    batches = lambda columns: iter([pa.RecordBatch.from_arrays(columns, [str(i) for i in range(len(columns))])] * 3)
+    sent = [r for b in discovery._packed(batches([h, h, g]), [True, False], 1, 10**6) for r in b.to_pylist()]
+    alone, both = (np.frombuffer(r["data"], np.int64) for r in sent)
+    assert alone.tolist() == sorted([*range(100)] * 2)  # a key's repetition is told by two rows
+    assert both.tolist() == [*range(100), *[3] * 50, *[4] * 50]  # equal values of a class are one
