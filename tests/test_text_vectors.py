@@ -46,6 +46,37 @@ def test_weights_equal_plain_counts(spark, texts):
     assert fresh.id == "new" and [model.terms[k] for k in fresh.terms] == ["stone"] and fresh.weights == [1.0]
 
 
+@pytest.mark.parametrize("features", [1, 2, 5, 9, 17, 60, 1000])
+def test_ties_and_frequent_pairs_keep_the_same_terms(spark, features):
+    """Words as common as each other, pairs as common as words, and pairs that are commoner than most words."""
+    rnd = random.Random(features)
+    texts = [(i, "stone river stone river") for i in range(3)] + [(9, "zebra apple zebra apple, mole")] + [(i, " ".join(rnd.choices("abc bcd cde def".split(), k=rnd.randrange(1, 4)))) for i in range(20, 24)]
+    model = tv.fit_text_model(spark.createDataFrame(texts, "id long, text string").repartition(2), "text", features)
+    kept, _ = plain_matrix(texts, features)
+    assert list(model.terms) == kept
+
+
+def test_rare_pairs_are_not_shuffled(spark, monkeypatch):
+    """Of 60,000 words' pairs, nearly all different, only those of the commonest words leave their task."""
+    rnd = random.Random(1)
+    names = [f"w{i:03d}" for i in range(300)]
+    texts = [(" ".join(rnd.choices(names, weights=range(300, 0, -1), k=600)),) for _ in range(100)]
+    df = spark.createDataFrame(texts, "text string").repartition(2)
+    seen = []
+    real = type(df).groupBy
+    monkeypatch.setattr(type(df), "groupBy", lambda self, *c: seen.append(self.count()) or real(self, *c))
+    tv.fit_text_model(df, "text", 10)
+    assert sum(seen) < 2000
+
+
+@pytest.mark.parametrize("gram", [0, 1024])
+def test_both_ways_to_the_directions(spark, texts, monkeypatch, gram):
+    monkeypatch.setattr(tv, "GRAM", gram)
+    df = spark.createDataFrame(texts, "id long, text string").repartition(3)
+    latent = tv.fit_latent_model(df, "text", tv.fit_text_model(df, "text", 60), 8, 1e-10)
+    assert np.allclose(latent.values, np.linalg.svd(plain_matrix(texts, 60)[1])[1][:8] ** 2, rtol=1e-6)
+
+
 def test_latent_vectors_equal_the_decomposition(spark, texts):
     df = spark.createDataFrame(texts, "id long, text string").repartition(3)
     model = tv.fit_text_model(df, "text", 60)

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +17,8 @@ from tidemark.session import checkpointed
 from tidemark.sources.tables import table
 
 FEATURES, COMPONENTS = 384, 64
+HELD = 400_000  # terms that a task counts before it sends them
+GRAM, BLOCK = 1024, 1 << 22  # terms whose products are all summed at once; entries of a dense block of weights
 #: English function words; other words are given to ``fit_text_model``.
 STOP_WORDS = tuple("a an the this that these those i you he she it we they me him her us them my your his its our their who whom which what where when why how and or but nor if then else because while as until of at by for with about against between into through during before after above below to from up down in out on off over under again further once here there all any both each few more most other some such no not only own same so than too very is am are was were be been being have has had having do does did doing can could will would shall should may might must".split())
 
@@ -23,12 +26,55 @@ STOP_WORDS = tuple("a an the this that these those i you he she it we they me hi
 Embed = Callable[[DataFrame], DataFrame]
 
 
-def terms_of(text: Column, stop_words: Iterable[str] = STOP_WORDS) -> Column:
-    """The words of two characters or more that are no stop words, lower-cased, and the pairs of neighbours among them."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]{2,})"), F.lit(1))
-    kept = F.filter(words, lambda w: ~w.isin(*stop_words)) if stop_words else words
-    pairs = F.zip_with(F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0))), F.slice(kept, F.lit(2), F.greatest(F.size(kept) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.coalesce(F.concat(kept, pairs), F.array().cast("array<string>"))
+def _spaced(text: Column) -> Column:
+    """A text's words, lower-cased, with one space between them."""
+    return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_]+", " ")
+
+
+def _terms(spaced: str | None, stop_words: frozenset[str]) -> list[str]:
+    """The words of two characters or more that are no stop words, and the pairs of neighbours among them."""
+    kept = [w for w in (spaced or "").split(" ") if len(w) > 1 and w not in stop_words]
+    return kept + list(map(" ".join, zip(kept, kept[1:])))
+
+
+def _words(batches: Iterator[pa.RecordBatch], stop_words: frozenset[str], most: int) -> Iterator[pa.RecordBatch]:
+    """Per task, ``most`` words or somewhat more at a time: words, and how often they occur."""
+    counts: Counter = Counter()
+
+    def sent() -> pa.RecordBatch:
+        names = [w for w in counts if len(w) > 1 and w not in stop_words]
+        out = pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(map(counts.get, names), pa.int64())], ["term", "n"])
+        counts.clear()
+        return out
+
+    for batch in batches:
+        for spaced in batch.column(0):
+            counts.update((spaced.as_py() or "").split(" "))
+            if len(counts) > most:
+                yield sent()
+    yield sent()
+
+
+def _counted(batches: Iterator[pa.RecordBatch], stop_words: frozenset[str], left: frozenset[str], right: frozenset[str] | None, most: int) -> Iterator[pa.RecordBatch]:
+    """Per task: words of ``left``, and their pairs with a next word of ``right`` (None: any), how often they occur, and in how many texts."""
+    counts, docs = Counter(), Counter()
+
+    def sent() -> pa.RecordBatch:
+        names = list(counts)
+        out = pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(map(counts.get, names), pa.int64()), pa.array(map(docs.get, names), pa.int64())], ["term", "n", "docs"])
+        counts.clear()
+        docs.clear()
+        return out
+
+    for batch in batches:
+        for spaced in batch.column(0):
+            kept = [w for w in (spaced.as_py() or "").split(" ") if len(w) > 1 and w not in stop_words]
+            own = [w for w in kept if w in left] + [f"{a} {b}" for a, b in zip(kept, kept[1:]) if a in left and (right is None or b in right)]
+            counts.update(own)
+            docs.update(set(own))
+            if len(counts) > most:
+                yield sent()
+    yield sent()
 
 
 @dataclass(frozen=True)
@@ -46,50 +92,64 @@ class TextModel:
         A weight is the term's count times ln((1 + documents) / (1 + documents with it)) + 1. A
         text that is null or has no term of the vocabulary has empty lists. Nothing is shuffled.
         """
-        place, idf = {t: k for k, t in enumerate(self.terms)}, np.array(self.idf)
+        place, idf, stop_words = {t: k for k, t in enumerate(self.terms)}, np.array(self.idf), frozenset(self.stop_words)
         kind = texts.schema[id].dataType.simpleString()
 
         def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 terms, weights = [], []
-                for own in batch.column(1).to_pylist():
-                    counts = Counter(place[t] for t in own if t in place)
+                for spaced in batch.column(1):
+                    counts = Counter(place[t] for t in _terms(spaced.as_py(), stop_words) if t in place)
                     at = np.array(sorted(counts), np.int64)
                     w = np.array([counts[k] for k in at.tolist()], float) * idf[at] if len(at) else np.zeros(0)
                     terms.append(at)
                     weights.append(w / np.sqrt((w * w).sum()) if len(w) else w)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(terms, pa.list_(pa.int32())), pa.array(weights, pa.list_(pa.float64()))], ["id", "terms", "weights"])
 
-        return texts.select(F.col(id).alias("id"), terms_of(F.col(text), self.stop_words).alias("t")).mapInArrow(weigh, f"id {kind}, terms array<int>, weights array<double>")
+        return texts.select(F.col(id).alias("id"), _spaced(F.col(text)).alias("t")).mapInArrow(weigh, f"id {kind}, terms array<int>, weights array<double>")
 
 
 def fit_text_model(texts: DataFrame, text: str, features: int = FEATURES, stop_words: Iterable[str] = STOP_WORDS) -> TextModel:
     """Keep the ``features`` commonest terms of some texts, equally common ones in order, with their document frequencies.
 
-    Terms are counted in each task before they are shuffled; documents are counted for kept
-    terms only. A null text is a document without terms.
+    Words are counted first, in each task before they are shuffled. A pair is no commoner
+    than either of its words and sorts after its first one, so only pairs that begin with one
+    of the ``features`` commonest words and end with one as common as the last of these
+    can be kept; the second pass counts no others. A null text is a document without terms.
     """
-    stop_words = tuple(stop_words)
-    own = texts.select(terms_of(F.col(text), stop_words).alias("t"))
-    kept = [r["term"] for r in own.select(F.explode("t").alias("term")).groupBy("term").count().orderBy(F.desc("count"), "term").limit(features).collect()]
-    kept.sort()
-    n = texts.count()
-    # the vocabulary is bounded by ``features``, so it travels in the plan
-    within = F.array_intersect(F.array_distinct("t"), F.array(*map(F.lit, kept)).cast("array<string>"))
-    seen = {r["term"]: r["count"] for r in own.select(F.explode(within).alias("term")).groupBy("term").count().collect()}
+    stop_words, most = tuple(stop_words), HELD
+    no = frozenset(stop_words)
+    spaced = texts.select(_spaced(F.col(text)).alias("t"))
+    ranked = lambda df, k: df.orderBy(F.desc("n"), "term").limit(k).collect()
+    words = ranked(spaced.mapInArrow(lambda b: _words(b, no, most), "term string, n long").groupBy("term").agg(F.sum("n").alias("n")), 2 * features)
+    least = words[features - 1]["n"] if features <= len(words) else 0
+    left = frozenset(w["term"] for w in words[:features])
+    right = frozenset(w["term"] for w in words if w["n"] >= least) if len(words) < 2 * features or words[-1]["n"] < least else None
+    counts = spaced.mapInArrow(lambda b: _counted(b, no, left, right, most), "term string, n long, docs long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    seen = {r["term"]: r["docs"] for r in ranked(counts, features)}
+    kept, n = sorted(seen), texts.count()
     return TextModel(tuple(kept), tuple(float(np.log((1 + n) / (1 + seen[t])) + 1) for t in kept), n, stop_words)
 
 
 def _products(batches: Iterator[pa.RecordBatch], basis: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Per task: the transposed weights times (weights times basis), a row of it each term."""
+    """Per task: the transposed weights times (weights times basis), a row of it each term that the task has."""
     total = np.zeros_like(basis)
+    step = max(BLOCK // max(len(basis), 1), 1)
     for batch in batches:
-        for at, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            if at:
-                w = np.array(w)
-                total[at] += np.outer(w, w @ basis[at])
-    i, j = np.nonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(total[i, j])], ["i", "j", "v"])
+        for start in range(0, batch.num_rows, step):
+            at, w = batch.column(0).slice(start, step), batch.column(1).slice(start, step)
+            rows = np.zeros((len(at), len(basis)))
+            rows[np.repeat(np.arange(len(at)), pc.list_value_length(at).to_numpy(zero_copy_only=False)), at.flatten().to_numpy(zero_copy_only=False)] = w.flatten().to_numpy(zero_copy_only=False)
+            total += rows.T @ (rows @ basis)
+    at = np.flatnonzero(total.any(1))
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(list(total[at]), pa.list_(pa.float64()))], ["i", "v"])
+
+
+def _sum(parts: pa.Table) -> pa.Table:
+    """The sum of the tasks' rows of one term."""
+    rows = parts.column("v").combine_chunks()
+    total = rows.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1).sum(0)
+    return pa.table({"i": parts.column("i")[:1], "v": pa.array([total], pa.list_(pa.float64()))})
 
 
 @dataclass(frozen=True)
@@ -118,21 +178,31 @@ class LatentModel:
 def fit_latent_model(texts: DataFrame, text: str, model: TextModel, components: int = COMPONENTS, tolerance: float = 1e-7, rounds: int = 100) -> LatentModel:
     """Latent semantic directions by distributed subspace iteration.
 
-    The weights are written once; each round every task multiplies its own rows with the
-    basis and sends terms * components sums, which Spark adds. The driver holds that
+    A round needs the product of the weights, transposed, with (weights times basis): every
+    task multiplies its own rows and Spark adds the tasks' sums. With at most ``GRAM`` terms
+    that is done once, for all terms (terms * terms sums), and rounds take no more jobs; with more, the
+    weights are written once, and a round brings terms * components sums. The driver holds that
     one matrix, of a size bounded by the vocabulary, and makes it orthonormal. A few spare
     columns speed the rounds, which end when the values move less than ``tolerance``.
     """
-    rows = checkpointed(model.weights(texts.withColumn("_row", F.lit(0)), "_row", text).select("terms", "weights"))
     v = len(model.terms)
+    rows = model.weights(texts.withColumn("_row", F.lit(0)), "_row", text).select("terms", "weights")
+
+    def product(basis: np.ndarray) -> np.ndarray:
+        y = np.zeros((v, basis.shape[1]))
+        for r in rows.mapInArrow(lambda b: _products(b, basis), "i int, v array<double>").groupBy("i").applyInArrow(_sum, "i int, v array<double>").collect():
+            y[r["i"]] = r["v"]
+        return y
+
+    if v > GRAM:
+        rows = checkpointed(rows)
+    gram = product(np.eye(v)) if 0 < v <= GRAM else None
     components = min(components, v)
     width = min(v, components + 8)
     basis = np.linalg.qr(np.random.default_rng(0).normal(size=(v, width)))[0] if v else np.zeros((0, 0))
     values = np.zeros(width)
     for _ in range(rounds if v else 0):
-        y = np.zeros((v, width))
-        for r in rows.mapInArrow(lambda b, basis=basis: _products(b, basis), "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).collect():
-            y[r["i"], r["j"]] = r["v"]
+        y = product(basis) if gram is None else gram @ basis
         small, turn = np.linalg.eigh((basis.T @ y + y.T @ basis) / 2)  # Rayleigh-Ritz in the present subspace
         before, values = values, small[::-1]
         directions = basis @ turn[:, ::-1]
