@@ -65,3 +65,15 @@ def test_few_rows_and_none(spark):
     found = vi.nearest(index, one.limit(1), 5, None, True).orderBy("rank").collect()
     assert [(r.query_id, r.id, r.score) for r in found] == [(7, 7, 1.0), (7, 7, 1.0), (7, None, 0.5)]
     assert vi.nearest(index, none).collect() == []
+
+
+def test_files_and_batches_do_not_grow_with_the_cells(spark, vectors, tmp_path):
+    df = spark.createDataFrame([(*r, "x", 1) for r in vectors], KIND).repartition(3)
+    index = vi.build_index(df, cells=100, folder=str(tmp_path))
+    assert len(list((tmp_path / "lists").rglob("*.parquet"))) <= 3  # a file a task, whatever the number of cells
+    assert index.lists(spark).count() == 900 and index.sizes.sum() == 900
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10_000))], ["row"])
+    parts = list(vi._pieces(iter([batch]), 1000 * 64))
+    assert max(p.num_rows for p in parts) * 1000 * 64 <= vi.HELD and pa.Table.from_batches(parts).column(0).to_pylist() == [*range(10_000)]

@@ -18,11 +18,12 @@ TRIED = 300  # rows on which the number of cells to visit is measured
 SAMPLE_A_CELL = 64  # rows that the cells are fitted on, for each cell at most
 BLOCK, QUERIES = 5_000, 1_000  # rows of a cell, and queries, that one task compares at once
 ROUNDS = 12
+HELD = 1 << 22  # numbers of one array that a task holds while it looks for cells
 
 
 @dataclass(frozen=True)
 class VectorIndex:
-    """Cells' centres, their radii and sizes, and the folder of the lists: ``lists/cell=<number>``, with id and vector."""
+    """Cells' centres, their radii and sizes, and the folder of the lists: ``lists``, with id, vector and cell."""
 
     folder: str
     centres: np.ndarray
@@ -40,6 +41,13 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
+def _pieces(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches so small that ``size`` numbers for each of their rows are not too many."""
+    step = max(HELD // max(size, 1), 1)
+    for batch in batches:
+        yield from (batch.slice(at, step) for at in range(0, batch.num_rows, step))
+
+
 def _gaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Squared distances of all rows of a to all rows of b."""
     return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T, 0.0)
@@ -68,7 +76,7 @@ def build_index(vectors: DataFrame, id: str = "vec_id", vector: str = "embedding
 
     The cells are fitted on at most ``SAMPLE_A_CELL`` rows for each, those of the least hashes
     of id and vector; all rows are then assigned to their nearest cell and written once,
-    split by cell, with a random number each by which a search deals a large cell to several
+    a file a task in order of cells, with a random number each by which a search deals a large cell to several
     tasks, so that no cell, however many rows or copies it has, meets in one. Rows whose vector is null, of another length than
     most, or holds null or non-finite entries are left out. Centres travel in the tasks:
     cells * dimension doubles. How many cells a search visits is measured: enough that
@@ -89,7 +97,7 @@ def build_index(vectors: DataFrame, id: str = "vec_id", vector: str = "embedding
     centres = _cells(points, cells) if len(points) else np.zeros((0, dim))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _pieces(batches, len(centres)):
             if batch.num_rows:
                 gaps = _gaps(_matrix(batch.column(1), dim), centres)
                 near = gaps.argmin(1)
@@ -97,7 +105,7 @@ def build_index(vectors: DataFrame, id: str = "vec_id", vector: str = "embedding
 
     assigned = rows.mapInArrow(assign, f"id {kind}, v array<double>, cell int, gap double")
     salted = assigned.select(F.col("id").alias(id), "v", "gap", F.xxhash64(F.monotonically_increasing_id()).alias("salt"), "cell")
-    salted.write.mode("overwrite").partitionBy("cell").parquet(f"{folder}/lists")
+    salted.sortWithinPartitions("cell").write.mode("overwrite").parquet(f"{folder}/lists")
     known = {r["cell"]: r for r in spark.read.parquet(f"{folder}/lists").groupBy("cell").agg(F.count("*").alias("n"), F.max("gap").alias("radius")).collect()} if total else {}
     at = lambda name: np.array([float(known[c][name]) if c in known else 0.0 for c in range(len(centres))])
     index = VectorIndex(folder, centres, at("radius"), at("n").astype(int), id, kind)
@@ -123,18 +131,19 @@ def _compare(k: int, dim: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
         rows, ids, gaps, cells = [], [], [], []
         if vectors.num_rows and queries.num_rows:
             v, q = _matrix(vectors.column("v").combine_chunks(), dim), _matrix(queries.column("q").combine_chunks(), dim)
-            names, own = vectors.column("id"), queries.column("row").to_pylist()
+            cell = vectors.column("cell")[0].as_py()
+            names, own = vectors.column("id").to_pylist(), queries.column("row").to_pylist()
             rough = _gaps(q, v)
             kth = np.partition(rough, min(k, len(v)) - 1, 1)[:, min(k, len(v)) - 1]
             slack = 1e-9 * (1 + (q * q).sum(1) + (v * v).sum(1).max())
             for i in range(len(q)):  # the products round: whatever may be among the k is measured again
                 near = np.flatnonzero(rough[i] <= kth[i] + slack[i])
                 exact = ((v[near] - q[i]) ** 2).sum(1)
-                best = sorted(zip(exact.tolist(), names.take(near).to_pylist()), key=lambda x: (x[0], x[1] is None, x[1]))[:k]
+                best = sorted(zip(exact.tolist(), map(names.__getitem__, near)), key=lambda x: (x[0], x[1] is None, x[1]))[:k]
                 rows += [own[i]] * len(best)
                 gaps += [g for g, _ in best]
                 ids += [n for _, n in best]
-                cells += [vectors.column("cell")[0].as_py()] * len(best)
+                cells += [cell] * len(best)
         return pa.table({"row": pa.array(rows, pa.int64()), "id": pa.array(ids, vectors.schema.field("id").type), "gap": pa.array(gaps, pa.float64()), "cell": pa.array(cells, pa.int32())})
 
     return run
@@ -176,7 +185,7 @@ def _ranked(index: VectorIndex, queries: DataFrame, k: int, probes: int, exact:
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The cells of each query: its nearest ones, or, where a bound came with it, the others within the bound."""
-        for batch in batches:
+        for batch in _pieces(batches, len(centres) * dim):  # a query goes out with each of its cells
             if not batch.num_rows:
                 continue
             gaps = np.where(filled, _gaps(_matrix(batch.column(1), dim), centres), np.inf)
