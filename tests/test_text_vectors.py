@@ -107,3 +107,34 @@ def test_nothing_to_fit(spark):
     model = tv.fit_text_model(none, "text")
     latent = tv.fit_latent_model(none, "text", model)
     assert model.terms == () and latent.vectors(spark.createDataFrame([(1, "word")], "id long, text string"), "id", "text").first().vector == []
+
+
+def test_words_are_counted_in_arrow():
+    """Counting 200,000 different words makes next to no Python objects."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([" ".join(f"word{i}" for i in range(k, k + 1000)) for k in range(0, 200_000, 1000)])], ["t"])
+    tracemalloc.start()
+    sent = sum(b.num_rows for b in tv._words(iter([batch]), frozenset(), 10**6))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sent == 200_000 and peak < 2_000_000
+
+
+@pytest.mark.parametrize("features", [3, 8, 30])
+def test_counts_of_small_pieces_add_up(spark, texts, monkeypatch, features):
+    monkeypatch.setattr(tv, "PIECE", 100, raising=False)  # a few texts at a time, sums sent often
+    monkeypatch.setattr(tv, "HELD", 6)
+    odd = [(300, "Ünder_score—Straße; 10x\t10X\n\nx  y stone"), (301, " , "), (302, "stone")]
+    df = spark.createDataFrame(texts + odd, "id long, text string").repartition(2)
+    kept, matrix = plain_matrix(texts + odd, features)
+    model = tv.fit_text_model(df, "text", features)
+    assert list(model.terms) == kept
+    docs = Counter(t for _, x in texts + odd for t in set(plain_terms(x)))
+    assert np.allclose(model.idf, [math.log((1 + len(texts + odd)) / (1 + docs[t])) + 1 for t in kept])
+    found = {r.id: dict(zip(r.terms, r.weights)) for r in model.weights(df, "id", "text").collect() if r.id >= 300}
+    for (i, _), row in zip(texts + odd, matrix):
+        if i >= 300:
+            assert found[i].keys() == set(np.flatnonzero(row)) and all(abs(w - row[k]) < 1e-9 for k, w in found[i].items())

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.retrieval import cosine
@@ -18,6 +18,7 @@ from tidemark.sources.tables import table
 
 FEATURES, COMPONENTS = 384, 64
 HELD = 400_000  # terms that a task counts before it sends them
+PIECE = 1 << 23  # bytes of text that are cut into words at once
 GRAM, BLOCK = 1024, 1 << 22  # terms whose products are all summed at once; entries of a dense block of weights
 #: English function words; other words are given to ``fit_text_model``.
 STOP_WORDS = tuple("a an the this that these those i you he she it we they me him her us them my your his its our their who whom which what where when why how and or but nor if then else because while as until of at by for with about against between into through during before after above below to from up down in out on off over under again further once here there all any both each few more most other some such no not only own same so than too very is am are was were be been being have has had having do does did doing can could will would shall should may might must".split())
@@ -26,9 +27,9 @@ STOP_WORDS = tuple("a an the this that these those i you he she it we they me hi
 Embed = Callable[[DataFrame], DataFrame]
 
 
-def _spaced(text: Column) -> Column:
-    """A text's words, lower-cased, with one space between them."""
-    return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_]+", " ")
+def _spaced(lowered: pa.Array) -> pa.Array:
+    """Lower-cased texts with nothing but spaces between their words, one or more."""
+    return pc.replace_substring_regex(lowered, pattern=r"[^\p{L}\p{N}_ ]+", replacement=" ")
 
 
 def _terms(spaced: str | None, stop_words: frozenset[str]) -> list[str]:
@@ -37,44 +38,76 @@ def _terms(spaced: str | None, stop_words: frozenset[str]) -> list[str]:
     return kept + list(map(" ".join, zip(kept, kept[1:])))
 
 
-def _words(batches: Iterator[pa.RecordBatch], stop_words: frozenset[str], most: int) -> Iterator[pa.RecordBatch]:
-    """Per task, ``most`` words or somewhat more at a time: words, and how often they occur."""
-    counts: Counter = Counter()
+def _kept(words: pa.Array, stop_words: frozenset[str]) -> pa.Array:
+    """Which words count, as ``_terms`` has it."""
+    return pc.and_(pc.greater(pc.utf8_length(words), 1), pc.invert(pc.is_in(words, value_set=pa.array(sorted(stop_words), words.type))))
 
-    def sent() -> pa.RecordBatch:
-        names = [w for w in counts if len(w) > 1 and w not in stop_words]
-        out = pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(map(counts.get, names), pa.int64())], ["term", "n"])
-        counts.clear()
-        return out
 
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.ListArray]:
+    """The words of each text, empty ones among them, of about ``PIECE`` bytes of text at a time."""
     for batch in batches:
-        for spaced in batch.column(0):
-            counts.update((spaced.as_py() or "").split(" "))
-            if len(counts) > most:
-                yield sent()
-    yield sent()
+        step = max(batch.num_rows * PIECE // max(batch.nbytes, 1), 1)
+        for start in range(0, batch.num_rows, step):
+            yield pc.split_pattern(_spaced(batch.column(0).slice(start, step)), " ")
 
 
-def _counted(batches: Iterator[pa.RecordBatch], stop_words: frozenset[str], left: frozenset[str], right: frozenset[str] | None, most: int) -> Iterator[pa.RecordBatch]:
-    """Per task: words of ``left``, and their pairs with a next word of ``right`` (None: any), how often they occur, and in how many texts."""
-    counts, docs = Counter(), Counter()
+def _summed(parts: Iterable[pa.Table], most: int) -> Iterator[pa.RecordBatch]:
+    """The parts' counts added up by term, sent on whenever about ``most`` terms are held."""
 
-    def sent() -> pa.RecordBatch:
-        names = list(counts)
-        out = pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(map(counts.get, names), pa.int64()), pa.array(map(docs.get, names), pa.int64())], ["term", "n", "docs"])
-        counts.clear()
-        docs.clear()
-        return out
+    def added() -> pa.Table:
+        names = held[0].column_names[1:]
+        return pa.concat_tables(held).group_by("term", use_threads=False).aggregate([(c, "sum") for c in names]).select(["term", *[f"{c}_sum" for c in names]]).rename_columns(["term", *names])
 
-    for batch in batches:
-        for spaced in batch.column(0):
-            kept = [w for w in (spaced.as_py() or "").split(" ") if len(w) > 1 and w not in stop_words]
-            own = [w for w in kept if w in left] + [f"{a} {b}" for a, b in zip(kept, kept[1:]) if a in left and (right is None or b in right)]
-            counts.update(own)
-            docs.update(set(own))
-            if len(counts) > most:
-                yield sent()
-    yield sent()
+    held, n = [], 0
+    for part in parts:
+        held.append(part)
+        n += part.num_rows
+        if n > most:
+            held = [added()]
+            n = held[0].num_rows
+            if n > most // 2:
+                yield from held[0].to_batches()
+                held, n = [], 0
+    if held:
+        yield from added().to_batches()
+
+
+def _words(batches: Iterator[pa.RecordBatch], stop_words: frozenset[str], most: int) -> Iterator[pa.RecordBatch]:
+    """Per task, about ``most`` words at a time: words, and how often they occur."""
+
+    def counted(words: pa.ListArray) -> pa.Table:
+        found = pc.value_counts(words.flatten())
+        return pa.table({"term": found.field("values"), "n": found.field("counts")}).filter(_kept(found.field("values"), stop_words))
+
+    return _summed(map(counted, _split(batches)), most)
+
+
+def _counted(batches: Iterator[pa.RecordBatch], stop_words: frozenset[str], left: frozenset[str], right: frozenset[str] | None, most: int) -> Iterator[pa.RecordBatch]:
+    """Per task: words of ``left``, and their pairs with a next word of ``right`` (None: any), how often they occur, and in how many texts."""
+    known = None if right is None else pa.array(sorted(left | right), pa.string())
+
+    def counted(words: pa.ListArray) -> pa.Table:
+        flat = words.flatten()
+        kept = _kept(flat, stop_words)
+        flat, doc = flat.filter(kept), pc.list_parent_indices(words).filter(kept).to_numpy().astype(np.int64)
+        if known is None:
+            coded = flat.dictionary_encode()
+            names, code = coded.dictionary.to_pylist(), coded.indices
+        else:
+            names, code = known.to_pylist(), pc.fill_null(pc.index_in(flat, value_set=known), -1)
+        code = code.to_numpy(zero_copy_only=False).astype(np.int64)
+        first = np.array([w in left for w in names] + [False])  # the last: a word that is not known
+        second = np.array([right is None or w in right for w in names] + [False])
+        one = np.flatnonzero(first[code])
+        two = np.flatnonzero(first[code[:-1]] & second[code[1:]] & (doc[1:] == doc[:-1]))
+        base = len(names) + 1
+        terms, at, n = np.unique(np.r_[code[one] * base + len(names), code[two] * base + code[two + 1]], return_inverse=True, return_counts=True)
+        docs = np.bincount(np.unique(np.r_[doc[one], doc[two]] * len(terms) + at) % max(len(terms), 1), minlength=len(terms))
+        ends = ["", *[f" {w}" for w in names]]
+        texts = [names[a] + ends[(b + 1) % base] for a, b in zip((terms // base).tolist(), (terms % base).tolist())]
+        return pa.table({"term": pa.array(texts, pa.string()), "n": pa.array(n, pa.int64()), "docs": pa.array(docs, pa.int64())})
+
+    return _summed(map(counted, _split(batches)), most)
 
 
 @dataclass(frozen=True)
@@ -98,7 +131,7 @@ class TextModel:
         def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 terms, weights = [], []
-                for spaced in batch.column(1):
+                for spaced in _spaced(batch.column(1)):
                     counts = Counter(place[t] for t in _terms(spaced.as_py(), stop_words) if t in place)
                     at = np.array(sorted(counts), np.int64)
                     w = np.array([counts[k] for k in at.tolist()], float) * idf[at] if len(at) else np.zeros(0)
@@ -106,7 +139,7 @@ class TextModel:
                     weights.append(w / np.sqrt((w * w).sum()) if len(w) else w)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(terms, pa.list_(pa.int32())), pa.array(weights, pa.list_(pa.float64()))], ["id", "terms", "weights"])
 
-        return texts.select(F.col(id).alias("id"), _spaced(F.col(text)).alias("t")).mapInArrow(weigh, f"id {kind}, terms array<int>, weights array<double>")
+        return texts.select(F.col(id).alias("id"), F.lower(F.col(text)).alias("t")).mapInArrow(weigh, f"id {kind}, terms array<int>, weights array<double>")
 
 
 def fit_text_model(texts: DataFrame, text: str, features: int = FEATURES, stop_words: Iterable[str] = STOP_WORDS) -> TextModel:
@@ -119,13 +152,13 @@ def fit_text_model(texts: DataFrame, text: str, features: int = FEATURES, stop_w
     """
     stop_words, most = tuple(stop_words), HELD
     no = frozenset(stop_words)
-    spaced = texts.select(_spaced(F.col(text)).alias("t"))
+    lowered = texts.select(F.lower(F.col(text)).alias("t"))
     ranked = lambda df, k: df.orderBy(F.desc("n"), "term").limit(k).collect()
-    words = ranked(spaced.mapInArrow(lambda b: _words(b, no, most), "term string, n long").groupBy("term").agg(F.sum("n").alias("n")), 2 * features)
+    words = ranked(lowered.mapInArrow(lambda b: _words(b, no, most), "term string, n long").groupBy("term").agg(F.sum("n").alias("n")), 2 * features)
     least = words[features - 1]["n"] if features <= len(words) else 0
     left = frozenset(w["term"] for w in words[:features])
     right = frozenset(w["term"] for w in words if w["n"] >= least) if len(words) < 2 * features or words[-1]["n"] < least else None
-    counts = spaced.mapInArrow(lambda b: _counted(b, no, left, right, most), "term string, n long, docs long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    counts = lowered.mapInArrow(lambda b: _counted(b, no, left, right, most), "term string, n long, docs long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     seen = {r["term"]: r["docs"] for r in ranked(counts, features)}
     kept, n = sorted(seen), texts.count()
     return TextModel(tuple(kept), tuple(float(np.log((1 + n) / (1 + seen[t])) + 1) for t in kept), n, stop_words)
