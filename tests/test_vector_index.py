@@ -77,3 +77,18 @@ def test_files_and_batches_do_not_grow_with_the_cells(spark, vectors, tmp_path):
     batch = pa.RecordBatch.from_arrays([pa.array(range(10_000))], ["row"])
     parts = list(vi._pieces(iter([batch]), 1000 * 64))
     assert max(p.num_rows for p in parts) * 1000 * 64 <= vi.HELD and pa.Table.from_batches(parts).column(0).to_pylist() == [*range(10_000)]
+
+
+def test_queries_reach_their_cells_from_several_tasks(spark, vectors, monkeypatch):
+    """Queries from one file, small as they are, go out with their cells from as many tasks as these need."""
+    monkeypatch.setattr(vi, "HELD", 64)
+    df = spark.createDataFrame([(*r, "x", 1) for r in vectors], KIND).repartition(1)
+    index = vi.build_index(df, cells=15)
+    tasks = []
+    real = vi._searched
+    monkeypatch.setattr(vi, "_searched", lambda index, pairs, k: tasks.append(pairs.rdd.getNumPartitions()) or real(index, pairs, k))
+    found = {}
+    for r in vi.nearest(index, df.where("vec_id % 50 = 0"), 10, 1, exact=True).orderBy("query_id", "rank").collect():
+        found.setdefault(r.query_id, []).append((r.id, round(r.score, 9)))
+    assert found == _brute(vectors, [v for v in vectors if v[0] % 50 == 0], 10)
+    assert len(tasks) == 2 and min(tasks) >= 3  # 18 queries, 15 cells, 8 numbers, 128 a task: 17

@@ -182,6 +182,8 @@ def _ranked(index: VectorIndex, queries: DataFrame, k: int, probes: int, exact:
     dim = index.centres.shape[1]
     centres, radii, filled = index.centres, index.radii, index.sizes > 0
     asked = checkpointed(_usable(queries, id, vector, dim).select(F.col(id).alias("query_id"), F.col("v").alias("q"), F.monotonically_increasing_id().alias("row")))
+    tasks = max(-(-asked.count() * centres.size // (2 * HELD)), 1)
+    dealt = lambda rows: rows.repartition(tasks, "row")  # by what the queries become with their cells: alone they are small and would share a task
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The cells of each query: its nearest ones, or, where a bound came with it, the others within the bound."""
@@ -201,11 +203,11 @@ def _ranked(index: VectorIndex, queries: DataFrame, k: int, probes: int, exact:
     kinds = "row long, q array<double>, cell int"
     best = Window.partitionBy("row").orderBy("gap", F.col("id").asc_nulls_last())
     top = lambda found: found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    found = top(_searched(index, asked.select("row", "q").mapInArrow(probe, kinds), k))
+    found = top(_searched(index, dealt(asked.select("row", "q")).mapInArrow(probe, kinds), k))
     if exact:
         found = checkpointed(found)
         bounds = found.groupBy("row").agg(F.when(F.count("*") == k, F.max("gap")).otherwise(float("inf")).alias("bound"))
-        others = asked.join(bounds, "row").select("row", "q", "bound").mapInArrow(probe, kinds)
+        others = dealt(asked.join(bounds, "row").select("row", "q", "bound")).mapInArrow(probe, kinds)
         found = top(found.drop("rank").unionByName(_searched(index, others, k)))
     return found.join(asked, "row").select("query_id", "q", "id", "gap", "cell", "rank")
 
